@@ -33,7 +33,7 @@ RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
 #: Encodings in the order tried: name, form, alphabet, collision probability of structured text in it.
 ENCODINGS = (
     ("hex", r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$|^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", "0123456789abcdefABCDEF", 16, 0.12),
-    ("base32", r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32, 0.075),
+    ("base32", r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]{8,}=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32, 0.075),
     ("base36", r"^(?=.*[0-9])(?=.*[a-z])[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 36, 0.065),
     ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_=", 64, 0.06),
 )
