@@ -6,6 +6,7 @@ import importlib
 
 #: Query name and the module that defines a function of that name.
 MODULES = {
+    "op8_fingerprint": "fingerprints",
     "op10_secret_scan": "secrets",
 }
 #: Modules that hold SQL, each in a dictionary ORACLE_SQL.
