@@ -79,7 +79,7 @@ def _battery(token: Column) -> Column:
     """struct<bin,stratum> of a run of token characters; null if no encoding fits or it is not consistent with randomness."""
 
     def tested(alphabet: str, m: int, kappa: float) -> Column:
-        body = F.rtrim(F.lit("="), token) if m == 32 else token
+        body = F.rtrim(token, F.lit("=")) if m == 32 else token
         classes = "".join("d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "o" for c in alphabet)
 
         def uniformity(n: Column, squares: Column) -> tuple[Column, Column]:
