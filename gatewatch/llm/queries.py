@@ -7,6 +7,7 @@ import importlib
 #: Query name and the module that defines a function of that name.
 MODULES = {
     "op2_warc": "warc",
+    "op4_language": "langid",
     "op5_bpe": "bpe",
     "op8_fingerprint": "fingerprints",
     "op10_secret_scan": "secrets",
