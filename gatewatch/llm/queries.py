@@ -6,6 +6,7 @@ import importlib
 
 #: Query name and the module that defines a function of that name.
 MODULES = {
+    "op1_html": "html",
     "op2_warc": "warc",
     "op4_language": "langid",
     "op5_bpe": "bpe",
