@@ -10,6 +10,7 @@ MODULES = {
     "op2_warc": "warc",
     "op4_language": "langid",
     "op5_bpe": "bpe",
+    "op6_quality": "quality",
     "op8_fingerprint": "fingerprints",
     "op10_secret_scan": "secrets",
 }
