@@ -276,11 +276,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return found.filter(F.col("word") != "").groupBy("word").agg(F.count("*").alias("n"))
 
 
-def share(spark: SparkSession, path: str, known: set[str] = set()) -> str:  # noqa: B006  the names that this driver has shared
-    if path not in known:
+_shared: set[tuple[str, str]] = set()  # application and name of the files that this driver has handed out
+
+
+def share(spark: SparkSession, path: str) -> str:
+    name = os.path.basename(path)
+    if (spark.sparkContext.applicationId, name) not in _shared:  # a name tells the content
         spark.sparkContext.addFile(path)
-        known.add(path)
-    return os.path.basename(path)
+        _shared.add((spark.sparkContext.applicationId, name))
+    return name
 
 
 def build_lexicon(docs: DataFrame, tokenizer_path: str, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> str:
