@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_html": "html",
     "op2_warc": "warc",
+    "op3_decontaminate": "decontaminate",
     "op4_language": "langid",
     "op5_bpe": "bpe",
     "op6_quality": "quality",
