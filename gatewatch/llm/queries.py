@@ -13,6 +13,7 @@ MODULES = {
     "op5_bpe": "bpe",
     "op6_quality": "quality",
     "op8_fingerprint": "fingerprints",
+    "op9_near_duplicates": "neardup",
     "op10_secret_scan": "secrets",
 }
 #: Modules that hold SQL, each in a dictionary ORACLE_SQL.
