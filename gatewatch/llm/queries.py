@@ -12,6 +12,7 @@ MODULES = {
     "op4_language": "langid",
     "op5_bpe": "bpe",
     "op6_quality": "quality",
+    "op7_repeated_substrings": "substrings",
     "op8_fingerprint": "fingerprints",
     "op9_near_duplicates": "neardup",
     "op10_secret_scan": "secrets",
