@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gatewatch.llm import bpe, decontaminate, neardup, quality, secrets
 from gatewatch.llm.common import materialize, table
@@ -34,11 +33,7 @@ def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret in the text, which changes n_chars; null texts stay null."""
-    found = secrets.scan(docs.select("*"))
-    text = F.when(F.col("text").isNotNull(), secrets.redact(F.col("text"), F.col("spans")))
-    chosen = found.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text")))
-    chars = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return chosen.withColumn("n_chars", chars).select(*docs.columns)
+    return secrets.redacted(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -220,9 +220,10 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, near: float =
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the least doc_id, with its own columns; of repeated rows of it one stays."""
-    heads = classes(docs).select(F.col("class_id").alias("_head")).distinct()
-    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["_head"]))
-    return kept.dropDuplicates(["_head"]).select(*docs.columns)
+    heads = classes(docs).select(F.col("class_id").alias("head")).distinct()
+    rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"))
+    kept = rows.join(heads, rows["doc_id"].eqNullSafe(heads["head"]))
+    return kept.dropDuplicates(["head"]).select("row.*")
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,8 +163,9 @@ def score(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
 
 
 def select(docs: DataFrame, model: OrdinalModel | None, least: float = KEEP) -> DataFrame:
-    """The documents that are good with a probability of `least` or more, with their own columns."""
-    return score(docs.select("*"), model).filter(F.col("p_good") >= least).select(*docs.columns)
+    """The documents that are good with a probability of `least` or more, with their own columns, whatever these are called."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return score(rows, model).filter(F.col("p_good") >= least).select("row.*")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,3 +177,13 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind_no"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(count, KINDS[:3]), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """docs with their own columns, every secret in text replaced; n_chars, if there is one, follows the new text."""
+    found = scan(docs.select(F.struct(*docs.columns).alias("row"), "text"))
+    hit = F.size("spans") > 0
+    row = F.col("row").withField("text", F.when(hit, redact(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.when(hit, F.length(row["text"]).cast("long")).otherwise(F.col("row.n_chars")))
+    return found.select(row.alias("row")).select("row.*")
