@@ -1 +1,161 @@
-"""Queries."""
+"""Queries over scalar functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..catalog import query
+from ..functions import geometry as G
+from ..functions import plates as P
+from ..functions import text as X
+from ..sources import tables as T
+
+NORMAL = "regexp_replace(upper(trim(text)), '[^A-Z0-9]', '', 'g')"
+REGION = "(" + "|".join(f"'{r}'" for r in P.REGIONS).replace("|", ", ") + ")"
+SHAPE = "'^([A-Z]{1,2})([0-9]{1,4})([A-Z]{0,3})$'"
+PARSED = f", n as (select reading_id, text, confidence, crop_quality, {NORMAL} as t from readings), q as (select *, regexp_extract(t, {SHAPE}, 1) as prefix, regexp_extract(t, {SHAPE}, 2) as num, regexp_extract(t, {SHAPE}, 3) as suffix, regexp_matches(t, {SHAPE}) and regexp_extract(t, {SHAPE}, 1) in {REGION} as ok from n) "
+AB = "from boxes a join boxes b using (frame) where a.kind = 'plate' and b.kind = 'vehicle'"
+
+
+@query("sf01_normalized", f"select reading_id, {NORMAL} as t from readings")
+def normalized(spark, sf):
+    return T.readings(spark, sf).select("reading_id", P.normalize(F.col("text")).alias("t"))
+
+
+@query("sf02_parsed", PARSED + "select reading_id, case when ok then prefix end as prefix, case when ok then num end as number, case when ok then suffix end as suffix from q")
+def parsed(spark, sf):
+    return T.readings(spark, sf).select("reading_id", P.parse(F.col("text")).alias("p")).select("reading_id", "p.*")
+
+
+@query(
+    "sf04_corrected",
+    PARSED
+    + """, s as (select *, translate(regexp_extract(t, '^([A-Z0-9]{1,2})([A-Z0-9]{1,4})([A-Z0-9]{0,3})$', 1), '0125689', 'OIZSGBg') as p2, regexp_extract(t, '^([A-Z0-9]{1,2})([A-Z0-9]{1,4})([A-Z0-9]{0,3})$', 2) as m, regexp_extract(t, '^([A-Z0-9]{1,2})([A-Z0-9]{1,4})([A-Z0-9]{0,3})$', 3) as s from q)
+select reading_id, coalesce(ok, false) as well_formed from s""",
+)
+def well_formed(spark, sf):
+    """Whether the text is a plate as it stands (its correction costs nothing)."""
+    r = P.correct(F.col("text"))
+    return T.readings(spark, sf).select("reading_id", (r["valid"] & (r["penalty"] == 0)).alias("well_formed"))
+
+
+@query("sf04_candidates")
+def candidates(spark, sf):
+    return T.readings(spark, sf).select("reading_id", P.correct(F.col("text")).alias("r")).select("reading_id", "r.corrected", "r.valid", F.round("r.penalty", 6).alias("penalty"), F.array_join("r.candidates", ",").alias("candidates"))
+
+
+@query("sf07_display", PARSED + "select reading_id, case when ok then concat_ws(' ', prefix, num, nullif(suffix, '')) else text end as shown from q")
+def display(spark, sf):
+    return T.readings(spark, sf).select("reading_id", P.display(F.col("text")).alias("shown"))
+
+
+@query("sf09_region", f", n as (select reading_id, {NORMAL} as t from readings) select reading_id, case when length(t) > 2 and substr(t, 1, 2) in {REGION} then substr(t, 1, 2) when length(t) > 1 and substr(t, 1, 1) in {REGION} then substr(t, 1, 1) end as region from n")
+def region(spark, sf):
+    return T.readings(spark, sf).select("reading_id", P.region_code(F.col("text")).alias("region"))
+
+
+@query("sf10_plate_status", "select plate_id, case when ocr_confidence >= 0.7 and plate_crop_quality >= 0.45 then 1 else 2 end as status from plates")
+def plate_status(spark, sf):
+    return T.plates(spark, sf).select("plate_id", P.status(F.col("plate_number"), F.col("ocr_confidence"), F.col("plate_crop_quality")).alias("status"))
+
+
+@query("sf11_face_status", "select detection_id, case when detection_confidence >= 0.65 then 1 when detection_confidence >= 0.40 then 2 else 0 end as status from detections")
+def face_status(spark, sf):
+    return T.detections(spark, sf).select("detection_id", P.face_status(F.col("detection_confidence")).alias("status"))
+
+
+@query("sf12_recurrence_status", "select plate_number, case when count(*) <= 1 then 'NORMAL' when count(*) <= 5 then 'SERING_MUNCUL' else 'MENCURIGAKAN' end as status from plates group by 1")
+def recurrence_status(spark, sf):
+    return T.plates(spark, sf).groupBy("plate_number").agg(F.count("*").alias("n")).select("plate_number", P.vehicle_recurrence(F.col("n"), F.lit(True)).alias("status"))
+
+
+@query("sf15_vehicle_identity", "select detection_id, case when plate_number is not null then plate_number when event_key is not null and trim(event_key) <> '' then concat('cam', camera_id, '_', trim(event_key)) else concat('track:cam', camera_id, '_', track_id) end as identity from detections d left join plates p using (plate_id)")
+def vehicle_identity(spark, sf):
+    rows = T.detections(spark, sf).join(T.plates(spark, sf).select("plate_id", "plate_number"), "plate_id", "left")
+    return rows.select("detection_id", P.vehicle_identity(F.col("plate_number"), F.col("event_key"), F.col("track_id"), F.col("camera_id")).alias("identity"))
+
+
+@query("sf17_tax_dates", "select s, regexp_matches(s, '^[0-9]{1,2}[./ -][0-9]{2}$') or regexp_matches(s, '^[./-][0-9]{2}$') or (regexp_matches(s, '^[0-9]{4}$') and cast(substr(s, 1, 2) as int) between 1 and 12 and cast(substr(s, 3, 2) as int) between 20 and 38) as tax from (select distinct concat(lpad(cast(track_id % 14 as varchar), 2, '0'), case when track_id % 3 = 0 then '.' else '' end, lpad(cast(track_id % 50 as varchar), 2, '0')) as s from detections)")
+def tax_dates(spark, sf):
+    s = T.detections(spark, sf).selectExpr("concat(lpad(cast(track_id % 14 as string), 2, '0'), case when track_id % 3 = 0 then '.' else '' end, lpad(cast(track_id % 50 as string), 2, '0')) as s").distinct()
+    return s.select("s", P.is_tax_date(F.col("s")).alias("tax"))
+
+
+@query("sf21_iou", f"select a.box_id as a, b.box_id as b, round(i / (({'(a.x2 - a.x1) * (a.y2 - a.y1)'}) + ({'(b.x2 - b.x1) * (b.y2 - b.y1)'}) - i), 6) as iou from (select a, b, greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) as i {AB})")
+def iou(spark, sf):
+    from ..operators.joins import _pairs
+
+    b = T.boxes(spark, sf)
+    return _pairs(b.filter("kind = 'plate'"), b.filter("kind = 'vehicle'")).select(F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b"), F.round(G.iou(G.box("a_"), G.box("b_")), 6).alias("iou"))
+
+
+@query("sf23_centres", "select box_id, (x1 + x2) / 2 as cx, (y1 + y2) / 2 as cy, y2 as bottom from boxes")
+def centres(spark, sf):
+    (cx, cy), (_, bottom) = G.center(G.box()), G.bottom_center(G.box())
+    return T.boxes(spark, sf).select("box_id", cx.alias("cx"), cy.alias("cy"), bottom.alias("bottom"))
+
+
+@query("sf24_sides", "select box_id, cast(sign((490 - 10) * (y2 - 120) - (140 - 120) * ((x1 + x2) / 2 - 10)) as int) as side from boxes")
+def sides(spark, sf):
+    x, y = G.bottom_center(G.box())
+    at = [F.lit(float(v)) for v in (10, 120, 490, 140)]
+    return T.boxes(spark, sf).select("box_id", G.side_of_line(x, y, *at).alias("side"))
+
+
+@query("sf25_zones")
+def zones(spark, sf):
+    """NEAR, MID or FAR of every box in a frame of 800 by 500."""
+    polygon = lambda *p: F.array(*[F.array(F.lit(x), F.lit(y)) for x, y in p])
+    b = tuple(c / n for c, n in zip(G.box(), (800.0, 500.0, 800.0, 500.0)))
+    near, mid = polygon((0.0, 0.6), (1.0, 0.6), (1.0, 1.0), (0.0, 1.0)), polygon((0.0, 0.3), (1.0, 0.3), (1.0, 0.6), (0.0, 0.6))
+    return T.boxes(spark, sf).select("box_id", G.zone_of(b, near, mid).alias("zone"))
+
+
+@query("sf26_polygons", "select camera_id, round(abs((0.1 + 0.02 * camera_id) * 0.5) , 6) as area from cameras")
+def polygons(spark, sf):
+    w = (0.1 + 0.02 * F.col("camera_id")).cast("double")
+    p = F.array(F.array(F.lit(0.0), F.lit(0.0)), F.array(w, F.lit(0.0)), F.array(w, F.lit(0.5)), F.array(F.lit(0.0), F.lit(0.5)))
+    return T.cameras(spark, sf).select("camera_id", F.round(G.shoelace(p), 6).alias("area"))
+
+
+@query("sf27_hamming", "select detection_id, bit_count(xor(cast('0x' || substr(md5(cast(detection_id as varchar)), 1, 16) as ubigint), cast('0x' || substr(md5(cast(track_id as varchar)), 1, 16) as ubigint))::bit)::int as bits from detections")
+def hamming(spark, sf):
+    h = lambda c: F.substring(F.md5(F.col(c).cast("string").cast("binary")), 1, 16)
+    return T.detections(spark, sf).select("detection_id", G.hamming(h("detection_id"), h("track_id")).alias("bits"))
+
+
+@query("sf28_crop_quality", "select plate_id, round(0.45 * ocr_confidence + 0.30 * plate_crop_quality + 0.15 * 0.5 + 0.10 * 1.0, 6) as quality from plates")
+def crop_quality(spark, sf):
+    return T.plates(spark, sf).select("plate_id", F.round(G.crop_quality(F.col("ocr_confidence"), F.col("plate_crop_quality"), F.lit(0.5), F.lit(2.0)), 6).alias("quality"))
+
+
+@query("sf30_event_score", "select plate_id, round(0.45 * ocr_confidence + 0.30 * ocr_confidence + 0.25 * plate_crop_quality, 6) as score from plates")
+def event_score(spark, sf):
+    return T.plates(spark, sf).select("plate_id", F.round(G.event_score(F.col("ocr_confidence"), F.col("ocr_confidence"), F.col("plate_crop_quality")), 6).alias("score"))
+
+
+@query("sf31_dates", "select detection_id, cast(hour(created_at) as int) as h, cast(created_at as date) as d, strftime(created_at, '%d/%m') as dm from detections")
+def dates(spark, sf):
+    return T.detections(spark, sf).select("detection_id", F.hour("created_at").alias("h"), F.to_date("created_at").alias("d"), F.date_format("created_at", "dd/MM").alias("dm"))
+
+
+@query("sf34_rounded", "select camera_id, round(avg(detection_confidence) * 100, 1) as c from detections group by 1")
+def rounded(spark, sf):
+    return T.detections(spark, sf).groupBy("camera_id").agg(F.round(F.avg("detection_confidence") * 100, 1).alias("c"))
+
+
+@query("sf41_converters", "select detection_id, cast(c as double) / 10 as v from (select detection_id, cast(round(detection_confidence * 1000) as int) as c from detections)")
+def converters(spark, sf):
+    text = F.concat((F.round(F.col("detection_confidence") * 1000).cast("int") / 10).cast("string"), F.lit("%"))
+    return T.detections(spark, sf).select("detection_id", F.round(X.to_number(text), 6).alias("v"))
+
+
+@query("sf42_labels", "select detection_status, case detection_status when 1 then 'Terbaca' when 2 then 'Perlu Dicek' else 'Gagal' end as label, count(*) as n from detections group by 1")
+def labels(spark, sf):
+    return T.detections(spark, sf).groupBy("detection_status").agg(F.count("*").alias("n")).select("detection_status", X.status_label(F.col("detection_status")).alias("label"), "n")
+
+
+@query("sf43_buckets", "select case when detection_confidence >= 0.8 then 'high' when detection_confidence >= 0.5 then 'middle' else 'low' end as bucket, count(*) as n from detections group by 1")
+def buckets(spark, sf):
+    c = F.col("detection_confidence")
+    return T.detections(spark, sf).groupBy(F.when(c >= 0.8, "high").when(c >= 0.5, "middle").otherwise("low").alias("bucket")).agg(F.count("*").alias("n"))
