@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,23 +74,20 @@ def prepared(readings: DataFrame) -> DataFrame:
     )
 
 
-def _rows(part: pd.DataFrame) -> Iterator[dict]:
-    for r in part.sort_values("seq").to_dict("records"):
-        yield {k: None if r[k] is None or r[k] is pd.NA or (isinstance(r[k], float) and pd.isna(r[k])) else r[k] for k in READING}
-
-
 def merged_events(readings: DataFrame) -> DataFrame:
     """The stored event of each key after all its readings in order of seq. Acceptance depends on what was accepted before, so an
-    event's readings are folded one by one; an event is one passage of one vehicle."""
+    event's readings are folded one by one, along sorted partitions."""
+    from ..streaming.folds import fold_batch
+
+    def step(state: dict | None, row: dict) -> tuple[dict, list[dict]]:
+        stored, changed = fold(state and state["stored"], {k: row[k] for k in READING})
+        return {"key": row["event_key"], "stored": stored, "n": (state["n"] if state else 0) + 1, "changes": (state["changes"] if state else 0) + changed}, []
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        stored, n, changes = None, 0, 0
-        for r in _rows(part):
-            stored, changed_now = fold(stored, r)
-            n, changes = n + 1, changes + changed_now
-        return pd.DataFrame([{"event_key": part["event_key"].iloc[0], **stored, "n_readings": n, "n_changes": changes}])[[f.split()[0] for f in EVENT_SCHEMA.split(", ")]]
+    def final(state: dict) -> list[dict]:
+        return [{"event_key": state["key"], **state["stored"], "n_readings": state["n"], "n_changes": state["changes"]}]
 
-    return prepared(readings).filter("event_key is not null").groupBy("event_key").applyInPandas(run, EVENT_SCHEMA)
+    rows = prepared(readings).filter("event_key is not null")
+    return fold_batch(rows, ["event_key"], ["seq"], step, EVENT_SCHEMA, final)
 
 
 def upsert(target: DataFrame, changes: DataFrame, key: str) -> DataFrame:

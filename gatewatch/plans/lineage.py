@@ -1,15 +1,23 @@
-"""Cuts the lineage of iterative plans in the folder that the cluster shares."""
+"""The folder that the cluster shares, and plans cut there."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or a temporary folder where that is unset."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="gatewatch-")
+        sc.setCheckpointDir(folder)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and checkpointed: in spark.checkpoint.dir, or in a temporary folder where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gatewatch-"))
+    """df, computed once and checkpointed in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -1 +1,109 @@
-"""Queries."""
+"""Queries over stateful folds (batch twins) and streams run over all that is there."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..catalog import query
+from ..operators import merge
+from ..sources import tables as T
+from ..streaming import folds, streams
+from ..streaming import trackers as K
+from .shared import stamp
+
+AT = "cast(unix_micros(created_at) as double) / 1000000D as at"
+
+
+@query("ss03_generations", "select detection_id as id, cast(sum(fresh) over (partition by camera_id, track_id order by created_at, detection_id) as bigint) as generation from (select *, case when epoch_us(created_at) - epoch_us(lag(created_at) over (partition by camera_id, track_id order by created_at, detection_id)) > 86400000000 then 1 else 0 end as fresh from detections)")
+def generations(spark, sf):
+    rows = T.detections(spark, sf).selectExpr("camera_id", "track_id", "detection_id as id", AT)
+    return folds.fold_batch(rows, ["camera_id", "track_id"], ["at", "id"], K.generation(86_400), "id long, generation long")
+
+
+@query("ss04_crossings", """, x as (select detection_id, camera_id, track_id, created_at, cast(detection_id % 3 as int) - 1 as side, case when camera_id % 2 = 0 then 'entry' else 'exit' end as way from detections),
+y as (select *, last_value(case when side <> 0 then side end ignore nulls) over (partition by camera_id, track_id order by created_at, detection_id rows between unbounded preceding and 1 preceding) as before from x)
+select detection_id as id, case when side <> 0 and before <> 0 and side <> before then case when before = 1 then way when way = 'entry' then 'exit' else 'entry' end else 'unknown' end as direction from y""")
+def crossings(spark, sf):
+    rows = T.detections(spark, sf).selectExpr("camera_id", "track_id", "detection_id as id", AT, "cast(detection_id % 3 as int) - 1 as side", "case when camera_id % 2 = 0 then 'entry' else 'exit' end as camera_direction", "1 as outside")
+    return folds.fold_batch(rows, ["camera_id", "track_id"], ["at", "id"], K.crossing(), "id long, direction string")
+
+
+@query("ss05_plate_tracks")
+def plate_tracks(spark, sf):
+    rows = T.readings(spark, sf).selectExpr("track_id as track", "text", "confidence", "crop_quality as quality", AT, "reading_id as id")
+    step, final = K.plate_track(86_400)
+    return folds.fold_batch(rows, ["track"], ["at", "id"], step, "track long, first_at double, last_at double, readings long, best string, best_quality double, confidence double", final)
+
+
+@query("ss09_cooldown")
+def cooldown(spark, sf):
+    rows = T.detections(spark, sf).selectExpr("camera_id", "track_id", "detection_id as id", AT)
+    return folds.fold_batch(rows, ["camera_id", "track_id"], ["at", "id"], K.cooldown(43_200), "id long")
+
+
+@query("ss10_person_filter")
+def person_filter(spark, sf):
+    rows = T.detections(spark, sf).join(T.boxes(spark, sf).withColumnRenamed("box_id", "detection_id"), "detection_id").filter("object_type = 'person'")
+    rows = rows.selectExpr("camera_id", "track_id as track", "detection_id as id", AT, "(x1 + x2) / 2 as x", "(y1 + y2) / 2 as y", "(x2 - x1) * (y2 - y1) as area")
+    return folds.fold_batch(rows, ["camera_id"], ["at", "id"], K.person_filter(track=86_400, near=43_200), "id long, reason string")
+
+
+@query("ss12_improvements")
+def improvements(spark, sf):
+    rows = T.readings(spark, sf).selectExpr("concat('vehicle:', track_id) as event_key", "reading_id as seq", "text as plate", "confidence as ocr", "confidence as consensus", "crop_quality as quality", "reading_id % 2 = 0 as stable", "confidence as vehicle_confidence", "false as has_driver", "'unknown' as direction", "'car' as vehicle_type", "cast(null as string) as image")
+    return folds.fold_batch(merge.prepared(rows), ["event_key"], ["seq"], K.improvement(), "event_key string, seq long, plate string, status int")
+
+
+@query("ss01_grouping")
+def grouping(spark, sf):
+    rows = T.boxes(spark, sf).join(T.detections(spark, sf).selectExpr("detection_id as box_id", "camera_id", "track_id", "created_at"), "box_id")
+    rows = rows.selectExpr("camera_id", "track_id as track", "box_id as id", AT, "frame", "kind", "x1", "y1", "x2", "y2")
+    return folds.fold_batch(rows, ["camera_id"], ["at", "id"], K.grouping(gap=86_400, expiry=172_800), "id long, object long, switched boolean")
+
+
+@query("ss18_focus")
+def focus(spark, sf):
+    rows = T.detections(spark, sf).selectExpr("camera_id", "detection_id as id", AT, "detection_confidence as score")
+    return folds.fold_batch(rows, ["camera_id"], ["at", "id"], K.target_hold(43_200, 0.1), "id long, focus long")
+
+
+@query("ss14_newest_of_camera", "select camera_id, arg_max(detection_id, row(created_at, detection_id)) as detection_id from detections group by 1")
+def newest_of_camera(spark, sf):
+    return streams.newest_of_camera(T.detections(spark, sf)).select("camera_id", "detection_id")
+
+
+@query("ss17_every_third", "select detection_id from detections where detection_id % 3 = 1")
+def every_third(spark, sf):
+    return folds.run_available(streams.every_nth_frame(streams.detections(spark, sf)).select("detection_id"), "sampled")
+
+
+@query("ss_stream_counts")
+def stream_counts(spark, sf):
+    """Windowed counts of the stream: windows that the watermark has passed."""
+    return folds.run_available(streams.counts(streams.detections(spark, sf)), "counts").withColumn("start", stamp("start"))
+
+
+@query("ss09_first_of_key")
+def first_of_key(spark, sf):
+    rows = streams.first_of_key(streams.detections(spark, sf), ["camera_id", "track_id"]).select("detection_id", "camera_id", "track_id")
+    return folds.run_available(rows, "first")
+
+
+@query("ss11_late_plates")
+def late_plates(spark, sf):
+    d = streams.detections(spark, sf)
+    return folds.run_available(streams.late_plates(d.filter("object_type = 'vehicle'"), d.filter("plate_id is not null"), 43_200), "late")
+
+
+@query("ss03_stream_generations")
+def stream_generations(spark, sf):
+    rows = streams.detections(spark, sf).selectExpr("camera_id", "track_id", "detection_id as id", AT, "created_at")
+    out = folds.fold_stream(rows, ["camera_id", "track_id"], ["at", "id"], K.generation(86_400), "id long, generation long", 172_800_000)
+    return folds.run_available(out, "generations")
+
+
+@query("ss22_session_windows", """select camera_id, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') as start, count(*) as n from (select *, sum(f) over (partition by camera_id order by created_at) as s from (select *, case when epoch_us(created_at) - epoch_us(lag(created_at) over (partition by camera_id order by created_at)) > 3600000000 then 1 else 0 end as f from detections)) group by camera_id, s""")
+def session_windows(spark, sf):
+    """Natural extension of WN-4: sessions of a camera with a gap of an hour."""
+    found = T.detections(spark, sf).groupBy("camera_id", F.session_window("created_at", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.min("created_at").alias("start"))
+    return found.select("camera_id", stamp("start"), "n")
