@@ -38,7 +38,7 @@ ENCODINGS = (
     ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_=", 64, 0.06),
 )
 #: Third-moment excess of structured text, its rate of class changes, and the false-discovery rate.
-THIRD, CHANGES, FDR, MAX_BIN = 0.0013, 0.25, 0.01, 400
+THIRD, CHANGES, FDR, MAX_BIN = 0.0013, 0.45, 0.01, 400
 
 
 def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
