@@ -6,6 +6,7 @@ import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, Callable[[], None]]:
+    """Writes df as a table bucketed by key, so that joins on the key don't move it; and what deletes the table again. Rows that
+    the plan has already dealt out by key go straight to their bucket's file."""
+    spark = df.sparkSession
+    name, folder = f"gatewatch_{uuid.uuid4().hex[:12]}", f"{shared_dir(spark)}/table-{uuid.uuid4().hex[:12]}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", folder).format("parquet").saveAsTable(name)
+    table = spark.table(name)
+
+    def drop() -> None:
+        spark.sql(f"drop table {name}")
+        discard(table)
+
+    return table, drop
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a materialized table that no later plan reads."""
     spark = df.sparkSession

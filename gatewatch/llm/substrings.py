@@ -23,7 +23,6 @@ row, repeated rows being copies of each other; an empty table gives an empty res
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, shared_dir, table
+from .common import bucketed, discard, materialize, table
 
 LENGTH, GRAM = 200, 40
 #: Stretches in a shard and of an anchor's piece at most, and windows handled at once.
@@ -256,9 +255,7 @@ def removals(docs: DataFrame) -> DataFrame:
     data = F.coalesce("text", F.lit("")).cast("binary")
     rows = docs.select("doc_id", data.alias("data")).filter(F.octet_length("data") >= LENGTH).withColumn("key", F.unhex(F.md5("data")))
     chosen = rows.join(long_nodes.select("key", "n", "copies", "rep"), "key").filter(F.col("doc_id").eqNullSafe(F.col("rep")))
-    name, folder = f"gatewatch_{uuid.uuid4().hex[:12]}", f"{shared_dir(spark)}/texts-{uuid.uuid4().hex[:12]}"
-    chosen.select("n", "copies", "data").repartition(parts, "n").write.bucketBy(parts, "n").option("path", folder).format("parquet").saveAsTable(name)
-    texts = spark.table(name)
+    texts, drop = bucketed(chosen.select("n", "copies", "data").repartition(parts, "n"), "n")
 
     found = materialize(anchors(texts.select("n", "data")), "anchors")
     several = found.groupBy("hash").agg(F.count("*").alias("c")).filter("c > 1").select("hash")
@@ -346,10 +343,9 @@ def removals(docs: DataFrame) -> DataFrame:
         "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, 1).otherwise(F.coalesce("runs", F.lit(0))).cast("long").alias("n_spans"), F.when(gone, F.lit(nothing)).otherwise(F.coalesce("kept", "sha256")).alias("kept_sha256"),
     ), "removals")
-    spark.sql(f"drop table {name}")
+    drop()
     for used in (found, shared, kinds, work):
         discard(used)
-    discard(spark.read.parquet(folder))
     return out
 
 
