@@ -172,3 +172,82 @@ def is_tax_date(text: Column) -> Column:
     month, year = F.substring(t, 1, 2).try_cast("int"), F.substring(t, 3, 2).try_cast("int")
     plain = t.rlike("^[0-9]{4}$") & month.between(1, 12) & year.between(20, 38)
     return t.rlike(r"^[0-9]{1,2}[.\-/\s][0-9]{2}$") | t.rlike(r"^[.\-/][0-9]{2}$") | F.coalesce(plain, F.lit(False))
+
+
+# The second list of regions, its corrections, and the characters that the segmenter confuses.
+SEGMENT_REGIONS = "A AA AB AD AE AG B BA BB BD BE BG BH BK BL BM BN BP D DA DB DC DD DE DG DH DK DL DM DN DP DR DT E EA EB ED F G H K KB KH KT KU L M N P PA PB R S T W Z".split()
+SEGMENT_CORRECTIONS = {"AR": "AB", "AP": "AB", "AQ": "AB", "AO": "AD", "AC": "AD", "AL": "AB"}
+SEGMENT_TO_DIGITS = ("BODQCILJZSGAT", "8000011125647")
+SEGMENT_TO_LETTERS = ("8012345679", "BOIZEASGTP")
+
+
+def to_digits(text: Column) -> Column:
+    return F.translate(F.upper(text), *SEGMENT_TO_DIGITS)
+
+
+def to_letters(text: Column) -> Column:
+    return F.translate(F.upper(text), *SEGMENT_TO_LETTERS)
+
+
+def _segment_prefix(raw: Column) -> Column:
+    letters = to_letters(raw)
+    fixed = F.create_map(*[F.lit(x) for kv in SEGMENT_CORRECTIONS.items() for x in kv])
+    return F.coalesce(F.try_element_at(fixed, letters), letters)
+
+
+def segment(text: Column) -> Column:
+    """struct<text,formatted,valid,known>: the most plausible cut of a reading into region, number and series.
+
+    Texts with spaces are taken at their word where that fits. Otherwise every cut with one or two letters and one to four
+    digits is scored: a known region, few changes and parts that are letters or digits already count; ten points are needed."""
+    singles = [r for r in SEGMENT_REGIONS if len(r) == 1]
+    pair_heads = sorted({r[0] for r in SEGMENT_REGIONS if len(r) == 2})
+
+    def result(t: Column, shown: Column, valid, known) -> Column:
+        flag = lambda v: F.lit(v) if isinstance(v, bool) else v
+        return F.struct(t.alias("text"), shown.alias("formatted"), flag(valid).alias("valid"), flag(known).alias("known"))
+
+    def joined(p: Column, n: Column, s: Column) -> Column:
+        return F.concat_ws(" ", p, n, F.when(s != "", s))
+
+    def changed(a: Column, b: Column) -> Column:
+        return F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: ~x.eqNullSafe(y) & x.isNotNull() & y.isNotNull()), lambda v: v))
+
+    def cut(c: Column, k: int, n: int, rank: Column) -> Column:
+        p_raw, n_raw, s_raw = F.substring(c, 1, k), F.substring(c, k + 1, n), F.substring(c, k + n + 1, 12)
+        p, number, s = _segment_prefix(p_raw), to_digits(n_raw), to_letters(s_raw)
+        fits = (F.length(c) >= k + 2) & (F.length(c) > k + n) & number.rlike("^[0-9]+$") & ((s_raw == "") | s.rlike("^[A-Z]{1,3}$"))
+        known = p.isin(SEGMENT_REGIONS)
+        moves = changed(p_raw, p) + changed(n_raw, number) + F.when(s_raw != "", changed(s_raw, s)).otherwise(0)
+        points = F.when(known, 15).when(F.substring(p, 1, 1).isin(pair_heads), 5).otherwise(0) + F.when(moves == 0, 10).otherwise(-4 * moves)
+        points = points + (F.when(p_raw.isin(singles), 5).otherwise(0) if k == 1 else 0) + F.when(p.rlike("^[A-Z]+$"), 3).otherwise(0) + 6
+        points = points + F.when(n_raw.rlike("^[0-9]+$"), 3).otherwise(0) + F.when(s_raw.rlike("^[A-Z]+$"), 3).otherwise(0)
+        return F.when(fits, F.struct(points.alias("points"), (-(rank * 10 + (4 - n))).alias("order"), result(F.concat(p, number, s), joined(p, number, s), True, known).alias("r")))
+
+    def whole(c: Column) -> Column:
+        single_first = F.substring(c, 1, 1).isin(singles) & F.substring(c, 2, 1).rlike(f"[0-9{SEGMENT_TO_DIGITS[0]}]")
+        rank = {1: F.when(single_first, 0).otherwise(1), 2: F.when(single_first, 1).otherwise(0)}
+        best = F.array_max(F.filter(F.array(*[cut(c, k, n, rank[k]) for k in (1, 2) for n in (4, 3, 2, 1)]), lambda x: x.isNotNull()))
+
+        def chosen(b: Column) -> Column:
+            bare = c.rlike("^[0-9]{1,4}[A-Z]{1,3}$")
+            shown = F.regexp_replace(c, "^([0-9]{1,4})([A-Z]{1,3})$", "$1 $2")
+            rest = F.when(bare, result(c, shown, True, False)).otherwise(result(c, c, F.length(c).between(3, 10), False))
+            return F.when(F.coalesce(b["points"] >= 10, F.lit(False)), b["r"]).otherwise(rest)
+
+        return let(best, chosen)
+
+    def spaced(parts: Column, c: Column) -> Column:
+        p, n = _segment_prefix(F.get(parts, F.lit(0))), to_digits(F.get(parts, F.lit(1)))
+        s = to_letters(F.array_join(F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0))), ""))
+        three = (F.size(parts) >= 3) & p.isin(SEGMENT_REGIONS) & n.rlike("^[0-9]+$") & s.rlike("^[A-Z]{1,3}$")
+        tail = to_letters(F.get(parts, F.lit(1)))
+        two = (F.size(parts) == 2) & F.get(parts, F.lit(0)).rlike("^[0-9]{1,4}$") & tail.rlike("^[A-Z]{1,3}$")
+        by_two = result(F.concat(F.get(parts, F.lit(0)), tail), F.concat_ws(" ", F.get(parts, F.lit(0)), tail), True, False)
+        return F.when(three, result(F.concat(p, n, s), joined(p, n, s), True, True)).when(two, by_two).otherwise(whole(c))
+
+    def judged(c: Column) -> Column:
+        parts = F.filter(F.split(F.upper(F.trim(F.coalesce(text, F.lit("")))), r"[\s.\-]+"), lambda x: x != "")
+        return F.when(~F.length(c).between(3, 12), result(c, c, False, False)).otherwise(let(parts, lambda x: spaced(x, c)))
+
+    return let(normalize(text), judged)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import text as X
-from ..operators import dedup, dml, merge
+from ..operators import dedup, dml, merge, reports
 from ..sources import tables as T
 from .shared import events, stamp
 
@@ -146,3 +146,34 @@ def first_sightings(spark, sf):
 @query("sk21_finished_plates", "select plate_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') as created_at from plates where ocr_confidence >= 0.65 or plate_crop_quality >= 0.5")
 def finished_plates(spark, sf):
     return T.plates(spark, sf).filter("ocr_confidence >= 0.65D or plate_crop_quality >= 0.5D").select("plate_id", stamp())
+
+
+@query("sk18_report_names", "select camera_id, concat('laporan_', regexp_replace(trim(location), '[^A-Za-z0-9._-]+', '_', 'g'), '_20240120.csv') as name from cameras")
+def report_names(spark, sf):
+    return T.cameras(spark, sf).select("camera_id", F.concat(F.lit("laporan_"), X.safe_file_name(F.col("location")), F.lit("_"), F.date_format(F.lit("2024-01-20").cast("date"), "yyyyMMdd"), F.lit(".csv")).alias("name"))
+
+
+@query("sk15_plate_report", "select plate_id, case when plate_number <> '' then plate_number else '-' end as plat, case detection_status when 1 then 'Terbaca' when 2 then 'Perlu Dicek' else 'Gagal' end as status, round(ocr_confidence * 100, 1) as keyakinan from plates")
+def plate_report(spark, sf):
+    return reports.plates(T.plates(spark, sf))
+
+
+@query("sk15_camera_report", "select camera_id, location as lokasi, case when status = 1 then 'Aktif' else 'Nonaktif' end as status, concat(upper(substr(direction, 1, 1)), substr(direction, 2)) as arah from cameras")
+def camera_report(spark, sf):
+    return reports.cameras(T.cameras(spark, sf))
+
+
+@query("sk15_recap_report", "select coalesce(max(source_name), max(location), concat('CCTV-', camera_id)) as camera, count_if(object_type = 'vehicle') as vehicles, count_if(object_type = 'person') as people, count(*) as total from ev left join cameras c using (camera_id) group by camera_id", events=True)
+def recap_report(spark, sf):
+    return reports.recap(_events(spark, sf), T.cameras(spark, sf))
+
+
+@query("sk15_statistics_report", "select count_if(object_type = 'vehicle') as vehicles, count_if(object_type = 'person') as people, count(distinct case when plate_number <> '' then plate_number end) as unique_plates, cast(floor(round(count_if(plate_status = 1) * 100.0 / nullif(count_if(plate_status is not null), 0), 1) + 0.5) as bigint) as read_rate from ev", events=True)
+def statistics_report(spark, sf):
+    return reports.statistics(_events(spark, sf))
+
+
+def _events(spark, sf):
+    from ..operators import analytics
+
+    return analytics.with_plates(events(spark, sf), T.plates(spark, sf))

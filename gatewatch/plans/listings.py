@@ -172,3 +172,25 @@ def bounded_history(spark, sf):
 def work_queue(spark, sf):
     rows = T.detections(spark, sf).selectExpr("*", "case when detection_id % 2 = 0 then 'x.jpg' end as image", "cast(detection_id % 5 as int) as retries")
     return L.work_queue(rows).select("detection_id")
+
+
+@query("fl16_recurrence_filter", "select plate_number, count(*) as n, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') as last_seen from plates group by 1 having count(*) >= 2 and max(created_at) >= timestamp '2024-01-15' and contains(plate_number, 'B1')")
+def recurrence_filter(spark, sf):
+    found = T.plates(spark, sf).groupBy("plate_number").agg(F.count("*").alias("n"), F.max("created_at").alias("created_at"))
+    found = L.search(found.filter("n >= 2").filter(L.conditions(date(2024, 1, 15))), "B1", "plate_number")
+    return found.select("plate_number", "n", stamp().alias("last_seen"))
+
+
+@query("fl17_camera_day_search", "select d.camera_id, cast(created_at as date) as day, count(*) as n from detections d join cameras c on d.camera_id = c.camera_id where contains(upper(location), 'MASUK') group by 1, 2")
+def camera_day_search(spark, sf):
+    rows = T.detections(spark, sf).join(F.broadcast(T.cameras(spark, sf).select("camera_id", "location")), "camera_id")
+    return L.search(rows, "masuk", "location").groupBy("camera_id", F.to_date("created_at").alias("day")).agg(F.count("*").alias("n"))
+
+
+@query("fl23_plate_detector", "select box_id, greatest(x1 - (x2 - x1) * 0.08, 0) as px1, least(x2 + (x2 - x1) * 0.08, 800) as px2 from boxes where kind = 'plate' and x2 - x1 >= 24 and y2 - y1 >= 8 and (x2 - x1) / (y2 - y1) between 1.2 and 8")
+def plate_detector(spark, sf):
+    from ..functions import geometry as G
+
+    kept = L.admitted(T.boxes(spark, sf).filter("kind = 'plate'"), 24, 8, 1.2, 8.0)
+    grown = G.expand(G.box(), 0.08, 800.0, 500.0)
+    return kept.select("box_id", grown[0].alias("px1"), grown[2].alias("px2"))

@@ -159,3 +159,41 @@ def labels(spark, sf):
 def buckets(spark, sf):
     c = F.col("detection_confidence")
     return T.detections(spark, sf).groupBy(F.when(c >= 0.8, "high").when(c >= 0.5, "middle").otherwise("low").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("sf16_segments")
+def segments(spark, sf):
+    return T.readings(spark, sf).select("reading_id", P.segment(F.col("text")).alias("s")).select("reading_id", "s.*")
+
+
+@query("sf18_translated", "select reading_id, translate(upper(text), 'BODQCILJZSGAT', '8000011125647') as digits, translate(upper(text), '8012345679', 'BOIZEASGTP') as letters from readings")
+def translated(spark, sf):
+    return T.readings(spark, sf).select("reading_id", P.to_digits(F.col("text")).alias("digits"), P.to_letters(F.col("text")).alias("letters"))
+
+
+@query("sf29_lighting", "select detection_id, case when b < 60 then 'dark' when b > 200 then 'bright' else 'normal' end as lighting, count(*) over () > 0 as known from (select detection_id, detection_confidence * 255 as b from detections)")
+def lighting(spark, sf):
+    b = F.col("detection_confidence") * 255
+    return T.detections(spark, sf).select("detection_id", F.when(b < 60, "dark").when(b > 200, "bright").otherwise("normal").alias("lighting"), F.lit(True).alias("known"))
+
+
+@query("sf35_file_names", "select camera_id, regexp_replace(trim(location), '[^A-Za-z0-9._-]+', '_', 'g') as name from cameras")
+def file_names(spark, sf):
+    return T.cameras(spark, sf).select("camera_id", X.safe_file_name(F.col("location")).alias("name"))
+
+
+@query("sf37_flattened", "select camera_id, count(*) as n from detections group by 1")
+def flattened(spark, sf):
+    """Nested reader results, packed as JSON, flattened to rows and counted."""
+    packed = T.detections(spark, sf).groupBy("camera_id").agg(F.to_json(F.collect_list(F.struct(F.col("detection_id").cast("string").alias("text"), F.col("detection_confidence").alias("score")))).alias("raw"))
+    items = packed.select("camera_id", F.explode(F.from_json("raw", "array<struct<text:string,score:double>>")).alias("item"))
+    return items.filter("item.text is not null").groupBy("camera_id").agg(F.count("*").alias("n"))
+
+
+@query("sf40_track_results")
+def track_results(spark, sf):
+    """Votes as result rows: corrected text, confidence scaled by the correction's cost, display form."""
+    from ..operators.votes import votes
+
+    v = votes(T.readings(spark, sf)).withColumn("r", P.correct(F.col("text")))
+    return v.select("track_id", F.when(F.col("r.valid"), F.col("r.corrected")).otherwise(F.col("text")).alias("text"), F.round(F.col("confidence") * (1 - 0.5 * F.col("r.penalty")), 6).alias("confidence"), P.display(F.col("text")).alias("shown"))

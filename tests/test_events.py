@@ -117,3 +117,12 @@ def test_captures_and_sizes(spark, tmp_path):
     r = scans.captures(spark, str(tmp_path)).first()
     assert r["track_id"] == 3 and r["candidates"][0]["text"] == "B1"
     assert scans.file_sizes(spark, str(tmp_path)).first()["files"] == 1
+
+
+def test_reports_are_written(spark, tmp_path):
+    from gatewatch.operators import reports
+
+    table = spark.createDataFrame([(1, None, 1, "entry")], "camera_id long, location string, status int, direction string")
+    for kind in ("csv", "json", "parquet"):
+        reports.write(reports.cameras(table), f"{tmp_path}/{kind}", kind)
+    assert spark.read.option("header", True).csv(f"{tmp_path}/csv").first()["status"] == "Aktif"

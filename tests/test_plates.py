@@ -75,3 +75,17 @@ def test_identities(spark):
     assert [r[0] for r in df.select(P.person_identity(F.col("k"), F.col("t"))).collect()] == ["grp_2", "track:5", "other", "track:7"]
     one = spark.range(1).select(P.vehicle_identity(F.lit(None).cast("string"), F.lit("vehicle:1:9:gen2"), F.lit(3), F.lit(4)).alias("i")).first()
     assert one["i"] == "cam4_vehicle:1:9"
+
+
+@pytest.mark.parametrize(
+    ("text", "formatted", "known"),
+    [("B2750TRO", "B 2750 TRO", True), ("AB 1618 SI", "AB 1618 SI", True), ("P4712Y", "P 4712 Y", True), ("1480 HK", "1480 HK", False), ("8 2750 TRO", "B 2750 TRO", True), ("AR 1618 SI", "AB 1618 SI", True)],
+)
+def test_segments(spark, text, formatted, known):
+    r = spark.range(1).select(P.segment(F.lit(text)).alias("s")).first()["s"]
+    assert (r["formatted"], r["known"], r["valid"]) == (formatted, known, True)
+
+
+def test_tax_dates(spark):
+    df = _texts(spark, ["08.28", "11-27", "05 26", ".28", "0828", "1399", "B12", "0819"])
+    assert [r[0] for r in df.select(P.is_tax_date(F.col("text"))).collect()] == [True] * 5 + [False] * 3
