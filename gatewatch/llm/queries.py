@@ -18,7 +18,7 @@ MODULES = {
     "op10_secret_scan": "secrets",
 }
 #: Modules that hold SQL, each in a dictionary ORACLE_SQL.
-SQL: tuple[str, ...] = ()
+SQL: tuple[str, ...] = ("warc",)
 
 
 def queries() -> dict:

@@ -191,3 +191,15 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder = "file://" + folder
     manifest = write_archives(table(spark, sf_dir, "pages"), folder)
     return read_archives(manifest, folder).drop("url")
+
+
+#: Five hex digits of a SHA-1 are four base32 characters.
+ORACLE_SQL = {
+    "op2_warc": """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as hx from pages),
+d as (select page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + cast((cast('0x' || substr(hx, 1 + 5 * (i // 4), 5) as bigint) >> cast(15 - 5 * (i % 4) as int)) & 31 as int), 1)), '') as payload_digest from p),
+w as (select *, max(page_id) over (partition by payload_digest) as winner from d)
+select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest, case when page_id = winner then 'response' else 'revisit' end as record_type,
+    case when page_id <> winner then winner end as refers_to from w""",
+}
