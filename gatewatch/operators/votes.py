@@ -49,3 +49,15 @@ def best_valid(captures: DataFrame) -> DataFrame:
     """The surest valid candidate of each capture (capture_id, candidates)."""
     rows = captures.select("capture_id", F.explode("candidates").alias("c")).filter(P.is_valid(F.col("c.text")))
     return rows.groupBy("capture_id").agg(F.max_by(F.struct("c.text", "c.confidence"), F.struct("c.confidence", "c.text")).alias("b")).select("capture_id", "b.text", "b.confidence")
+
+
+def merged_fragments(items: DataFrame, height: float = 12.0) -> DataFrame:
+    """text, confidence of each group's fragments (group_id, text, x, y, confidence): tax dates go, the others are put into lines from
+    top to bottom; the line that makes a known plate wins, then the surer one, then the upper one."""
+    w = Window.partitionBy("group_id").orderBy("y", "x")
+    line = F.sum(F.when(F.col("y") - F.lag("y").over(w) > height, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = items.filter(~P.is_tax_date(F.col("text"))).withColumn("line", line)
+    lines = rows.groupBy("group_id", "line").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "text"))), lambda s: s["text"]), " ").alias("joined"), F.avg("confidence").alias("confidence"))
+    cut = lines.withColumn("s", P.segment(F.col("joined")))
+    best = F.struct(F.col("s.known"), F.col("s.valid"), F.round("confidence", 9), -F.col("line"))
+    return cut.groupBy("group_id").agg(F.max_by(F.struct(F.col("s.text").alias("text"), F.round("confidence", 6).alias("confidence")), best).alias("b")).select("group_id", "b.*")

@@ -159,3 +159,12 @@ def best_variant(spark, sf):
 def pipeline_metrics(spark, sf):
     d = T.detections(spark, sf)
     return d.groupBy("camera_id").agg(F.count("*").alias("frames"), F.round(F.avg("detection_confidence"), 6).alias("mean_confidence"), F.max_by("detection_id", F.struct("created_at", "detection_id")).alias("last_detection"))
+
+
+@query("sf36_fragments")
+def fragments(spark, sf):
+    """Fragments of a frame put together: region, number and series stand beside each other, a tax date below."""
+    r = T.plates(spark, sf).selectExpr("plate_id as group_id", "regexp_extract(plate_number, '^[A-Z]+', 0) as p", "regexp_extract(plate_number, '[0-9]+', 0) as n", "ocr_confidence as confidence")
+    parts = F.array(*[F.struct(t.alias("text"), F.lit(x).alias("x"), F.lit(y).alias("y")) for t, x, y in ((F.col("n"), 30.0, 1.0), (F.col("p"), 0.0, 0.0), (F.lit("CD"), 60.0, 2.0), (F.lit("08.28"), 10.0, 40.0))])
+    items = r.select("group_id", "confidence", F.explode(parts).alias("i")).select("group_id", "confidence", "i.*")
+    return votes.merged_fragments(items)

@@ -89,3 +89,11 @@ def test_segments(spark, text, formatted, known):
 def test_tax_dates(spark):
     df = _texts(spark, ["08.28", "11-27", "05 26", ".28", "0828", "1399", "B12", "0819"])
     assert [r[0] for r in df.select(P.is_tax_date(F.col("text"))).collect()] == [True] * 5 + [False] * 3
+
+
+def test_fragments(spark):
+    from gatewatch.operators.votes import merged_fragments
+
+    rows = [(1, "2750", 30.0, 1.0, 0.9), (1, "B", 0.0, 0.0, 0.8), (1, "TRO", 60.0, 2.0, 0.7), (1, "08.28", 20.0, 40.0, 0.99), (2, "XX", 0.0, 0.0, 0.9)]
+    df = spark.createDataFrame(rows, "group_id int, text string, x double, y double, confidence double")
+    assert {r["group_id"]: r["text"] for r in merged_fragments(df).collect()} == {1: "B2750TRO", 2: "XX"}
