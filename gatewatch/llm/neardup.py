@@ -7,10 +7,11 @@ with the probability Jaccard similarity of the weighted sets. BANDS bands of ROW
 is missed with probability 6e-5.
 
 Equal texts are one node from the start (and one row per task before any shuffle). In a bucket the nodes are not paired with
-each other: a hub is compared with all of them, the nodes it does not reach become hubs in later rounds (twice as many each
-round), and a bucket ends when all nodes that have not been hubs are in one class. So every pair of different classes has
-been compared through one of its nodes being a hub, and a bucket of copies costs one comparison a node. Comparisons use the exact
-Jaccard similarity of the distinct shingles; from NEAR on, two nodes are linked. Classes are the connected components of the
+each other: a hub is compared with all of them, the nodes it does not reach become hubs in later rounds (up to 256 a bucket,
+then more), and a bucket ends when all nodes that have not been hubs are in one class. So every pair of different classes has
+been compared through one of its nodes being a hub, or is proven apart: in a bucket of more than LARGE nodes, two texts whose
+shingles that any other node has are too few for NEAR cannot be alike, and are not met. Comparisons use the exact Jaccard
+similarity of the distinct shingles; from NEAR on, two nodes are linked. Classes are the connected components of the
 links, found by hooking to the least neighbour and pointer jumping on tables.
 
 Defined cases: null and empty texts are alike and form one class; null doc_ids are kept and never name a class that has another
@@ -30,9 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NEAR, SHINGLE, materialize, table
+from .common import NEAR, SHINGLE, bucketed, discard, materialize, table
 
-BANDS, ROWS = 32, 6
+BANDS, ROWS, LARGE = 32, 6, 32
 WORD = re.compile(r"\w+")
 GOLDEN, CACHE = np.uint64(0x9E3779B97F4A7C15), 400_000
 
@@ -144,23 +145,39 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label: the least node of the connected component, for every node of links (a, b)."""
+    """node, label: the least node of the connected component, for every node of links (a, b). Every round takes the least label
+    around a node and then that label's own label, until none changes."""
     edges = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = materialize(edges.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")), "labels")
+    labels = edges.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label"))
     while True:
-        # the least label around each node, hooked onto the root that the node has now; then labels of labels
-        near = edges.join(labels.select(F.col("node").alias("b"), F.col("label").alias("theirs")), "b").groupBy("a").agg(F.min("theirs").alias("theirs"))
-        hooked = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "theirs").alias("new"))
-        roots = hooked.groupBy("label").agg(F.min("new").alias("root"))
-        stepped = materialize(hooked.join(roots, "label").select("node", "label", F.least("new", "root").alias("new")), "stepped")
-        above = stepped.select(F.col("node").alias("new"), F.col("new").alias("top"))
-        moved = materialize(stepped.join(above, "new").select("node", "label", F.least("new", "top").alias("new")), "moved")
+        labels = materialize(labels, "labels")
+        near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        hooked = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("new"))
+        above = labels.select(F.col("node").alias("new"), F.col("label").alias("top"))
+        moved = materialize(hooked.join(above, "new").select("node", "label", F.least("new", "top").alias("new")), "moved")
         changed = moved.filter("label != new").limit(1).count()
+        discard(labels)
         labels = moved.select("node", F.col("new").alias("label"))
         if not changed:
+            discard(edges)
             return labels
 
 
+def linkable(buckets: DataFrame, sets: DataFrame, near: float) -> DataFrame:
+    """bucket, node, company, n, shared: n shingles, of which `shared` occur in another node of a large bucket as well (all, in
+    small buckets). Two nodes can only be alike if both share enough; a node that shares too little for any partner goes. That
+    is what keeps a thousand copies with edits of their own from being compared with each other."""
+    sized = buckets.join(sets.select("node", F.size("shingles").alias("n")), "node")
+    large = sized.filter(F.col("size") > LARGE)
+    inside = large.select("node").distinct()
+    spread = sets.join(inside, "node").select("node", F.explode("shingles").alias("h"))
+    common = spread.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
+    shared = materialize(spread.join(common, "h").groupBy("node").agg(F.count("*").alias("shared")), "shared")
+    judged = large.join(shared, "node", "left").withColumn("shared", F.coalesce("shared", F.lit(0))).filter(F.col("shared") >= near * F.col("n"))
+    small = sized.filter(F.col("size") <= LARGE).withColumn("shared", F.col("n").cast("long"))
+    return small.unionByName(judged).drop("size")
+
+
 def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, near: float = NEAR) -> DataFrame:
     """doc_id, class_id, n_links of every document: class_id is the least doc_id of its class, n_links its verified links."""
     members = materialize(signed(docs, bands, rows), "signed")
@@ -170,11 +187,14 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, near: float =
     buckets = materialize(placed.join(shared, "bucket"), "buckets")
     # the more company a node has in its buckets, the likelier it is the text that others were copied from
     rank = buckets.groupBy("node").agg(F.sum("size").alias("company"))
-    buckets = buckets.select("bucket", "node").join(rank, "node")
     needed = rank.select("node").join(nodes.select("node", "rep"), "node")
     texts = docs.select(F.col("doc_id").alias("rep"), "text").withColumn("node", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    both = texts.alias("t").join(needed.alias("n"), (F.col("t.node") == F.col("n.node")) & F.col("t.rep").eqNullSafe(F.col("n.rep")))
-    sets = materialize(shingle_sets(both.select("t.node", "t.text")).dropDuplicates(["node"]), "sets")
+    # a repeated row of the least doc_id gives its node twice, which only repeats pairs and weakens `linkable`
+    chosen = texts.withColumnRenamed("rep", "doc_id").join(needed, "node").filter(F.col("doc_id").eqNullSafe(F.col("rep")))
+    sets, drop = bucketed(shingle_sets(chosen.select("node", "text")), "node")
+    placed = buckets
+    buckets = materialize(linkable(placed.join(rank, "node"), sets, near), "linkable")
+    discard(placed)
 
     links, labels, tried, hubs = None, None, None, 1
     while True:
@@ -184,31 +204,36 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, near: float =
             state = state.join(tried.select("bucket", "node", F.lit(True).alias("tried")), ["bucket", "node"], "left")
         else:
             state = state.withColumn("tried", F.lit(None).cast("boolean"))
-        # open: nodes that were no hubs; a bucket with open nodes in two classes or more goes on
-        groups = state.filter("tried is null").groupBy("bucket", "label").agg(F.count("*").alias("n"), F.max(F.struct("company", "node")).alias("best"))
-        going = groups.groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label"))["label"].alias("main")).filter("labels > 1")
+        # open: nodes that were no hubs; a bucket with open nodes in two classes or more goes on, at its largest class first
+        here = Window.partitionBy("bucket")
+        groups = state.filter("tried is null").groupBy("bucket", "label").agg(F.count("*").alias("n_open"), F.max(F.struct("company", "node")).alias("best"))
+        going = groups.groupBy("bucket").agg(F.count("*").alias("labels"), F.max("best")["node"].alias("top"), F.max(F.struct("n_open", "label"))["label"].alias("main")).filter("labels > 1")
         if links is None:  # first the node with most company
-            chosen = groups.join(going.select("bucket"), "bucket").groupBy("bucket").agg(F.max("best")["node"].alias("hub"))
-        else:  # then nodes outside the bucket's largest class: one of each class, `hubs` a bucket
-            outside = groups.join(going, "bucket").filter("label != main")
-            order = Window.partitionBy("bucket").orderBy(F.desc("best"))
-            chosen = outside.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= hubs).select("bucket", F.col("best.node").alias("hub"))
+            chosen = going.select("bucket", F.col("top").alias("hub"))
+        else:  # then nodes outside the bucket's largest class, `hubs` a bucket at most
+            outside = state.filter("tried is null").join(going.select("bucket", "main"), "bucket").filter("label != main")
+            order = here.orderBy(F.desc("company"), "node")
+            chosen = outside.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= hubs).select("bucket", F.col("node").alias("hub"))
         chosen = materialize(chosen, "hubs")
         if chosen.limit(1).count() == 0:
             break
-        theirs = state.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-        hub = chosen.join(theirs, ["bucket", "hub"])
-        pairs = state.join(hub, "bucket").filter("label != hub_label").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        hub = chosen.join(state.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"), F.col("shared").alias("hub_shared")), ["bucket", "hub"])
+        enough = F.least("s.shared", "h.hub_shared") * (1 + near) >= near * (F.col("s.n") + F.col("h.hub_n"))
+        met = state.alias("s").join(hub.alias("h"), (F.col("s.bucket") == F.col("h.bucket")) & (F.col("s.label") != F.col("h.hub_label")) & enough)
+        pairs = met.select(F.col("s.node").alias("a"), F.col("h.hub").alias("b")).distinct()
         left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
         right = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         common = right.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("both"))
         linked = common.filter(F.col("both") >= near * (F.col("nx") + F.col("ny") - F.col("both")))
-        new = materialize(linked.select("a", "b"), "links")
+        new = materialize(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        found = new.limit(1).count()
         links = new if links is None else links.union(new)
-        labels = components(links)
-        here = chosen.select("bucket", F.col("hub").alias("node"))
-        tried = here if tried is None else tried.union(here)
-        hubs *= 2
+        labels = components(links) if found or labels is None else labels
+        done = chosen.select("bucket", F.col("hub").alias("node"))
+        tried = done if tried is None else tried.union(done)
+        hubs = 256 if hubs == 1 else hubs * 16
+    drop()
+    discard(buckets)
     if labels is None:
         return members.join(nodes.select("node", "rep"), "node").select("doc_id", F.col("rep").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
