@@ -7,8 +7,8 @@ with the probability Jaccard similarity of the weighted sets. BANDS bands of ROW
 is missed with probability 6e-5.
 
 Equal texts are one node from the start (and one row per task before any shuffle). In a bucket the nodes are not paired with
-each other: a hub is compared with all of them, the nodes it does not reach become hubs in later rounds (up to 256 a bucket,
-then more), and a bucket ends when all nodes that have not been hubs are in one class. So every pair of different classes has
+each other: a hub is compared with all of them, the nodes it does not reach become hubs in later rounds (up to HUBS a bucket
+and round), and a bucket ends when all nodes that have not been hubs are in one class. So every pair of different classes has
 been compared through one of its nodes being a hub, or is proven apart: in a bucket of more than LARGE nodes, two texts whose
 shingles that any other node has are too few for NEAR cannot be alike, and are not met. Comparisons use the exact Jaccard
 similarity of the distinct shingles; from NEAR on, two nodes are linked. Classes are the connected components of the
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import NEAR, SHINGLE, bucketed, discard, materialize, table
 
-BANDS, ROWS, LARGE = 32, 6, 32
+BANDS, ROWS, LARGE, HUBS = 32, 6, 32, 256
 WORD = re.compile(r"\w+")
 GOLDEN, CACHE = np.uint64(0x9E3779B97F4A7C15), 400_000
 
@@ -217,10 +217,12 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, near: float =
         chosen = materialize(chosen, "hubs")
         if chosen.limit(1).count() == 0:
             break
-        hub = chosen.join(state.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"), F.col("shared").alias("hub_shared")), ["bucket", "hub"])
-        enough = F.least("s.shared", "h.hub_shared") * (1 + near) >= near * (F.col("s.n") + F.col("h.hub_n"))
-        met = state.alias("s").join(hub.alias("h"), (F.col("s.bucket") == F.col("h.bucket")) & (F.col("s.label") != F.col("h.hub_label")) & enough)
-        pairs = met.select(F.col("s.node").alias("a"), F.col("h.hub").alias("b")).distinct()
+        # a bucket's hubs come to its nodes as one list, and a node's lists become one, so that a pair is made once however many buckets it shares
+        about = state.select("bucket", F.col("node").alias("hub"), F.struct("node", "label", "n", "shared").alias("of"))
+        lists = chosen.join(about, ["bucket", "hub"]).groupBy("bucket").agg(F.collect_set("of").alias("hubs"))
+        likely = lambda h: (h["label"] != F.col("label")) & (F.least(F.col("shared"), h["shared"]) * (1 + near) >= near * (F.col("n") + h["n"]))
+        met = state.join(lists, "bucket").select("node", F.transform(F.filter("hubs", likely), lambda h: h["node"]).alias("hubs")).filter(F.size("hubs") > 0)
+        pairs = met.groupBy(F.col("node").alias("a")).agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs")).select("a", F.explode("hubs").alias("b"))
         left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
         right = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         common = right.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("both"))
@@ -231,7 +233,7 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, near: float =
         labels = components(links) if found or labels is None else labels
         done = chosen.select("bucket", F.col("hub").alias("node"))
         tried = done if tried is None else tried.union(done)
-        hubs = 256 if hubs == 1 else hubs * 16
+        hubs = HUBS
     drop()
     discard(buckets)
     if labels is None:

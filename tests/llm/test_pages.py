@@ -22,6 +22,11 @@ def test_article_only():
     assert html.main_text(PAGE, frozenset()) == "Ti&tle <b>\nOne two three four\nfive\nx\ny\nlast"
 
 
+def test_names_of_noise():
+    page = '<body><div class="wrap has-sidebar no-comments"><div id="siteHeader">h</div><div title="a hidden gem"><p>kept</p></div><div hidden>gone</div><p style="display: none">gone</p><div class="userComments"><p>c</p></div></div></body>'
+    assert html.main_text(page, frozenset()) == "kept"
+
+
 @pytest.mark.parametrize("page", [None, "", "plain", "<", "<p", "<a title=\"x>y", "<p>a</b></i><table><tr><td>b", "<script>", "<!-- open", "&#xZZ;&amp;"])
 def test_broken_pages(page):
     html.parse(page)
