@@ -8,7 +8,8 @@ The language with the shortest code wins; the score is its probability among the
 
 The statistics come from a bounded sample: about PER_LANG documents of each language, chosen by a hash of their text. The table
 holds at most MAX_CELLS numbers, so its broadcast is bounded however large the input and however many the languages: the
-contexts with the highest counts stay, and a context's shorter ones always count at least as much.
+contexts with the highest counts stay, and a context's shorter ones always count at least as much. The model knows the 1,000
+languages with most documents at most.
 
 Defined cases: a null text, and one without a letter, is `und` with score 0; so is every text if nothing can be learned;
 ties go to the first language in byte order; null doc_ids are not learned from and not held out; repeated rows each get
