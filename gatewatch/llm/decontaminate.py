@@ -1,15 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds find candidates, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find candidates, Smith-Waterman alignment scores them.
 
-Texts are compared as words in lower case. The SEED-word n-grams of every benchmark item are counted over all documents; an
-item's SEEDS rarest ones are its seeds, however frequent they are, so a passage that a third of the documents share keeps its
-seeds. Where a document has a seed, the stretch of the document around the matching place is aligned with the item: a match
-counts 2, a mismatch and a gap -1. The score is the best local alignment over that of the item with itself; from LEAST on, the
-document holds an exact, edited or paraphrased copy of the item. A document's seeds are grouped by diagonal, so that two copies
-in one text are two alignments.
+Texts are compared as words in lower case. Every SEED-word n-gram of a benchmark item is a seed, however frequent it is. Where a
+document has a seed, the stretch of the document around the matching place is aligned with the item: a match counts 2, a
+mismatch and a gap -1. The score is the best local alignment over that of the item with itself; from LEAST on, the document
+holds an exact, edited or paraphrased copy of the item. A document's seeds are grouped by diagonal, so that two copies in one
+text are two alignments; of overlapping alignments with one item the best stays. A stretch that has too few of the item's words
+for LEAST, even if all of them matched, is not aligned: a proof, not a cut. A copy without SEED unbroken words in a row has no
+seed and is not found.
 
 The benchmark is the stated query set: its words and seeds are broadcast in blocks of at most BLOCK items, one after the other
-for a larger benchmark, so the broadcast has a fixed bound. The documents are read twice a block and never shuffled; only
-counts of seeds (pre-aggregated by task) and matches move.
+for a larger benchmark, so the broadcast has a fixed bound. The documents are read once a block and never shuffled; only
+matches move.
 
 Defined cases: null and empty texts hold nothing; items under SEED words are sought as a whole phrase, items without words are
 not sought; equal items are each reported; repeated documents each get their rows; null doc_ids are kept; an empty documents
@@ -18,6 +19,7 @@ or benchmark table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,9 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-SEED, SEEDS, LEAST, BLOCK = 3, 24, 0.5, 20_000
+SEED, LEAST, BLOCK = 3, 0.5, 20_000
 WORD = re.compile(r"\w+")
 MATCH, MISMATCH, GAP = 2, -1, -1
+FOUND = "doc_id long, item_id long, score double, first_word long, last_word long, digest binary"
 
 
 class Items:
@@ -131,17 +134,26 @@ def _blocks(benchmark: DataFrame, size: int) -> Iterator[Items]:
         yield Items(rows)
 
 
-def _rarest(items: Items, counts: dict[int, int]) -> np.ndarray:
-    """The numbers (places in items.gram) of each item's SEEDS rarest n-grams; ties go to the earlier place."""
-    own = defaultdict(dict)
-    for k, places in enumerate(items.where):
-        for item, at in places:
-            own[item][k] = min(at, own[item].get(k, at))
-    return np.array(sorted({k for grams in own.values() for k in sorted(grams, key=lambda k: (counts.get(k, 0), grams[k]))[:SEEDS]}), np.int64)
+def matchable(windows: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
+    """At most so many words of each item can match in its window."""
+    a, b = (np.full((len(x), max(map(len, x))), fill, np.int64) for x, fill in ((items, -2), (windows, -3)))
+    for k, (w, i) in enumerate(zip(windows, items)):
+        b[k, : len(w)], a[k, : len(i)] = w, i
+    equal = a[:, :, None] == b[:, None, :]
+    return np.minimum(equal.any(2).sum(1), equal.any(1).sum(1))
+
+
+def _apart(found: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
+    """Of alignments (share, first, last) that overlap, the best."""
+    kept = []
+    for share, first, last in sorted(found, key=lambda f: (-f[0], f[1], f[2])):
+        if all(last <= x or first >= y for _, x, y in kept):
+            kept.append((share, first, last))
+    return kept
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFrame:
-    """doc_id, item_id, score, first_word, last_word of every benchmark item found in a document (doc_id, text)."""
+    """doc_id, item_id, score, first_word, last_word, digest (of the text) of every benchmark item found in a document (doc_id, text)."""
     found = None
     chosen = docs.select("doc_id", "text").filter("text is not null")
     spark = docs.sparkSession
@@ -150,30 +162,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, block:
             continue
         shared = spark.sparkContext.broadcast(items)
 
-        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
-            total = np.zeros(len(items.gram), np.int64)
-            for batch in batches:
-                for text in batch["text"].to_pylist():
-                    total[np.unique(items.hits(items.numbered(text), items.gram)[1])] += 1
-            seen = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["gram", "n"])
-
-        counted = chosen.select("text").mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        seeds = _rarest(items, {r["gram"]: r["n"] for r in counted.toLocalIterator()})  # a number for each gram of the block at most
-        sought = spark.sparkContext.broadcast(seeds)
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared, sought=sought) -> Iterator[pa.RecordBatch]:
-            items, seeds = shared.value, sought.value
-            among = items.gram[seeds]
             for batch in batches:
-                doc_ids = batch["doc_id"].to_pylist()
+                doc_ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
                 pairs = []
-                for row, text in enumerate(batch["text"].to_pylist()):
+                for row, text in enumerate(texts):
                     words = items.numbered(text)
                     bins = set()
-                    for at, k in zip(*(x.tolist() for x in items.hits(words, among))):
-                        for item, own in items.where[seeds[k]]:
+                    for at, k in zip(*(x.tolist() for x in items.hits(words, items.gram))):
+                        for item, own in items.where[k]:
                             size = max(8, len(items.words[item]))
                             d = (at - own) // size
                             bins |= {(item, d)} if (at - own) % size == 0 else {(item, d), (item, d + 1)}
@@ -181,24 +179,29 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, block:
                         size = max(8, len(items.words[item]))
                         start = max(0, d * size - size)
                         pairs.append((row, item, start, words[start : d * size + 2 * size]))
-                rows = {}
+                rows = defaultdict(set)
                 for at in range(0, len(pairs), 2000):
                     part = sorted(pairs[at : at + 2000], key=lambda p: len(p[3]))
-                    for lo in range(0, len(part), 200):
-                        some = part[lo : lo + 200]
+                    likely = []
+                    for lo in range(0, len(part), 100):
+                        some = part[lo : lo + 100]
+                        most = matchable([p[3] for p in some], [items.words[p[1]] for p in some]).tolist()
+                        likely += [p for p, n in zip(some, most) if n >= least * len(items.words[p[1]])]
+                    for lo in range(0, len(likely), 200):
+                        some = likely[lo : lo + 200]
                         for (row, item, start, _), (score, first, last) in zip(some, align([p[3] for p in some], [items.words[p[1]] for p in some])):
                             share = score / (MATCH * len(items.words[item]))
                             if share >= least:
-                                key = (row, item, start + last)
-                                rows[key] = max(rows.get(key, (0.0, 0)), (share, start + first))
-                out = [(doc_ids[row], items.ids[item], share, first, last) for (row, item, last), (share, first) in rows.items()]
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "item_id", "score", "first_word", "last_word"])
+                                rows[row, item].add((share, start + first, start + last))
+                digests = {row: hashlib.md5(texts[row].encode()).digest() for row, _ in rows}
+                out = [(doc_ids[row], items.ids[item], *place, digests[row]) for (row, item), places in rows.items() for place in _apart(list(places))]
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [c.split()[0] for c in FOUND.split(", ")])
 
-        here = chosen.mapInArrow(search, "doc_id long, item_id long, score double, first_word long, last_word long")
+        here = chosen.mapInArrow(search, FOUND)
         found = here if found is None else found.unionByName(here)
     if found is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, score double, first_word long, last_word long")
+        return spark.createDataFrame([], FOUND)
     return found
 
 

@@ -306,6 +306,28 @@ def test_passages(spark, block):
     assert min(r["score"] for r in found) >= 0.8
 
 
+def test_passages_with_scattered_edits_and_cut_copies(spark):
+    """Items of 60 words: a copy with 8 to 12 edits, the last 60 %, and an edited beside an exact copy, against brute force."""
+    items = [(i, prose(300 + i, 60)) for i in range(7)]
+
+    def edited(i, n):
+        w = items[i][1].split()
+        for k in range(n):
+            w[3 + k * 56 // n] = f"new{k}x"
+        return " ".join(w)
+
+    docs = [(i, prose(400 + i, 50) + " " + edited(i, 8 + i) + " " + prose(500 + i, 30)) for i in range(5)]
+    docs += [(5, " ".join(items[5][1].split()[24:])), (6, edited(6, 9)), (7, items[6][1])]
+    words = lambda t: re.findall(r"\w+", t.lower())
+    number = defaultdict(lambda: len(number))
+    coded = lambda t: [number[w] for w in words(t)]
+    want = {(d, i): smith_waterman(coded(text), coded(t)) / (2 * len(words(text))) for d, t in docs for i, text in items}
+    found = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in found}
+    assert len(got) == len(found) and got == pytest.approx({k: v for k, v in want.items() if v >= decontaminate.LEAST})
+    assert len(got) == len(docs)
+
+
 def test_decontaminate_odd_rows(spark, sf, documents, empty):
     items = table(spark, sf, "benchmark")
     assert decontaminate.decontaminate(documents, items).count() == documents.count()
