@@ -206,9 +206,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, block:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
-    """The documents that hold no benchmark item, with their own columns."""
-    hit = matches(docs, benchmark, least).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
+    """The documents that hold no benchmark item, with their own columns. A row goes by its doc_id and text, so other texts of
+    the same doc_id, or of none, stay."""
+    hit = matches(docs, benchmark, least).select(F.col("doc_id").alias("_hit"), F.col("digest").alias("_digest")).distinct()
+    same = F.unhex(F.md5(docs["text"].cast("binary"))) == hit["_digest"]
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]) & same, "left_anti")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

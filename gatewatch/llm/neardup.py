@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import NEAR, SHINGLE, bucketed, discard, materialize, table
@@ -178,8 +178,13 @@ def linkable(buckets: DataFrame, sets: DataFrame, near: float) -> DataFrame:
     return small.unionByName(judged).drop("size")
 
 
-def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, near: float = NEAR) -> DataFrame:
-    """doc_id, class_id, n_links of every document: class_id is the least doc_id of its class, n_links its verified links."""
+def node_of(text: str = "text") -> Column:
+    """The text's node, as `signed` names it."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def grouped(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, near: float = NEAR) -> tuple[DataFrame, DataFrame]:
+    """doc_id, node of every document, and node, rep (its least doc_id), label (of its class), class_id, n_links of every node."""
     members = materialize(signed(docs, bands, rows), "signed")
     nodes = materialize(members.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "nodes")
     placed = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("bucket"))
@@ -188,7 +193,7 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, near: float =
     # the more company a node has in its buckets, the likelier it is the text that others were copied from
     rank = buckets.groupBy("node").agg(F.sum("size").alias("company"))
     needed = rank.select("node").join(nodes.select("node", "rep"), "node")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").withColumn("node", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").withColumn("node", node_of())
     # a repeated row of the least doc_id gives its node twice, which only repeats pairs and weakens `linkable`
     chosen = texts.withColumnRenamed("rep", "doc_id").join(needed, "node").filter(F.col("doc_id").eqNullSafe(F.col("rep")))
     sets, drop = bucketed(shingle_sets(chosen.select("node", "text")), "node")
@@ -236,21 +241,30 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, near: float =
         hubs = HUBS
     drop()
     discard(buckets)
+    members = members.select("doc_id", "node")
     if labels is None:
-        return members.join(nodes.select("node", "rep"), "node").select("doc_id", F.col("rep").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+        return members, nodes.select("node", "rep", F.col("node").alias("label"), F.col("rep").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     known = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = known.groupBy("label").agg(F.min("rep").alias("class_id"))
-    named = known.join(names, "label").join(degree, "node", "left").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return members.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "n_links")
+    return members, known.join(names, "label").join(degree, "node", "left").select("node", "rep", "label", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, near: float = NEAR) -> DataFrame:
+    """doc_id, class_id, n_links of every document: class_id is the least doc_id of its class, n_links its verified links."""
+    members, named = grouped(docs, bands, rows, near)
+    return members.join(named.select("node", "class_id", "n_links"), "node").select("doc_id", "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one with the least doc_id, with its own columns; of repeated rows of it one stays."""
-    heads = classes(docs).select(F.col("class_id").alias("head")).distinct()
-    rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"))
-    kept = rows.join(heads, rows["doc_id"].eqNullSafe(heads["head"]))
-    return kept.dropDuplicates(["head"]).select("row.*")
+    """One document of each class, with its own columns: the one with the least doc_id (null comes last), of several texts under
+    that doc_id the one with the least digest; of repeated rows of it one stays."""
+    _, named = grouped(docs)
+    heads = named.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("unnamed"), "rep", "node")).alias("head"))
+    # plain equalities on the same three columns, so that the rows are dealt out once
+    heads = heads.select("head.node", "head.unnamed", F.coalesce("head.rep", F.lit(0)).alias("known"))
+    rows = docs.select(node_of().alias("node"), F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("known"), F.struct(*docs.columns).alias("row"))
+    return rows.join(heads, ["node", "unnamed", "known"]).dropDuplicates(["node", "unnamed", "known"]).select("row.*")
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -266,6 +266,14 @@ def test_keep_one(documents):
     assert kept.columns == documents.columns and len(ids) == len(set(ids)) and {4, 7, 8} <= set(ids) and not {5, 6} & set(ids)
 
 
+def test_keep_one_by_text(spark):
+    """Texts without doc_id, and different texts under one doc_id, are documents of their own."""
+    near = prose(93, 200)
+    rows = [(None, prose(90, 60)), (None, prose(91, 60)), (None, prose(92, 60)), (None, prose(92, 60)), (1, near), (1, prose(94, 60)), (1, prose(95, 60)), (2, prose(95, 60)), (None, near + " more"), (3, near + " other")]
+    got = sorted(((i is None, i or 0), t) for i, t in texts(neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))))
+    assert got == sorted(((i is None, i or 0), t) for i, t in [rows[0], rows[1], rows[2], rows[4], rows[5], rows[6]])
+
+
 def test_prob_min_hash_estimates_the_probability_jaccard():
     r = np.random.default_rng(3)
     ids = r.integers(0, 2**63, 120).astype(np.uint64)
@@ -328,6 +336,14 @@ def test_passages_with_scattered_edits_and_cut_copies(spark):
     assert len(got) == len(docs)
 
 
+def test_decontaminate_by_text(spark):
+    """A contaminated row takes no other text of its doc_id, or of none, with it."""
+    item = prose(96, 40)
+    rows = [(None, prose(97, 60)), (None, "x " + item), (None, None), (1, prose(98, 60)), (1, item), (2, item), (2, "")]
+    left = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert Counter(texts(left)) == Counter([rows[0], rows[2], rows[3], rows[6]])
+
+
 def test_decontaminate_odd_rows(spark, sf, documents, empty):
     items = table(spark, sf, "benchmark")
     assert decontaminate.decontaminate(documents, items).count() == documents.count()
