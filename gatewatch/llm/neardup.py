@@ -1,10 +1,10 @@
-"""MinHash near-dedup with ProbMinHash: weighted shingles, banding, verification, classes.
+"""MinHash near-dedup with ProbMinHash: shingles, banding, verification, classes.
 
-A text's shingles are five consecutive words in lower case (a shorter text is one shingle), weighted by 1 + ln(occurrences).
-Every shingle is a Poisson process whose rate is its weight: its arrivals fall into the registers at random, each register keeps
-its earliest arrival, and a shingle stops as soon as its next arrival is later than all registers of the text. Registers agree
-with the probability Jaccard similarity of the weighted sets. BANDS bands of ROWS registers select candidates: a pair at 0.8
-is missed with probability 6e-5.
+A text's shingles are five consecutive words in lower case (a shorter text is one shingle). Every shingle is a Poisson process
+whose rate is its weight: its arrivals fall into the registers at random, each register keeps its earliest arrival, and a
+shingle stops as soon as its next arrival is later than all registers of the text. Registers agree with the probability Jaccard
+similarity of the weighted sets. Distinct shingles all weigh 1 however often they occur, so that this is the Jaccard
+similarity that is verified. BANDS bands of ROWS registers select candidates: a pair at 0.8 is missed with probability 6e-5.
 
 Equal texts are one node from the start (and one row per task before any shuffle). In a bucket the nodes are not paired with
 each other: a hub is compared with all of them, the nodes it does not reach become hubs in later rounds (up to HUBS a bucket
@@ -119,10 +119,10 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                     if key not in place:
                         place[key] = len(first)
                         first.append(t)
-                sets = [np.unique(shingles(texts[t], hashes), return_counts=True) for t in first]
-                size = [len(s) for s, _ in sets]
-                element, count = np.concatenate([s for s, _ in sets]), np.concatenate([c for _, c in sets])
-                signature = prob_min_hash(np.repeat(np.arange(len(sets)), size), element, 1 + np.log(count), len(sets), bands * rows)
+                sets = [np.unique(shingles(texts[t], hashes)) for t in first]
+                size = [len(s) for s in sets]
+                element = np.concatenate(sets)
+                signature = prob_min_hash(np.repeat(np.arange(len(sets)), size), element, np.ones(len(element)), len(sets), bands * rows)
                 hashed = bands_of(signature, rows)
                 out = [hashed[place[key]] if size[place[key]] else None for key in nodes]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(nodes, pa.binary()), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "node", "bands"])

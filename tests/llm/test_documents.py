@@ -260,6 +260,16 @@ def test_classes_of_many_edited_copies(spark):
     assert got == brute_classes(rows)
 
 
+def test_classes_of_texts_with_a_repeated_line(spark):
+    """Copies in which one line stands 50 times have the same distinct shingles but for those at its seams."""
+    rows = []
+    for i in range(150):
+        w = prose(1000 + i, 104).split()
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:34] + w[:34] * 49 + w[34:]))]
+    got = sorted((r["doc_id"], r["class_id"]) for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_classes(rows) and sum(i != c for i, c in got) == 150
+
+
 def test_keep_one(documents):
     kept = neardup.keep_one(documents)
     ids = [r["doc_id"] for r in kept.collect()]
