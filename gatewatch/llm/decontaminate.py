@@ -1,19 +1,20 @@
 """Benchmark decontamination: n-gram seeds find candidates, Smith-Waterman alignment scores them.
 
-Texts are compared as words in lower case. Every SEED-word n-gram of a benchmark item is a seed, however frequent it is. Where a
-document has a seed, the stretch of the document around the matching place is aligned with the item: a match counts 2, a
-mismatch and a gap -1. The score is the best local alignment over that of the item with itself; from LEAST on, the document
-holds an exact, edited or paraphrased copy of the item. A document's seeds are grouped by diagonal, so that two copies in one
-text are two alignments; of overlapping alignments with one item the best stays. A stretch that has too few of the item's words
-for LEAST, even if all of them matched, is not aligned: a proof, not a cut. A copy without SEED unbroken words in a row has no
-seed and is not found.
+Texts are compared as words in lower case. The seeds of a benchmark item are all its trigrams, however frequent: three words in a
+row, and three of four with the third left out. Documents are searched for both forms of both, so a seed survives a word that was
+replaced, added or left out within it. Where a document has a seed, the stretch of the document around the matching place is
+aligned with the item: a match counts 2, a mismatch and a gap -1. The score is the best local alignment over that of the item
+with itself; from LEAST on, the document holds an exact, edited or paraphrased copy of the item. A document's seeds are grouped
+by diagonal, so that two copies in one text are two alignments; of overlapping alignments with one item the best stays. A stretch
+that has too few of the item's words for LEAST, even if all of them matched, is not aligned: a proof, not a cut. An alignment
+from LEAST on, in which words were only replaced, has a seed; with a word added at almost every place it may have none.
 
 The benchmark is the stated query set: its words and seeds are broadcast in blocks of at most BLOCK items, one after the other
 for a larger benchmark, so the broadcast has a fixed bound. The documents are read once a block and never shuffled; only
 matches move.
 
-Defined cases: null and empty texts hold nothing; items under SEED words are sought as a whole phrase, items without words are
-not sought; equal items are each reported; repeated documents each get their rows; null doc_ids are kept; an empty documents
+Defined cases: null and empty texts hold nothing; items under SEED words are sought as a whole phrase, but too common to reject a document by (`decontaminate`
+passes them over); items without words are not sought; equal items are each reported; repeated documents each get their rows; null doc_ids are kept; an empty documents
 or benchmark table gives an empty result; extra columns are not read.
 """
 
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 SEED, LEAST, BLOCK = 3, 0.5, 20_000
+#: Places of a seed's words, and the characters of a block of items at most (trigrams of numbered words fit into 64 bits).
+FORMS, BLOCK_CHARS = ((0, 1, 2), (0, 1, 3)), 2_000_000
 WORD = re.compile(r"\w+")
 MATCH, MISMATCH, GAP = 2, -1, -1
 FOUND = "doc_id long, item_id long, score double, first_word long, last_word long, digest binary"
@@ -46,20 +49,20 @@ class Items:
         self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for t in tokens for w in t))}
         self.words = [np.array([self.vocabulary[w] for w in t], np.int64) for t in tokens]
         self.width = len(self.vocabulary) + 1
-        where = defaultdict(list)
+        where = defaultdict(set)
         for item, w in enumerate(self.words):
-            for at, gram in enumerate(self.grams(w, min(SEED, len(w)) or 1).tolist()):
-                where[gram].append((item, at))
+            for form in FORMS if len(w) >= SEED else (tuple(range(len(w))),):
+                at = np.arange(len(w) - max(form, default=0)) if form else np.zeros(0, np.int64)
+                for place, gram in zip(at.tolist(), self.grams(w, at, form).tolist()):
+                    where[gram].add((item, place))
         self.gram = np.array(sorted(where), np.int64)
-        self.where = [where[g] for g in self.gram.tolist()]
-
-    def grams(self, words: np.ndarray, n: int) -> np.ndarray:
-        """The n-grams as numbers; a shorter gram never equals a longer one."""
-        if len(words) < n:
-            return np.zeros(0, np.int64)
-        out = np.full(len(words) - n + 1, n, np.int64)
-        for j in range(n):
-            out = out * self.width + words[j : len(words) - n + 1 + j] + 1
+        self.where = [sorted(where[g]) for g in self.gram.tolist()]
+
+    def grams(self, words: np.ndarray, at: np.ndarray, form: tuple[int, ...]) -> np.ndarray:
+        """The words at those places as one number; fewer words never equal more."""
+        out = np.full(len(at), len(form), np.int64)
+        for j in form:
+            out = out * self.width + words[at + j] + 1
         return out
 
     def numbered(self, text: str) -> np.ndarray:
@@ -69,20 +72,17 @@ class Items:
     def hits(self, words: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the text that hold one of `among` (sorted n-grams), and which."""
         places, found = [], []
-        for n in range(1, SEED + 1):
-            if len(words) < n or n < SEED and not self.short(n):
-                continue
-            at = np.arange(len(words) - n + 1)
-            for j in range(n):
+        known = np.flatnonzero(words >= 0)
+        for form in (*(tuple(range(n)) for n in range(1, SEED) if self.short(n)), *FORMS):
+            at = known[known < len(words) - form[-1]]
+            for j in form[1:]:
                 at = at[words[at + j] >= 0]
-            gram = np.full(len(at), n, np.int64)
-            for j in range(n):
-                gram = gram * self.width + words[at + j] + 1
+            gram = self.grams(words, at, form)
             k = np.minimum(np.searchsorted(among, gram), len(among) - 1)
             ok = among[k] == gram
             places.append(at[ok])
             found.append(k[ok])
-        return (np.concatenate(places), np.concatenate(found)) if places else (np.zeros(0, np.int64),) * 2
+        return np.concatenate(places), np.concatenate(found)
 
     def short(self, n: int) -> bool:
         return any(len(w) == n for w in self.words)
@@ -123,13 +123,15 @@ def align(windows: list[np.ndarray], items: list[np.ndarray]) -> list[tuple[int,
 
 
 def _blocks(benchmark: DataFrame, size: int) -> Iterator[Items]:
-    """The benchmark in blocks of `size` items, in the order of item_id; only one block is on the driver at a time."""
-    rows = []
+    """The benchmark in blocks of `size` items and BLOCK_CHARS characters at most (or one item), in the order of item_id; only
+    one block is on the driver at a time."""
+    rows, chars = [], 0
     for r in benchmark.select("item_id", "text").filter("text is not null").orderBy("item_id", "text").toLocalIterator():
-        rows.append((r["item_id"], r["text"]))
-        if len(rows) == size:
+        if rows and (len(rows) == size or chars + len(r["text"]) > BLOCK_CHARS):
             yield Items(rows)
-            rows = []
+            rows, chars = [], 0
+        rows.append((r["item_id"], r["text"]))
+        chars += len(r["text"])
     if rows:
         yield Items(rows)
 
@@ -208,12 +210,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, block:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """The documents that hold no benchmark item, with their own columns. A row goes by its doc_id and text, so other texts of
     the same doc_id, or of none, stay."""
-    hit = matches(docs, benchmark, least).select(F.col("doc_id").alias("_hit"), F.col("digest").alias("_digest")).distinct()
+    sought = benchmark.filter(F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?U)\w+"), F.lit(0))) >= SEED)
+    hit = matches(docs, sought, least).select(F.col("doc_id").alias("_hit"), F.col("digest").alias("_digest")).distinct()
     same = F.unhex(F.md5(docs["text"].cast("binary"))) == hit["_digest"]
     return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]) & same, "left_anti")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document and benchmark item found in it, the best alignment's score and number of places."""
+    """Per document and benchmark item found in it, the best alignment's score and number of places; texts of one doc_id, or of
+    none, are documents of their own, repeated rows are one."""
     found = matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.count("*").alias("n_places"))
+    places = found.distinct()
+    return places.groupBy("doc_id", "digest", "item_id").agg(F.max("score").alias("score"), F.count("*").alias("n_places")).drop("digest")
