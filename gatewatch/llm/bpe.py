@@ -16,7 +16,6 @@ import hashlib
 import json
 import os
 import re
-import tempfile
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -27,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import discard, materialize, put, table
 
 #: Words in the lexicon at most, occurrences of a frequent word at least, words kept by a worker between batches.
 MAX_WORDS, MIN_COUNT, KEPT = 100_000, 8, 300_000
@@ -288,13 +287,22 @@ def share(spark: SparkSession, path: str) -> str:
 
 
 def build_lexicon(docs: DataFrame, tokenizer_path: str, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> str:
-    """Compiles the most frequent words, at most max_words of them, and returns the shared file's name."""
+    """Compiles the most frequent words, at most max_words of them, and returns the shared file's name.
+
+    A histogram of the counts, by sixteenths of a doubling, tells from which count on there are max_words words at most; only
+    those come to the driver."""
     spark = docs.sparkSession
-    top = word_counts(docs).filter(F.col("n") >= min_count).orderBy(F.desc("n"), "word").limit(max_words).select("word").toPandas()["word"].tolist()
-    data = compile_lexicon(dict(zip(top, Bpe(tokenizer_path).merged(top))))
-    path = os.path.join(tempfile.mkdtemp(prefix="gatewatch-"), f"lexicon-{hashlib.sha1(data.tobytes()).hexdigest()[:16]}.bin")
-    data.tofile(path)
-    return share(spark, path)
+    counted = materialize(word_counts(docs).filter(F.col("n") >= min_count).withColumn("bin", F.floor(F.log2("n") * 16).cast("int")), "words")
+    room, least = max_words, None
+    for r in counted.groupBy("bin").count().orderBy(F.desc("bin")).collect():  # at most 1,024 bins
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["bin"]
+    top = [] if least is None else sorted(counted.filter(F.col("bin") >= least).select("word").toArrow()["word"].to_pylist())
+    discard(counted)
+    data = compile_lexicon(dict(zip(top, Bpe(tokenizer_path).merged(top)))).tobytes()
+    return share(spark, put(spark, f"lexicon-{hashlib.sha1(data).hexdigest()[:16]}.bin", data))
 
 
 def encode(docs: DataFrame, tokenizer_path: str, keep: tuple[str, ...] = ("doc_id",), lexicon: str | None = None, full: bool = False) -> DataFrame:

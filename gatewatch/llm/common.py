@@ -64,6 +64,16 @@ def discard(df: DataFrame) -> None:
                 target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def put(spark: SparkSession, name: str, data: bytes) -> str:
+    """Writes a small file into the shared folder and returns its path."""
+    path = f"{shared_dir(spark)}/{name}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(data))
+    out.close()
+    return path
+
+
 def text_of(column: str = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))
