@@ -12,7 +12,9 @@ and round), and a bucket ends when all nodes that have not been hubs are in one
 been compared through one of its nodes being a hub, or is proven apart: in a bucket of more than LARGE nodes, two texts whose
 shingles that any other node has are too few for NEAR cannot be alike, and are not met. Comparisons use the exact Jaccard
 similarity of the distinct shingles; from NEAR on, two nodes are linked. Classes are the connected components of the
-links, found by hooking to the least neighbour and pointer jumping on tables.
+links, found by hooking to the least neighbour and pointer jumping on tables; every round joins the classes so far by its new
+links only. What grows with a round (classes, hubs that were tried) is written and read again, so no plan grows with the rounds;
+a hub, bucket, class or text with many rows is dealt out over several tasks.
 
 Defined cases: null and empty texts are alike and form one class; null doc_ids are kept and never name a class that has another
 id; repeated rows share a class; an empty table gives an empty result; extra columns are kept by `keep_one` and not read
@@ -34,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import NEAR, SHINGLE, bucketed, discard, materialize, table
 
 BANDS, ROWS, LARGE, HUBS = 32, 6, 32, 256
+#: Ways that a key with many rows is dealt out; pairs of a hub and nodes of a bucket that one task takes.
+SALTS, CROWD, NODES = 16, 1024, 1 << 16
 WORD = re.compile(r"\w+")
 GOLDEN, CACHE = np.uint64(0x9E3779B97F4A7C15), 400_000
 
@@ -144,27 +148,33 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node binary, shingles array<long>")
 
 
+def look_up(rows: DataFrame, key: str, mapping: DataFrame, spread: str, how: str = "inner") -> DataFrame:
+    """rows joined with mapping (one row a key) where one key may hold a third of all rows: each key is dealt out SALTS ways by
+    `spread`, and what the mapping says of it goes once to each of them."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    told = salted.select(key, "_salt").distinct().join(mapping.hint("merge"), key)
+    return salted.join(told.hint("merge"), [key, "_salt"], how).drop("_salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label: the least node of the connected component, for every node of links (a, b). Every round takes the least label
     around a node and then that label's own label, until none changes."""
     edges = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = edges.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label"))
+    labels = materialize(edges.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")), "labels")
     while True:
-        labels = materialize(labels, "labels")
-        near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        hooked = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("new"))
+        near = look_up(edges, "b", labels.select(F.col("node").alias("b"), "label"), "a").groupBy("a").agg(F.min("label").alias("near"))
+        hooked = labels.join(near.hint("merge"), labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("new"))
         above = labels.select(F.col("node").alias("new"), F.col("label").alias("top"))
-        moved = materialize(hooked.join(above, "new").select("node", "label", F.least("new", "top").alias("new")), "moved")
-        changed = moved.filter("label != new").limit(1).count()
+        moved = materialize(look_up(hooked, "new", above, "node").select("node", F.least("new", "top").alias("label"), (F.least("new", "top") != F.col("label")).alias("moved")), "labels")
         discard(labels)
-        labels = moved.select("node", F.col("new").alias("label"))
-        if not changed:
+        labels = moved.select("node", "label")
+        if moved.filter("moved").isEmpty():
             discard(edges)
             return labels
 
 
 def linkable(buckets: DataFrame, sets: DataFrame, near: float) -> DataFrame:
-    """bucket, node, company, n, shared: n shingles, of which `shared` occur in another node of a large bucket as well (all, in
+    """bucket, node, company, ways, n, shared: n shingles, of which `shared` occur in another node of a large bucket as well (all, in
     small buckets). Two nodes can only be alike if both share enough; a node that shares too little for any partner goes. That
     is what keeps a thousand copies with edits of their own from being compared with each other."""
     sized = buckets.join(sets.select("node", F.size("shingles").alias("n")), "node")
@@ -175,7 +185,7 @@ def linkable(buckets: DataFrame, sets: DataFrame, near: float) -> DataFrame:
     shared = materialize(spread.join(common, "h").groupBy("node").agg(F.count("*").alias("shared")), "shared")
     judged = large.join(shared, "node", "left").withColumn("shared", F.coalesce("shared", F.lit(0))).filter(F.col("shared") >= near * F.col("n"))
     small = sized.filter(F.col("size") <= LARGE).withColumn("shared", F.col("n").cast("long"))
-    return small.unionByName(judged).drop("size")
+    return small.unionByName(judged).withColumn("ways", F.ceil(F.col("size") / NODES).cast("int")).drop("size")
 
 
 def node_of(text: str = "text") -> Column:
@@ -184,9 +194,9 @@ def node_of(text: str = "text") -> Column:
 
 
 def grouped(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, near: float = NEAR) -> tuple[DataFrame, DataFrame]:
-    """doc_id, node of every document, and node, rep (its least doc_id), label (of its class), class_id, n_links of every node."""
+    """doc_id, node of every document, and node, rep (its least doc_id), label (of its class), class_id, class_size of every node."""
     members = materialize(signed(docs, bands, rows), "signed")
-    nodes = materialize(members.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "nodes")
+    nodes = materialize(members.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "nodes")
     placed = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = materialize(placed.join(shared, "bucket"), "buckets")
@@ -201,59 +211,75 @@ def grouped(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, near: float =
     buckets = materialize(linkable(placed.join(rank, "node"), sets, near), "linkable")
     discard(placed)
 
-    links, labels, tried, hubs = None, None, None, 1
+    # every node is its own class at first; the classes, and which nodes have been hubs, are written anew in each round
+    labels = materialize(buckets.select("node", F.col("node").alias("label")).distinct(), "classes")
+    tried, hubs = None, 1
     while True:
-        state = buckets if labels is None else buckets.join(labels, "node", "left")
-        state = state.withColumn("label", F.col("node") if labels is None else F.coalesce("label", "node"))
+        state = buckets.join(labels.hint("merge"), "node")
         if tried is not None:
-            state = state.join(tried.select("bucket", "node", F.lit(True).alias("tried")), ["bucket", "node"], "left")
+            state = state.join(tried.hint("merge"), ["bucket", "node"], "left")
         else:
             state = state.withColumn("tried", F.lit(None).cast("boolean"))
         # open: nodes that were no hubs; a bucket with open nodes in two classes or more goes on, at its largest class first
-        here = Window.partitionBy("bucket")
         groups = state.filter("tried is null").groupBy("bucket", "label").agg(F.count("*").alias("n_open"), F.max(F.struct("company", "node")).alias("best"))
         going = groups.groupBy("bucket").agg(F.count("*").alias("labels"), F.max("best")["node"].alias("top"), F.max(F.struct("n_open", "label"))["label"].alias("main")).filter("labels > 1")
-        if links is None:  # first the node with most company
+        if tried is None:  # first the node with most company
             chosen = going.select("bucket", F.col("top").alias("hub"))
         else:  # then nodes outside the bucket's largest class, `hubs` a bucket at most
-            outside = state.filter("tried is null").join(going.select("bucket", "main"), "bucket").filter("label != main")
-            order = here.orderBy(F.desc("company"), "node")
+            outside = state.filter("tried is null").join(going.select("bucket", "main").hint("merge"), "bucket").filter("label != main")
+            order = Window.partitionBy("bucket").orderBy(F.desc("company"), "node")
             chosen = outside.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= hubs).select("bucket", F.col("node").alias("hub"))
         chosen = materialize(chosen, "hubs")
-        if chosen.limit(1).count() == 0:
+        if chosen.isEmpty():
             break
         # a bucket's hubs come to its nodes as one list, and a node's lists become one, so that a pair is made once however many buckets it shares
-        about = state.select("bucket", F.col("node").alias("hub"), F.struct("node", "label", "n", "shared").alias("of"))
-        lists = chosen.join(about, ["bucket", "hub"]).groupBy("bucket").agg(F.collect_set("of").alias("hubs"))
+        about = state.select("bucket", F.col("node").alias("hub"), "ways", F.struct("node", "label", "n", "shared", "company").alias("of"))
+        lists = chosen.join(about.hint("merge"), ["bucket", "hub"]).groupBy("bucket", "ways").agg(F.collect_set("of").alias("hubs"))
+        lists = lists.select("bucket", "hubs", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"))
         likely = lambda h: (h["label"] != F.col("label")) & (F.least(F.col("shared"), h["shared"]) * (1 + near) >= near * (F.col("n") + h["n"]))
-        met = state.join(lists, "bucket").select("node", F.transform(F.filter("hubs", likely), lambda h: h["node"]).alias("hubs")).filter(F.size("hubs") > 0)
-        pairs = met.groupBy(F.col("node").alias("a")).agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs")).select("a", F.explode("hubs").alias("b"))
-        left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-        right = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        common = right.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("both"))
+        met = state.withColumn("way", F.pmod(F.xxhash64("node"), F.col("ways")).cast("int")).join(lists.hint("merge"), ["bucket", "way"])
+        met = met.select("node", F.transform(F.filter("hubs", likely), lambda h: F.struct(h["node"].alias("b"), h["company"].alias("company"))).alias("hubs")).filter(F.size("hubs") > 0)
+        pairs = met.groupBy(F.col("node").alias("a")).agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs")).select("a", F.inline("hubs"))
+        pairs = materialize(pairs, "pairs")
+        own, others = (sets.select(F.col("node").alias(x), F.col("shingles").alias(y)) for x, y in (("a", "x"), ("b", "y")))
+        # a hub has at most `company` pairs: those of one with many are dealt out over several tasks, and its shingles go to each
+        few = pairs.filter(F.col("company") <= CROWD).join(own, "a").join(others, "b").select("a", "b", "x", "y")
+        many = pairs.filter(F.col("company") > CROWD).withColumn("ways", F.ceil(F.col("company") / CROWD).cast("int"))
+        shown = many.select("b", "ways").distinct().join(others, "b").select("b", "y", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"))
+        many = many.join(own, "a").withColumn("way", F.pmod(F.xxhash64("a"), F.col("ways")).cast("int")).join(shown, ["b", "way"]).select("a", "b", "x", "y")
+        common = few.unionByName(many).select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("both"))
         linked = common.filter(F.col("both") >= near * (F.col("nx") + F.col("ny") - F.col("both")))
-        new = materialize(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-        found = new.limit(1).count()
-        links = new if links is None else links.union(new)
-        labels = components(links) if found or labels is None else labels
-        done = chosen.select("bucket", F.col("hub").alias("node"))
-        tried = done if tried is None else tried.union(done)
-        hubs = HUBS
+        links = materialize(linked.select("a", "b"), "links")
+        discard(pairs)
+        if not links.isEmpty():
+            # only classes that a new link joins change: components of the classes, not of all links again
+            of = labels.withColumnRenamed("node", "b")
+            between = look_up(links.join(labels.withColumnRenamed("node", "a").withColumnRenamed("label", "la").hint("merge"), "a"), "b", of.withColumnRenamed("label", "lb"), "a")
+            merged = components(between.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+            moved = look_up(labels, "label", merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "node", "left")
+            renewed = materialize(moved.select("node", F.coalesce("to", "label").alias("label")), "classes")
+            discard(labels)
+            discard(merged)
+            labels = renewed
+        discard(links)
+        done = chosen.select("bucket", F.col("hub").alias("node"), F.lit(True).alias("tried"))
+        so_far = done if tried is None else materialize(tried.unionByName(done), "tried")
+        if tried is not None:
+            discard(tried)
+            discard(chosen)
+        tried, hubs = so_far, HUBS
     drop()
     discard(buckets)
-    members = members.select("doc_id", "node")
-    if labels is None:
-        return members, nodes.select("node", "rep", F.col("node").alias("label"), F.col("rep").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    known = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    names = known.groupBy("label").agg(F.min("rep").alias("class_id"))
-    return members, known.join(names, "label").join(degree, "node", "left").select("node", "rep", "label", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = nodes.select("node", "rep", "copies").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    names = known.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
+    return members.select("doc_id", "node"), look_up(known.select("node", "rep", "label"), "label", names, "node")
 
 
 def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, near: float = NEAR) -> DataFrame:
-    """doc_id, class_id, n_links of every document: class_id is the least doc_id of its class, n_links its verified links."""
+    """doc_id, class_id, class_size of every document: class_id is the least doc_id of its class, class_size its number of documents."""
     members, named = grouped(docs, bands, rows, near)
-    return members.join(named.select("node", "class_id", "n_links"), "node").select("doc_id", "class_id", "n_links")
+    named = materialize(named.select("node", "class_id", "class_size"), "named")
+    return look_up(members, "node", named, "doc_id").select("doc_id", "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -268,5 +294,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document its class of exact and near duplicates and its number of verified links."""
+    """Per document its class of exact and near duplicates and the class's size."""
     return classes(table(spark, sf_dir, "documents"))
