@@ -5,7 +5,8 @@ then digest. Every record is a gzip member of its own. A shard's files roll once
 Tasks write under temporary names that no other attempt shares; the manifest they return, which holds the successful attempts
 only, then drives the renames, and is written last: an archive folder without a manifest is not committed. A lost executor
 only repeats its shards. Of records with equal payloads the one with the largest page_id is the response; the others are
-revisits without a body, whose HTTP header still tells the payload's length.
+revisits without a body, whose HTTP header still tells the payload's length; a reader can check a revisit's block, but its payload
+digest only against the response that it names.
 
 Defined cases: null html is an empty payload; null page_ids sort first and never win over another; of repeated rows with the
 winning page_id the first is the response and the others revisit it; null urls are written as empty; extra columns are not
@@ -72,17 +73,33 @@ def parse_records(data: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes
 
 
 def _cuts(pages: DataFrame, shards: int) -> list[int]:
-    """page_ids that end the shards, from a histogram of BINS equal ranges: the same for the same rows, however they are dealt."""
+    """page_ids that end the shards: the same for the same rows, however they are dealt. A histogram of BINS equal ranges of
+    page_id; ranges with more than a quarter of a shard are cut into BINS again, all in one job, so outlying ids do no harm."""
     low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
     if low is None or shards < 2:
         return []
-    width = (high - low) // BINS + 1
-    counts = pages.filter("page_id is not null").groupBy(F.floor((F.col("page_id") - low) / width).alias("bin")).count().orderBy("bin").collect()
-    total, cuts, upto = sum(r["count"] for r in counts), [], 0
-    for r in counts:
-        upto += r["count"]
-        if upto * shards >= (len(cuts) + 1) * total and len(cuts) < shards - 1:
-            cuts.append(low + (r["bin"] + 1) * width)
+    total = pages.filter("page_id is not null").count()
+    done, open_ = [], [(low, high - low + 1)]  # counted ranges (first id, rows), and ranges (first id, width) to cut
+    while open_:
+        widths = [-(-w // BINS) for _, w in open_]
+        place = F.lit(None).cast("struct<range:int,bin:bigint>")
+        for k, ((first, w), width) in enumerate(zip(open_, widths)):
+            inside = (F.col("page_id") >= first) & (F.col("page_id") <= first + w - 1)
+            place = F.when(inside, F.struct(F.lit(k).alias("range"), F.floor((F.col("page_id").cast("decimal(20,0)") - first) / width).cast("long").alias("bin"))).otherwise(place)
+        found = pages.select(place.alias("p")).filter("p is not null").groupBy("p.range", "p.bin").count().collect()
+        again = []
+        for r in found:
+            first, width = open_[r["range"]][0] + r["bin"] * widths[r["range"]], widths[r["range"]]
+            if width > 1 and r["count"] * 4 * shards > total:
+                again.append((first, width))
+            else:
+                done.append((first + width, r["count"]))
+        open_ = sorted(again)
+    cuts, upto = [], 0
+    for end, n in sorted(done):
+        upto += n
+        if upto * shards >= (len(cuts) + 1) * total and len(cuts) < shards - 1 and end <= high:
+            cuts.append(end)
     return cuts
 
 
