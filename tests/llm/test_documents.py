@@ -159,15 +159,18 @@ def test_sketches(spark, sf):
     rows = {r["doc_id"]: r for r in fingerprints.op8_fingerprint(spark, sf).collect()}
     text = {i: t or "" for i, t in texts(docs)}
     order = sorted(text, reverse=True)
-    errors, distinct = [], defaultdict(set)
+    errors, within, sizes, distinct = [], [], [], defaultdict(set)
     for i, follower in zip(order, order[1:] + order[:1]):
         half = len(text[i]) // 2
         edited = text[i][: len(text[i]) - half] + text[follower][:half]
         assert rows[i]["n_chars"] == len(text[i]) and rows[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         a, b = shingle_set(text[i]), shingle_set(edited)
         errors.append(abs(rows[i]["near_edited"] - (len(a & b) / len(a | b) if a | b else 1.0)))
+        within.append(abs(rows[i]["kept_in_edited"] - (len(a & b) / len(a) if a else 1.0)))
+        sizes.append(abs(rows[i]["n_shingles"] - len(a)) / max(1, len(a)))
         distinct[text[i]].add(rows[i]["fingerprint"])
     assert np.mean(errors) < 0.04 and max(errors) < 0.25 and all(len(f) == 1 for f in distinct.values())
+    assert np.mean(within) < 0.06 and np.mean(sizes) < 0.06 and max(sizes) < 0.4
 
 
 def test_sketches_of_odd_rows(documents, empty):
@@ -176,6 +179,26 @@ def test_sketches_of_odd_rows(documents, empty):
     assert fingerprints.followers(empty).count() == 0
 
 
+def test_followers_of_repeated_and_missing_ids(spark, tmp_path):
+    """Most rows have no doc_id or the same one; the order is by doc_id, then by hash of the text."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i}") for i in range(300)] + [(7, "text 1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ordered = [r["text"] for r in df.orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text")).collect()]
+    got = Counter((r["text"], r["next_text"]) for r in fingerprints.followers(df).collect())
+    assert got == Counter(zip(ordered, ordered[1:] + ordered[:1]))
+    for name, table_ in (("odd", df), ("none", df.limit(0)), ("one", df.limit(1))):
+        table_.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        assert fingerprints.op8_fingerprint(spark, f"{tmp_path}/{name}").count() == table_.count()
+
+
+def test_words_of_scripts_without_spaces(spark):
+    text = "".join(chr(0x4E00 + 7 * i) for i in range(300))
+    rows = [(text,), (text[:280] + "x" * 20,), ("a\u00a0b\u3000c d",)]
+    df = spark.createDataFrame(rows, "text string").withColumn("words", fingerprints.word_hashes(F.col("text"))).withColumn("sketch", fingerprints.sketch_of(F.col("words")))
+    a, b, c = df.select("sketch", F.size("words").alias("n")).collect()
+    assert a["n"] == 300 and c["n"] == 4 and len(set(a["sketch"]) & set(b["sketch"])) > 80
+
+
 def test_sketches_merge(spark):
     w = prose(9, 800).split()
     parts = spark.createDataFrame([("a", " ".join(w[:404])), ("a", " ".join(w[400:]))], "k string, text string")
