@@ -6,10 +6,11 @@ A byte costs, at its longest known context, -log2(count / (total + distinct)); a
 code lengths are computed once into a table over (context, byte, language), so scoring a text is table look-ups in numpy.
 The language with the shortest code wins; the score is its probability among the languages at equal prior odds.
 
-The statistics come from a bounded sample: about PER_LANG documents of each language, chosen by a hash of their text. The table
-holds at most MAX_CELLS numbers, so its broadcast is bounded however large the input and however many the languages: the
-contexts with the highest counts stay, and a context's shorter ones always count at least as much. The model knows the 1,000
-languages with most documents at most.
+The statistics come from a bounded sample: about PER_LANG documents of each language, chosen by a hash of their text; equal texts
+count once. They count every byte of it. A context is used from LEAST occurrences in one language on, below which its escapes say
+little; the table holds at most MAX_CELLS numbers, so its broadcast is bounded however large the input and however many the
+languages: the contexts with the highest counts stay, and a context's shorter ones always count at least as much. With very
+many languages contexts get shorter.
 
 Defined cases: a null text, and one without a letter, is `und` with score 0; so is every text if nothing can be learned;
 ties go to the first language in byte order; null doc_ids are not learned from and not held out; repeated rows each get
@@ -151,18 +152,19 @@ class Ppm:
 def learn(docs: DataFrame, per_lang: int = PER_LANG, max_cells: int = MAX_CELLS) -> Ppm | None:
     """Learns from documents (doc_id, text, lang): a sample of about per_lang documents of each language."""
     known = docs.filter("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count")).limit(1000).collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return None
+    langs = sorted(counts, key=str.encode)
     share = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, min(1.0, per_lang / v))])
     sample = known.filter(F.pmod(F.xxhash64("text", F.lit(4)), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * (1 << 30))
-    grams = gram_counts(sample).filter("n > 1").toArrow()
+    # a text counts once however many copies the sample has of it
+    sample = sample.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"))
+    place = F.create_map(*[F.lit(x) for i, k in enumerate(langs) for x in (k, i)])
+    grams = gram_counts(sample).select(F.element_at(place, F.col("lang")).alias("lang"), "gram", F.col("n").cast("int").alias("n")).toArrow()
     if not len(grams):
         return None
-    langs = sorted(set(grams["lang"].to_pylist()), key=str.encode)
-    place = {x: i for i, x in enumerate(langs)}
-    lang = np.array([place[x] for x in grams["lang"].to_pylist()])
-    return Ppm(langs, lang, grams["gram"].to_numpy(), grams["n"].to_numpy().astype(np.float64), max_cells=max_cells)
+    return Ppm(langs, grams["lang"].to_numpy(), grams["gram"].to_numpy(), grams["n"].to_numpy().astype(np.float32), max_cells=max_cells)
 
 
 def identify(docs: DataFrame, model: Ppm | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
