@@ -252,6 +252,22 @@ def test_language_of_odd_rows(documents, empty):
     assert langid.learn(empty) is None and langid.identify(empty, None).count() == 0
 
 
+def test_language_ties_and_small_texts(spark):
+    """Equal statistics tie, and the first language in byte order wins; held_out follows doc_id, und does not."""
+    rows = [(i, t, lang) for i in range(9) for t, lang in ((f"ab ba {i}", "zz"), (f"ab ba {i}", "aa"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(df)
+    got = langid.identify(spark.createDataFrame([(1, "ab"), (2, "7"), (None, "B")], "doc_id long, text string"), model).collect()
+    assert [(r["lang_pred"], round(r["score"], 6)) for r in got] == [("aa", 0.5), ("und", 0.0), ("aa", 0.5)]
+
+
+def test_language_query_on_odd_tables(spark, documents, tmp_path):
+    for name, df in (("odd", documents), ("none", documents.limit(0))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        rows = langid.op4_language(spark, f"{tmp_path}/{name}").collect()
+        assert len(rows) == df.count() and all(not r["held_out"] for r in rows if r["doc_id"] is None)
+
+
 # tokens
 
 
