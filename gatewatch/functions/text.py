@@ -21,8 +21,22 @@ def percent(share: Column) -> Column:
     return F.round(F.when(share <= 1, share * 100).otherwise(share), 1)
 
 
-def status_label(status: Column) -> Column:
-    return F.when(status == 1, "Terbaca").when(status == 2, "Perlu Dicek").otherwise("Gagal")
+def status_label(status: Column, unclear: str = "Perlu Cek") -> Column:
+    """The label of reports; listings write the middle one in lower case."""
+    return F.when(status == 1, "Terbaca").when(status == 2, unclear).otherwise("Gagal")
+
+
+def confidence_colour(confidence: Column) -> Column:
+    return F.when(confidence >= 0.70, "green").otherwise("yellow")
+
+
+def lighting(brightness: Column, contrast: Column, dark: Column, glare: Column) -> Column:
+    """struct<score,status> of a region by its mean and spread of grey levels and its shares of dark and of glaring pixels."""
+    bright_score = F.greatest(F.lit(0.0), 100.0 - F.abs(brightness - 125.0) * 0.75)
+    score = 0.65 * bright_score + 0.35 * F.least(F.lit(100.0), contrast * 2.0) - glare * 80.0
+    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))
+    status = F.when(brightness.isNull(), "NO ROI").when(glare >= 0.18, "GLARE").when(brightness < 45, "TOO DARK").when(brightness < 72, "LOW LIGHT").when(brightness > 205, "OVEREXPOSED").when(score >= 72, "GOOD").otherwise("FAIR")
+    return F.struct(F.coalesce(score, F.lit(0.0)).alias("score"), status.alias("status"))
 
 
 def camera_status(status: Column) -> Column:

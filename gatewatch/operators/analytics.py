@@ -39,7 +39,7 @@ def camera_totals(cameras: DataFrame) -> DataFrame:
 
 def per_camera(events: DataFrame, cameras: DataFrame) -> DataFrame:
     """By camera: label, direction, status and counts."""
-    joined = events.join(F.broadcast(cameras.select("camera_id", "location", F.col("status").alias("on"), F.col("direction").alias("way"))), "camera_id", "left")
+    joined = events.join(cameras.select("camera_id", "location", F.col("status").alias("on"), F.col("direction").alias("way")), "camera_id", "left")
     label = F.coalesce(F.max("source_name"), F.max("location"), F.concat(F.lit("CCTV-"), F.col("camera_id").cast("string")))
     return joined.groupBy("camera_id").agg(label.alias("camera"), F.max("way").alias("camera_direction"), camera_status(F.max("on")).alias("camera_status"), _n(VEHICLE, "vehicles"), _n(PERSON, "people"), _n("has_plate = 1", "plates"))
 

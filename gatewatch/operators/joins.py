@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import hypot
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,20 +14,20 @@ from ..functions import geometry as G
 def details(detections: DataFrame, plates: DataFrame, cameras: DataFrame) -> DataFrame:
     """Every detection with its plate and camera, where there are any, and a display name."""
     rows = detections.join(plates.select("plate_id", "plate_number", "ocr_confidence"), "plate_id", "left")
-    rows = rows.join(F.broadcast(cameras.select("camera_id", "location")), "camera_id", "left")
+    rows = rows.join(cameras.select("camera_id", "location"), "camera_id", "left")
     return rows.withColumn("camera_name", F.coalesce("source_name", "location", F.lit("CCTV")))
 
 
 def read_details(detections: DataFrame, plates: DataFrame, cameras: DataFrame) -> DataFrame:
     rows = detections.drop("detection_status", "created_at").join(plates, "plate_id")
-    return rows.join(F.broadcast(cameras.select("camera_id", "location")), "camera_id", "left")
+    return rows.join(cameras.select("camera_id", "location"), "camera_id", "left")
 
 
 def plates_with_logs(plates: DataFrame, logs: DataFrame, detections: DataFrame, cameras: DataFrame) -> DataFrame:
     """Plates with their log and detection; the camera is the detection's, else the log's."""
     rows = plates.select("plate_id", "plate_number").join(logs.select("plate_id", F.col("camera_id").alias("log_camera")), "plate_id", "left")
     rows = rows.join(detections.select("plate_id", "camera_id"), "plate_id", "left").withColumn("camera_id", F.coalesce("camera_id", "log_camera"))
-    return rows.join(F.broadcast(cameras.select("camera_id", "location")), "camera_id", "left").drop("log_camera")
+    return rows.join(cameras.select("camera_id", "location"), "camera_id", "left").drop("log_camera")
 
 
 def not_active(running: DataFrame, active: DataFrame) -> DataFrame:
@@ -40,7 +39,8 @@ def changed(running: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def similar_hashes(left: DataFrame, right: DataFrame, most: int = 6, seconds: int = 1800) -> DataFrame:
-    """Pairs (id, other) of one camera with hashes that differ in `most` bits at most, the other up to `seconds` earlier.
+    """For each row (id, camera_id, object_type, hash, created_at) the newest other one of its camera and type, up to `seconds`
+    earlier, whose hash differs in `most` bits at most: id, other.
 
     The 64 bits are cut into most + 1 bands; hashes that close agree in one band at least, so the join is on camera, time slot
     and band, and every pair is found however many bands it agrees in."""
@@ -49,13 +49,14 @@ def similar_hashes(left: DataFrame, right: DataFrame, most: int = 6, seconds: in
     number = lambda h: F.conv(h, 16, -10).cast("long")
     bands = lambda h: F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(number(h), a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("v")) for i, (a, b) in enumerate(zip(cut, cut[1:]))])
     slot = lambda at: F.floor(F.unix_seconds(at) / seconds)
-    a = left.select("id", "camera_id", "hash", "created_at", F.explode(bands(F.col("hash"))).alias("band"), F.col("created_at").alias("_t"))
+    a = left.select("id", "camera_id", "object_type", "hash", "created_at", F.explode(bands(F.col("hash"))).alias("band"), F.col("created_at").alias("_t"))
     a = a.withColumn("slot", F.explode(F.array(slot("_t"), slot("_t") - 1))).drop("_t")
-    b = right.select(F.col("id").alias("other"), "camera_id", F.col("hash").alias("other_hash"), F.col("created_at").alias("other_at"), F.explode(bands(F.col("hash"))).alias("band"))
+    b = right.select(F.col("id").alias("other"), "camera_id", "object_type", F.col("hash").alias("other_hash"), F.col("created_at").alias("other_at"), F.explode(bands(F.col("hash"))).alias("band"))
     b = b.withColumn("slot", slot("other_at"))
     gap = F.unix_micros("created_at") - F.unix_micros("other_at")
-    met = a.join(b, ["camera_id", "slot", "band"]).filter((F.col("id") != F.col("other")) & gap.between(0, seconds * 1_000_000))
-    return met.filter(G.hamming(F.col("hash"), F.col("other_hash")) <= most).select("id", "other").distinct()
+    met = a.join(b, ["camera_id", "object_type", "slot", "band"]).filter((F.col("id") != F.col("other")) & gap.between(0, seconds * 1_000_000))
+    close = met.filter(G.hamming(F.col("hash"), F.col("other_hash")) <= most)
+    return close.groupBy("id").agg(F.max_by("other", F.struct("other_at", "other")).alias("other"))
 
 
 def _pairs(inner: DataFrame, outer: DataFrame) -> DataFrame:
@@ -78,6 +79,12 @@ def overlapping_vehicle(plates: DataFrame, vehicles: DataFrame) -> DataFrame:
     return held.groupBy(F.col("a_box_id").alias("plate_box")).agg(F.max_by("b_box_id", F.struct("share", (-F.col("b_box_id")).alias("i"))).alias("vehicle_box"), F.round(F.max("share"), 6).alias("share"))
 
 
+def same_track(plates: DataFrame, vehicles: DataFrame) -> DataFrame:
+    """The frame's first vehicle that a plate's camera follows under the same track."""
+    v = vehicles.select("frame", "camera", "track", F.col("box_id").alias("v"))
+    return plates.join(v, ["frame", "camera", "track"]).groupBy(F.col("box_id").alias("plate_box")).agg(F.min("v").alias("vehicle_box"))
+
+
 def resolved_vehicle(plates: DataFrame, *by: DataFrame) -> DataFrame:
     """The first of several answers (plate_box, vehicle_box) in the order given."""
     rows = plates.select(F.col("box_id").alias("plate_box"))
@@ -98,52 +105,47 @@ def not_tracked(raw: DataFrame, tracked: DataFrame, least: float = 0.30) -> Data
     return tracked.unionByName(raw.join(hit, "box_id", "left_anti"))
 
 
+def _one_to_one(pairs: DataFrame, order: list, names: tuple[str, str]) -> DataFrame:
+    """Of a frame's pairs in that order, each whose boxes no earlier one took. Partitions are walked in order, many frames each."""
+    from ..streaming.folds import fold_batch
+
+    def step(state: dict | None, row: dict) -> tuple[dict, list[dict]]:
+        state = state or {"a": set(), "b": set()}
+        if row["a_box_id"] in state["a"] or row["b_box_id"] in state["b"]:
+            return state, []
+        state["a"].add(row["a_box_id"])
+        state["b"].add(row["b_box_id"])
+        return state, [{"frame": row["frame"], names[0]: row["a_box_id"], names[1]: row["b_box_id"]}]
+
+    return fold_batch(pairs, ["frame"], order, step, f"frame long, {names[0]} long, {names[1]} long")
+
+
 def greedy_matches(detections: DataFrame, tracks: DataFrame, least: float = 0.35) -> DataFrame:
     """One-to-one matches within a frame, best overlap first."""
     pairs = _pairs(detections, tracks).withColumn("iou", G.iou(G.box("a_"), G.box("b_"))).filter(F.col("iou") >= least)
-
-    def match(group: pd.DataFrame) -> pd.DataFrame:
-        used_a, used_b, rows = set(), set(), []
-        for r in group.sort_values(["iou", "a_box_id", "b_box_id"], ascending=[False, True, True]).itertuples():
-            if r.a_box_id not in used_a and r.b_box_id not in used_b:
-                used_a.add(r.a_box_id)
-                used_b.add(r.b_box_id)
-                rows.append((r.frame, r.a_box_id, r.b_box_id))
-        return pd.DataFrame(rows, columns=["frame", "detection", "track"])
-
-    return pairs.select("frame", "a_box_id", "b_box_id", "iou").groupBy("frame").applyInPandas(match, "frame long, detection long, track long")
+    return _one_to_one(pairs.select("frame", "a_box_id", "b_box_id", "iou"), [F.desc("iou"), "a_box_id", "b_box_id"], ("detection", "track"))
 
 
 def drivers(people: DataFrame, vehicles: DataFrame, share: float = 0.20) -> DataFrame:
     """A vehicle for each person that it covers or whose centre it holds; a vehicle takes one person, in order of id."""
     x, y = G.center(G.box("a_"))
     near = _pairs(people, vehicles).filter((G.coverage(G.box("a_"), G.box("b_")) >= share) | G.contains(G.box("b_"), x, y))
-
-    def assign(group: pd.DataFrame) -> pd.DataFrame:
-        taken, rows = set(), []
-        for person, own in group.sort_values(["a_box_id", "b_box_id"]).groupby("a_box_id", sort=True):
-            free = [v for v in own["b_box_id"] if v not in taken]
-            if free:
-                taken.add(free[0])
-                rows.append((person, free[0]))
-        return pd.DataFrame(rows, columns=["person", "vehicle"])
-
-    return near.select("frame", "a_box_id", "b_box_id").groupBy("frame").applyInPandas(assign, "person long, vehicle long")
+    return _one_to_one(near.select("frame", "a_box_id", "b_box_id"), ["a_box_id", "b_box_id"], ("person", "vehicle")).drop("frame")
 
 
 def suppressed(boxes: DataFrame, pixels: float = 18.0) -> DataFrame:
     """Boxes of a frame by confidence, without those whose centre is within `pixels` of a kept one's."""
+    from ..streaming.folds import fold_batch
 
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["confidence", "box_id"], ascending=[False, True])
-        centres = np.stack([(group.x1 + group.x2) / 2, (group.y1 + group.y2) / 2], 1)
-        chosen: list[int] = []
-        for i, c in enumerate(centres):
-            if not chosen or np.hypot(*(centres[chosen] - c).T).min() >= pixels:
-                chosen.append(i)
-        return group.iloc[chosen][["box_id"]]
+    def step(state: list | None, row: dict) -> tuple[list, list[dict]]:
+        state = state or []
+        if any(hypot(row["x"] - x, row["y"] - y) < pixels for x, y in state):
+            return state, []
+        return [*state, (row["x"], row["y"])], [{"box_id": row["box_id"]}]
 
-    return boxes.groupBy("frame").applyInPandas(keep, "box_id long")
+    x, y = G.center(G.box())
+    rows = boxes.select("frame", "box_id", "confidence", x.alias("x"), y.alias("y"))
+    return fold_batch(rows, ["frame"], [F.desc("confidence"), "box_id"], step, "box_id long")
 
 
 def capture_lookup(wanted: DataFrame, captures: DataFrame, keys: list[str]) -> DataFrame:
@@ -155,8 +157,8 @@ def capture_lookup(wanted: DataFrame, captures: DataFrame, keys: list[str]) -> D
 
 def camera_settings(cameras: DataFrame, config: DataFrame, runtime: DataFrame, default: str) -> DataFrame:
     """Each camera's setting: the run-time one, else the configured one, else the default."""
-    rows = cameras.select("camera_id").join(F.broadcast(runtime.select("camera_id", F.col("value").alias("r"))), "camera_id", "left")
-    rows = rows.join(F.broadcast(config.select("camera_id", F.col("value").alias("c"))), "camera_id", "left")
+    rows = cameras.select("camera_id").join(runtime.select("camera_id", F.col("value").alias("r")), "camera_id", "left")
+    rows = rows.join(config.select("camera_id", F.col("value").alias("c")), "camera_id", "left")
     return rows.select("camera_id", F.coalesce("r", "c", F.lit(default)).alias("value"))
 
 

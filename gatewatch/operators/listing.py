@@ -61,7 +61,7 @@ def shaped(rows: DataFrame) -> DataFrame:
     """Listing columns: what was seen, a label of its status, and its confidence in percent."""
     kind = F.when(F.col("object_type") == "person", "person").when(F.col("has_plate") == 1, "plate").otherwise("vehicle")
     confidence = F.coalesce(F.nullif("ocr_confidence", F.lit(0.0)), F.nullif("detection_confidence", F.lit(0.0)), F.lit(0.0))
-    return rows.select("detection_id", kind.alias("type"), F.col("camera_name"), status_label(F.col("detection_status")).alias("status"), percent(confidence).alias("confidence"), "created_at")
+    return rows.select("detection_id", kind.alias("type"), F.col("camera_name"), status_label(F.col("detection_status"), "Perlu cek").alias("status"), percent(confidence).alias("confidence"), "created_at")
 
 
 def revalidated(plates: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def fold(stored: dict | None, new: dict) -> tuple[dict, bool]:
     out["vehicle_confidence"] = max(stored["vehicle_confidence"], new["vehicle_confidence"])
     out["has_driver"] = bool(stored["has_driver"] or new["has_driver"])
     out["direction"] = new["direction"] if new["direction"] in ("entry", "exit") else stored["direction"]
-    out["image"] = stored["image"] or new["image"]
+    out["image"] = new["image"] or stored["image"]
     out["vehicle_type"] = new["vehicle_type"]
     return settle(out), True
 

@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.lineage import cut
 from . import analytics as A
 
 
+def numbered(rows: DataFrame, order: list) -> DataFrame:
+    """rows with `no`, from 1 in that order: ranges are numbered on their own and moved by the sizes of those before, so no task
+    sees more than a range."""
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.join(starts, "_part").withColumn("no", (F.col("_start") + own).cast("long")).drop("_part", "_start")
+
+
 def plates(history: DataFrame) -> DataFrame:
     """Plates: number, status and confidence in percent."""
     return history.select("plate_id", F.coalesce(F.nullif("plate_number", F.lit("")), F.lit("-")).alias("plat"), X.status_label(F.col("detection_status")).alias("status"), X.percent(F.col("ocr_confidence")).alias("keyakinan"))

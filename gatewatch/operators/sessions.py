@@ -29,8 +29,10 @@ def vehicle_recurrence(detections: DataFrame, plates: DataFrame, gap_seconds: fl
     by_session = sessions(known, "plate", gap_seconds)
     kind = F.coalesce(F.max_by(F.when(F.col("vehicle_type") != "unknown", F.col("vehicle_type")), F.when(F.col("vehicle_type") != "unknown", F.struct("created_at", "detection_id"))), F.lit("unknown"))
     facts = known.groupBy("plate").agg(F.count("*").alias("detection_count"), kind.alias("vehicle_type"))
-    newest = F.slice(F.sort_array(F.collect_list(F.struct("end_time", "camera_id", "detections")), asc=False), 1, history)
-    ranked = by_session.groupBy("plate").agg(F.count("*").alias("occurrence_count"), F.max("end_time").alias("last_seen"), F.max_by("camera_id", "session").alias("last_camera"), newest.alias("history"))
+    place = F.row_number().over(Window.partitionBy("plate").orderBy(F.desc("end_time"), F.desc("camera_id"), F.desc("session")))
+    recent = F.when(F.col("place") <= history, F.struct("end_time", "camera_id", "detections"))  # null is not collected
+    newest = F.sort_array(F.collect_list(recent), asc=False)
+    ranked = by_session.withColumn("place", place).groupBy("plate").agg(F.count("*").alias("occurrence_count"), F.max("end_time").alias("last_seen"), F.max_by("camera_id", "session").alias("last_camera"), newest.alias("history"))
     return ranked.filter(F.col("occurrence_count") >= at_least).join(facts, "plate").withColumn("status", P.vehicle_recurrence(F.col("occurrence_count"), F.lit(True)))
 
 

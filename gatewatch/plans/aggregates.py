@@ -149,7 +149,7 @@ def stable_votes(spark, sf):
     return v.select("track_id", "text", F.round("confidence", 6).alias("confidence"), F.when(F.col("total") < 2, False).otherwise(F.col("stable")).alias("stable"))
 
 
-@query("ag21_best_variant")
+@query("ag21_best_variant", "select track_id, arg_max(text, row(sc, -reading_id)) as text, arg_max(reading_id, row(sc, -reading_id)) as variant, round(max(sc), 6) as score from (select *, least(0.99::double, confidence + 0.03::double * (count(*) over (partition by track_id, text) - 1)) as sc from readings) group by 1")
 def best_variant(spark, sf):
     candidates = T.readings(spark, sf).selectExpr("track_id", "reading_id as variant", "text", "confidence")
     return votes.best_variant(candidates, "track_id")

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions import plates as P
 from ..functions import text as X
 from ..operators import dedup, dml, merge, reports
 from ..sources import tables as T
+from .aggregates import VALID_TEXT
 from .shared import events, stamp
 
+VALID = VALID_TEXT.replace("vote", "upper(text)")
+
 
 @query("sk01_merged_events")
 def merged_events(spark, sf):
@@ -62,7 +66,7 @@ def settings(spark, sf):
     return dml.upsert_settings(c.filter("camera_id < 20").selectExpr("location as key", "direction as value"), changes)
 
 
-@query("sk08_zones")
+@query("sk08_zones", "select camera_id, '[[0.1,0.1],[0.9,0.1],[0.5,0.9]]' as mid_zone, case when camera_id % 2 = 0 then '[[0.2,0.2],[0.4,0.2],[0.3,0.4]]' end as near_zone from cameras")
 def zones(spark, sf):
     """Zones parsed from JSON, upserted and written as JSON again."""
     c = T.cameras(spark, sf)
@@ -106,14 +110,11 @@ def referenced(spark, sf):
     return dml.referenced(images, T.detections(spark, sf).filter("detection_id % 2 = 0").selectExpr("concat('img/', detection_id % 100) as image"))
 
 
-@query("sk15_detection_report", "select row_number() over (order by created_at desc, detection_id desc) as no, camera_id, case detection_status when 1 then 'Terbaca' when 2 then 'Perlu Dicek' else 'Gagal' end as status, round(detection_confidence * 100, 1) as keyakinan from (select * from dedup order by created_at desc, detection_id desc limit 500)", events=True)
+@query("sk15_detection_report", "select row_number() over (order by created_at desc, detection_id desc) as no, camera_id, case detection_status when 1 then 'Terbaca' when 2 then 'Perlu Cek' else 'Gagal' end as status, round(detection_confidence * 100, 1) as keyakinan from dedup", events=True)
 def detection_report(spark, sf):
-    """The first 500 rows of the report, numbered after the limit."""
-    from pyspark.sql import Window
-
-    top = events(spark, sf).orderBy(F.desc("created_at"), F.desc("detection_id")).limit(500)
-    no = F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("detection_id")))
-    return top.select(no.cast("long").alias("no"), "camera_id", X.status_label(F.col("detection_status")).alias("status"), X.percent(F.col("detection_confidence")).alias("keyakinan"))
+    """All rows of the report, numbered from the newest on."""
+    rows = reports.numbered(events(spark, sf), [F.desc("created_at"), F.desc("detection_id")])
+    return rows.select("no", "camera_id", X.status_label(F.col("detection_status")).alias("status"), X.percent(F.col("detection_confidence")).alias("keyakinan"))
 
 
 @query("sk16_payload")
@@ -143,9 +144,12 @@ def first_sightings(spark, sf):
     return dml.first_and_known_direction(T.detections(spark, sf)).select("detection_id")
 
 
-@query("sk21_finished_plates", "select plate_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') as created_at from plates where ocr_confidence >= 0.65 or plate_crop_quality >= 0.5")
+@query("sk21_finished_plates", f"select reading_id, strftime(r.created_at, '%Y-%m-%d %H:%M:%S') as created_at from readings r join detections d on d.plate_id = r.reading_id where {VALID} or detection_confidence >= case when source_name like 'Video%' then 0.65 else 0.50 end")
 def finished_plates(spark, sf):
-    return T.plates(spark, sf).filter("ocr_confidence >= 0.65D or plate_crop_quality >= 0.5D").select("plate_id", stamp())
+    """Readings that are saved: valid ones, and those whose detection is sure enough, surer for videos than live."""
+    d = T.detections(spark, sf).filter("plate_id is not null").selectExpr("plate_id as reading_id", "source_name", "detection_confidence")
+    sure = F.col("detection_confidence") >= F.when(F.col("source_name").startswith("Video"), 0.65).otherwise(0.50)
+    return T.readings(spark, sf).join(d, "reading_id").filter(P.is_valid(F.col("text")) | sure).select("reading_id", stamp())
 
 
 @query("sk18_report_names", "select camera_id, concat('laporan_', regexp_replace(trim(location), '[^A-Za-z0-9._-]+', '_', 'g'), '_20240120.csv') as name from cameras")
@@ -153,7 +157,7 @@ def report_names(spark, sf):
     return T.cameras(spark, sf).select("camera_id", F.concat(F.lit("laporan_"), X.safe_file_name(F.col("location")), F.lit("_"), F.date_format(F.lit("2024-01-20").cast("date"), "yyyyMMdd"), F.lit(".csv")).alias("name"))
 
 
-@query("sk15_plate_report", "select plate_id, case when plate_number <> '' then plate_number else '-' end as plat, case detection_status when 1 then 'Terbaca' when 2 then 'Perlu Dicek' else 'Gagal' end as status, round(ocr_confidence * 100, 1) as keyakinan from plates")
+@query("sk15_plate_report", "select plate_id, case when plate_number <> '' then plate_number else '-' end as plat, case detection_status when 1 then 'Terbaca' when 2 then 'Perlu Cek' else 'Gagal' end as status, round(ocr_confidence * 100, 1) as keyakinan from plates")
 def plate_report(spark, sf):
     return reports.plates(T.plates(spark, sf))
 

@@ -14,6 +14,12 @@ OWN = "((a.x2 - a.x1) * (a.y2 - a.y1))"
 OTHER = "((b.x2 - b.x1) * (b.y2 - b.y1))"
 
 
+#: Pairs `p` of a frame in order (rn), each taken if both of its boxes are free.
+GREEDY = """, g as (select frame, rn, a, b, [a] as ua, [b] as ub, true as took from p where rn = 1
+union all select frame, rn, a, b, case when ok then list_append(ua, a) else ua end, case when ok then list_append(ub, b) else ub end, ok
+from (select p.frame, p.rn, p.a, p.b, g.ua, g.ub, not list_contains(g.ua, p.a) and not list_contains(g.ub, p.b) as ok from g join p on p.frame = g.frame and p.rn = g.rn + 1)) """
+
+
 def _boxes(spark, sf):
     b = T.boxes(spark, sf)
     return b.filter("kind = 'plate'"), b.filter("kind = 'vehicle'")
@@ -69,13 +75,13 @@ def track_look_back(spark, sf):
     return previous_match(T.detections(spark, sf), ["camera_id", "track_id"], 86_400).select("detection_id", "prior_id")
 
 
-HASHES = ", h as (select detection_id as id, camera_id, created_at, substr(md5(cast(track_id % 7 as varchar)), 1, 14) || substr(md5(cast(detection_id as varchar)), 1, 2) as hash from detections) "
+HASHES = ", h as (select detection_id as id, camera_id, object_type, created_at, substr(md5(cast(track_id % 7 as varchar)), 1, 14) || substr(md5(cast(detection_id as varchar)), 1, 2) as hash from detections) "
 
 
-@query("jn10_similar_hashes", HASHES + "select a.id, b.id as other from h a join h b on a.camera_id = b.camera_id and a.id <> b.id and epoch_us(a.created_at) - epoch_us(b.created_at) between 0 and 1800000000::bigint and bit_count(xor(cast('0x' || a.hash as ubigint), cast('0x' || b.hash as ubigint))::bit) <= 6")
+@query("jn10_similar_hashes", HASHES + "select a.id, arg_max(b.id, row(b.created_at, b.id)) as other from h a join h b on a.camera_id = b.camera_id and a.object_type = b.object_type and a.id <> b.id and epoch_us(a.created_at) - epoch_us(b.created_at) between 0 and 1800000000::bigint and bit_count(xor(cast('0x' || a.hash as ubigint), cast('0x' || b.hash as ubigint))::bit) <= 6 group by a.id")
 def similar_hashes(spark, sf):
-    """Similarity join of 64-bit hashes within half an hour of a camera, at six bits or fewer."""
-    h = T.detections(spark, sf).selectExpr("detection_id as id", "camera_id", "created_at", "concat(substr(md5(cast(track_id % 7 as string)), 1, 14), substr(md5(cast(detection_id as string)), 1, 2)) as hash")
+    """The newest similar row: 64-bit hashes of a camera and type within half an hour, at six bits or fewer."""
+    h = T.detections(spark, sf).selectExpr("detection_id as id", "camera_id", "object_type", "created_at", "concat(substr(md5(cast(track_id % 7 as string)), 1, 14), substr(md5(cast(detection_id as string)), 1, 2)) as hash")
     return J.similar_hashes(h, h)
 
 
@@ -89,15 +95,21 @@ def overlapping_vehicle(spark, sf):
     return J.overlapping_vehicle(*_boxes(spark, sf))
 
 
-@query("jn13_resolved_vehicle")
+@query("jn13_resolved_vehicle", f""", t as (select b.*, d.camera_id, d.track_id from boxes b join detections d on d.detection_id = b.box_id),
+tr as (select a.box_id as p, min(b.box_id) as v from t a join t b on a.frame = b.frame and a.camera_id % 5 = b.camera_id % 5 and a.track_id % 5 = b.track_id % 5 where a.kind = 'plate' and b.kind = 'vehicle' group by 1),
+inn as (select a.box_id as p, arg_min(b.box_id, row((b.x2 - b.x1) * (b.y2 - b.y1), b.box_id)) as v from boxes a join boxes b using (frame) where a.kind = 'plate' and b.kind = 'vehicle' and (a.x1 + a.x2) / 2 between b.x1 and b.x2 and (a.y1 + a.y2) / 2 between b.y1 and b.y2 group by 1),
+cov as (select p, arg_max(v, row(share, -v)) as v from (select a.box_id as p, b.box_id as v, {BOTH} / {OWN} as share from boxes a join boxes b using (frame) where a.kind = 'plate' and b.kind = 'vehicle') where share > 0 group by 1)
+select box_id as plate_box, coalesce(tr.v, inn.v, cov.v) as vehicle_box from boxes left join tr on tr.p = box_id left join inn on inn.p = box_id left join cov on cov.p = box_id where kind = 'plate'""")
 def resolved_vehicle(spark, sf):
     """By the track's vehicle where there is one, else by containment, else by overlap."""
     plates, vehicles = _boxes(spark, sf)
-    by_track = plates.filter("box_id % 6 = 0").selectExpr("box_id as plate_box", "box_id + 1 as vehicle_box")
+    tracked = T.detections(spark, sf).selectExpr("detection_id as box_id", "camera_id % 5 as camera", "track_id % 5 as track")
+    by_track = J.same_track(plates.join(tracked, "box_id"), vehicles.join(tracked, "box_id"))
     return J.resolved_vehicle(plates, by_track, J.containing_vehicle(plates, vehicles), J.overlapping_vehicle(plates, vehicles))
 
 
-@query("jn14_drivers")
+@query("jn14_drivers", f""", p as (select a.frame, a.box_id as a, b.box_id as b, row_number() over (partition by a.frame order by a.box_id, b.box_id) as rn from boxes a join boxes b using (frame)
+where a.kind = 'plate' and b.kind = 'vehicle' and ({BOTH} / {OWN} >= 0.20 or (a.x1 + a.x2) / 2 between b.x1 and b.x2 and (a.y1 + a.y2) / 2 between b.y1 and b.y2)){GREEDY} select a as person, b as vehicle from g where took""")
 def drivers(spark, sf):
     return J.drivers(*_boxes(spark, sf))
 
@@ -112,7 +124,8 @@ def _tracks(spark, sf):
     return v.filter("box_id % 2 = 0"), v.filter("box_id % 2 = 1")
 
 
-@query("jn16_greedy_matches")
+@query("jn16_greedy_matches", f""", q as (select a.frame, a.box_id as a, b.box_id as b, {BOTH} / ({OWN} + (b.x2 - b.x1) * (b.y2 - b.y1) - {BOTH}) as iou from boxes a join boxes b using (frame) where a.kind = 'vehicle' and b.kind = 'vehicle' and a.box_id % 2 = 0 and b.box_id % 2 = 1),
+p as (select *, row_number() over (partition by frame order by iou desc, a, b) as rn from q where iou >= 0.35){GREEDY} select frame, a as detection, b as track from g where took""")
 def greedy_matches(spark, sf):
     return J.greedy_matches(*_tracks(spark, sf))
 
@@ -126,7 +139,7 @@ def capture_lookup(spark, sf):
 
 @query("jn18_camera_names", "select d.detection_id, c.location from detections d left join cameras c using (camera_id)")
 def camera_names(spark, sf):
-    return T.detections(spark, sf).join(F.broadcast(T.cameras(spark, sf).select("camera_id", "location")), "camera_id", "left").select("detection_id", "location")
+    return T.detections(spark, sf).join(T.cameras(spark, sf).select("camera_id", "location"), "camera_id", "left").select("detection_id", "location")
 
 
 @query("jn19_not_tracked", f"select box_id from boxes where kind = 'vehicle' and box_id % 2 = 1 union all select box_id from boxes where kind = 'vehicle' and box_id % 2 = 0 and box_id not in (select a.box_id from boxes a join boxes b using (frame) where a.kind = 'vehicle' and b.kind = 'vehicle' and a.box_id % 2 = 0 and b.box_id % 2 = 1 and {BOTH} / ({OWN} + {OTHER} - {BOTH}) >= 0.30)")
@@ -140,6 +153,10 @@ def camera_settings(spark, sf):
     return J.camera_settings(c, c.filter("camera_id % 2 = 0").selectExpr("camera_id", "'config' as value"), c.filter("camera_id % 5 = 0").selectExpr("camera_id", "'run' as value"), "default")
 
 
-@query("sl06_suppressed_centres")
+@query("sl06_suppressed_centres", """, c as (select frame, box_id, (x1 + x2) / 2 as x, (y1 + y2) / 2 as y, row_number() over (partition by frame order by confidence desc, box_id) as rn from boxes where kind = 'plate'),
+k as (select frame, rn, box_id, [{'x': x, 'y': y}] as kept, true as took from c where rn = 1
+union all select frame, rn, box_id, case when ok then list_append(kept, {'x': x, 'y': y}) else kept end, ok
+from (select c.*, k.kept, len(list_filter(k.kept, lambda o: sqrt((o.x - c.x) * (o.x - c.x) + (o.y - c.y) * (o.y - c.y)) < 18)) = 0 as ok from k join c on c.frame = k.frame and c.rn = k.rn + 1))
+select box_id from k where took""")
 def suppressed_centres(spark, sf):
     return J.suppressed(T.boxes(spark, sf).filter("kind = 'plate'"))

@@ -70,7 +70,7 @@ def display_names(spark, sf):
     return _rows(spark, sf).groupBy("camera_name").agg(F.count("*").alias("n"))
 
 
-@query("fl11_shaped", ROWS + "select detection_id, case when object_type = 'person' then 'person' when has_plate = 1 then 'plate' else 'vehicle' end as type, camera_name, case detection_status when 1 then 'Terbaca' when 2 then 'Perlu Dicek' else 'Gagal' end as status, round(coalesce(nullif(ocr_confidence, 0), nullif(detection_confidence, 0), 0) * 100, 1) as confidence, strftime(created_at, '%Y-%m-%d %H:%M:%S') as created_at from rows_")
+@query("fl11_shaped", ROWS + "select detection_id, case when object_type = 'person' then 'person' when has_plate = 1 then 'plate' else 'vehicle' end as type, camera_name, case detection_status when 1 then 'Terbaca' when 2 then 'Perlu cek' else 'Gagal' end as status, round(coalesce(nullif(ocr_confidence, 0), nullif(detection_confidence, 0), 0) * 100, 1) as confidence, strftime(created_at, '%Y-%m-%d %H:%M:%S') as created_at from rows_")
 def shaped(spark, sf):
     return L.shaped(_rows(spark, sf)).withColumn("created_at", stamp())
 
@@ -183,7 +183,7 @@ def recurrence_filter(spark, sf):
 
 @query("fl17_camera_day_search", "select d.camera_id, cast(created_at as date) as day, count(*) as n from detections d join cameras c on d.camera_id = c.camera_id where contains(upper(location), 'MASUK') group by 1, 2")
 def camera_day_search(spark, sf):
-    rows = T.detections(spark, sf).join(F.broadcast(T.cameras(spark, sf).select("camera_id", "location")), "camera_id")
+    rows = T.detections(spark, sf).join(T.cameras(spark, sf).select("camera_id", "location"), "camera_id")
     return L.search(rows, "masuk", "location").groupBy("camera_id", F.to_date("created_at").alias("day")).agg(F.count("*").alias("n"))
 
 

@@ -150,15 +150,15 @@ def converters(spark, sf):
     return T.detections(spark, sf).select("detection_id", F.round(X.to_number(text), 6).alias("v"))
 
 
-@query("sf42_labels", "select detection_status, case detection_status when 1 then 'Terbaca' when 2 then 'Perlu Dicek' else 'Gagal' end as label, count(*) as n from detections group by 1")
+@query("sf42_labels", "select detection_status, case detection_status when 1 then 'Terbaca' when 2 then 'Perlu Cek' else 'Gagal' end as label, count(*) as n from detections group by 1")
 def labels(spark, sf):
     return T.detections(spark, sf).groupBy("detection_status").agg(F.count("*").alias("n")).select("detection_status", X.status_label(F.col("detection_status")).alias("label"), "n")
 
 
-@query("sf43_buckets", "select case when detection_confidence >= 0.8 then 'high' when detection_confidence >= 0.5 then 'middle' else 'low' end as bucket, count(*) as n from detections group by 1")
+@query("sf43_buckets", "select case when c < 700 then 'yellow' else 'green' end as bucket, count(*) as n from e group by 1")
 def buckets(spark, sf):
-    c = F.col("detection_confidence")
-    return T.detections(spark, sf).groupBy(F.when(c >= 0.8, "high").when(c >= 0.5, "middle").otherwise("low").alias("bucket")).agg(F.count("*").alias("n"))
+    """Colours of the report's cells by confidence."""
+    return T.detections(spark, sf).groupBy(X.confidence_colour(F.col("detection_confidence")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
 @query("sf16_segments")
@@ -171,10 +171,15 @@ def translated(spark, sf):
     return T.readings(spark, sf).select("reading_id", P.to_digits(F.col("text")).alias("digits"), P.to_letters(F.col("text")).alias("letters"))
 
 
-@query("sf29_lighting", "select detection_id, case when b < 60 then 'dark' when b > 200 then 'bright' else 'normal' end as lighting, count(*) over () > 0 as known from (select detection_id, detection_confidence * 255 as b from detections)")
+@query("sf29_lighting", """, m as (select event_id, c * 0.255::double as b, cast((c * 7) % 80 as double) as s, case when c % 11 = 0 then 0.3::double else (c % 10) / 100.0::double end as g from e),
+v as (select *, least(100::double, greatest(0::double, 0.65::double * greatest(0::double, 100 - abs(b - 125) * 0.75::double) + 0.35::double * least(100::double, s * 2) - g * 80)) as score from m)
+select event_id as detection_id, round(score::double, 9) as score, case when g >= 0.18 then 'GLARE' when b < 45 then 'TOO DARK' when b < 72 then 'LOW LIGHT' when b > 205 then 'OVEREXPOSED' when score >= 72 then 'GOOD' else 'FAIR' end as status from v""")
 def lighting(spark, sf):
-    b = F.col("detection_confidence") * 255
-    return T.detections(spark, sf).select("detection_id", F.when(b < 60, "dark").when(b > 200, "bright").otherwise("normal").alias("lighting"), F.lit(True).alias("known"))
+    """Lighting of regions, with grey levels made up from the confidence."""
+    c = F.round(F.col("detection_confidence") * 1000).cast("int")
+    glare = F.when(c % 11 == 0, 0.3).otherwise((c % 10) / 100.0)
+    found = X.lighting(c * 0.255, ((c * 7) % 80).cast("double"), F.lit(0.0), glare)
+    return T.detections(spark, sf).select("detection_id", found.alias("l")).select("detection_id", F.round("l.score", 9).alias("score"), "l.status")
 
 
 @query("sf35_file_names", "select camera_id, regexp_replace(trim(location), '[^A-Za-z0-9._-]+', '_', 'g') as name from cameras")
@@ -184,8 +189,8 @@ def file_names(spark, sf):
 
 @query("sf37_flattened", "select camera_id, count(*) as n from detections group by 1")
 def flattened(spark, sf):
-    """Nested reader results, packed as JSON, flattened to rows and counted."""
-    packed = T.detections(spark, sf).groupBy("camera_id").agg(F.to_json(F.collect_list(F.struct(F.col("detection_id").cast("string").alias("text"), F.col("detection_confidence").alias("score")))).alias("raw"))
+    """Nested reader results, packed as JSON by camera and block of ids, flattened to rows and counted."""
+    packed = T.detections(spark, sf).groupBy("camera_id", F.floor(F.col("detection_id") / 1000).alias("block")).agg(F.to_json(F.collect_list(F.struct(F.col("detection_id").cast("string").alias("text"), F.col("detection_confidence").alias("score")))).alias("raw"))
     items = packed.select("camera_id", F.explode(F.from_json("raw", "array<struct<text:string,score:double>>")).alias("item"))
     return items.filter("item.text is not null").groupBy("camera_id").agg(F.count("*").alias("n"))
 

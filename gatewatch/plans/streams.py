@@ -14,7 +14,21 @@ from .shared import stamp
 AT = "cast(unix_micros(created_at) as double) / 1000000D as at"
 
 
-@query("ss03_generations", "select detection_id as id, cast(sum(fresh) over (partition by camera_id, track_id order by created_at, detection_id) as bigint) as generation from (select *, case when epoch_us(created_at) - epoch_us(lag(created_at) over (partition by camera_id, track_id order by created_at, detection_id)) > 86400000000 then 1 else 0 end as fresh from detections)")
+COOLDOWN = """, r as (select camera_id, track_id, detection_id as id, epoch_us(created_at) as t, row_number() over (partition by camera_id, track_id order by created_at, detection_id) as rn from detections),
+k as (select camera_id, track_id, rn, id, t as kept, true as took from r where rn = 1
+union all select r.camera_id, r.track_id, r.rn, r.id, case when r.t - k.kept > 43200000000 then r.t else k.kept end, r.t - k.kept > 43200000000 from k join r on r.camera_id = k.camera_id and r.track_id = k.track_id and r.rn = k.rn + 1)
+select id from k where took"""
+FOCUS = """, r as (select camera_id, detection_id as id, epoch_us(created_at) as t, detection_confidence as score, row_number() over (partition by camera_id order by created_at, detection_id) as rn from detections),
+k as (select camera_id, rn, id, id as focus, t, score from r where rn = 1
+union all select camera_id, rn, id, case when fresh then id else focus end, case when fresh then now_t else t end, case when fresh then now_score else score end
+from (select r.camera_id, r.rn, r.id, k.focus, k.t, k.score, r.t as now_t, r.score as now_score, r.t - k.t > 43200000000 or r.score > k.score + 0.1::double as fresh from k join r on r.camera_id = k.camera_id and r.rn = k.rn + 1))
+select id, focus from k"""
+
+
+GENERATIONS = "select detection_id as id, cast(sum(fresh) over (partition by camera_id, track_id order by created_at, detection_id) as bigint) as generation from (select *, case when epoch_us(created_at) - epoch_us(lag(created_at) over (partition by camera_id, track_id order by created_at, detection_id)) > 86400000000 then 1 else 0 end as fresh from detections)"
+
+
+@query("ss03_generations", GENERATIONS)
 def generations(spark, sf):
     rows = T.detections(spark, sf).selectExpr("camera_id", "track_id", "detection_id as id", AT)
     return folds.fold_batch(rows, ["camera_id", "track_id"], ["at", "id"], K.generation(86_400), "id long, generation long")
@@ -35,7 +49,7 @@ def plate_tracks(spark, sf):
     return folds.fold_batch(rows, ["track"], ["at", "id"], step, "track long, first_at double, last_at double, readings long, best string, best_quality double, confidence double", final)
 
 
-@query("ss09_cooldown")
+@query("ss09_cooldown", COOLDOWN)
 def cooldown(spark, sf):
     rows = T.detections(spark, sf).selectExpr("camera_id", "track_id", "detection_id as id", AT)
     return folds.fold_batch(rows, ["camera_id", "track_id"], ["at", "id"], K.cooldown(43_200), "id long")
@@ -61,7 +75,7 @@ def grouping(spark, sf):
     return folds.fold_batch(rows, ["camera_id"], ["at", "id"], K.grouping(gap=86_400, expiry=172_800), "id long, object long, switched boolean")
 
 
-@query("ss18_focus")
+@query("ss18_focus", FOCUS)
 def focus(spark, sf):
     rows = T.detections(spark, sf).selectExpr("camera_id", "detection_id as id", AT, "detection_confidence as score")
     return folds.fold_batch(rows, ["camera_id"], ["at", "id"], K.target_hold(43_200, 0.1), "id long, focus long")
@@ -95,7 +109,19 @@ def late_plates(spark, sf):
     return folds.run_available(streams.late_plates(d.filter("object_type = 'vehicle'"), d.filter("plate_id is not null"), 43_200), "late")
 
 
-@query("ss03_stream_generations")
+@query("ss09_stream_cooldown", COOLDOWN)
+def stream_cooldown(spark, sf):
+    rows = streams.detections(spark, sf).selectExpr("camera_id", "track_id", "detection_id as id", AT, "created_at")
+    return folds.run_available(folds.fold_stream(rows, ["camera_id", "track_id"], ["at", "id"], K.cooldown(43_200), "id long", 43_200_000), "cooldown")
+
+
+@query("ss18_stream_focus", FOCUS)
+def stream_focus(spark, sf):
+    rows = streams.detections(spark, sf).selectExpr("camera_id", "detection_id as id", AT, "created_at", "detection_confidence as score")
+    return folds.run_available(folds.fold_stream(rows, ["camera_id"], ["at", "id"], K.target_hold(43_200, 0.1), "id long, focus long", 43_200_000), "focus")
+
+
+@query("ss03_stream_generations", GENERATIONS)
 def stream_generations(spark, sf):
     rows = streams.detections(spark, sf).selectExpr("camera_id", "track_id", "detection_id as id", AT, "created_at")
     out = folds.fold_stream(rows, ["camera_id", "track_id"], ["at", "id"], K.generation(86_400), "id long, generation long", 172_800_000)

@@ -50,7 +50,7 @@ def _columns(spec: dict[str, str]) -> str:
 
 def cte() -> str:
     """The tables as a WITH clause over the driver's tables."""
-    return f"""with e as (select {_columns(BASE)} from events),
+    return f"""with recursive e as (select {_columns(BASE)} from events),
 detections as (select {_columns(DETECTIONS)} from e),
 plates as (select {_columns(PLATES)} from e where k % 4 <> 3 and event_type <> 'error'),
 cameras as (select {_columns(CAMERAS)} from nation),

@@ -2,8 +2,8 @@
 
 A step takes (state, row) and returns (state, rows out); state and rows are plain dictionaries. The batch twin walks sorted
 partitions and holds one state at a time, so a key may have any number of rows. The stream keeps the state of each key in
-Spark's state store, as JSON, and drops it once the watermark passes its last row by `ttl`; rows that arrive in one
-micro-batch are taken in order."""
+Spark's state store, as JSON, and drops it once the watermark passes the time of its latest row by `ttl`; rows that arrive in
+one micro-batch are taken in order."""
 
 from __future__ import annotations
 
@@ -55,24 +55,26 @@ def fold_batch(rows: DataFrame, keys: list[str], order: list[str], step: Step, s
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
-def fold_stream(rows: DataFrame, keys: list[str], order: list[str], step: Step, schema: str, ttl_ms: int, final: Callable[[dict], list[dict]] | None = None) -> DataFrame:
-    """The same over a stream with a watermark; `final` is called when a key's state expires."""
+def fold_stream(rows: DataFrame, keys: list[str], order: list[str], step: Step, schema: str, ttl_ms: int, final: Callable[[dict], list[dict]] | None = None, at: str = "at") -> DataFrame:
+    """The same over a stream with a watermark and the rows' time in seconds in `at`; `final` is called when a key's state expires."""
     names = _names(schema)
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
         if group.hasTimedOut:
-            state = json.loads(group.get[0])
+            state = json.loads(group.get[0])["state"]
             group.remove()
             yield _frame(final(state) if final else [], names)
             return
-        state = json.loads(group.get[0]) if group.exists else None
-        out: list[dict] = []
+        kept = json.loads(group.get[0]) if group.exists else {"state": None, "latest": 0}
+        state, latest, out = kept["state"], kept["latest"], []
         for row in pd.concat(list(parts)).sort_values(order).to_dict("records"):
             state, more = step(state, _clean(row))
+            latest = max(latest, int(row[at] * 1000))
             out += more
         if state is not None:
-            group.update((json.dumps(state, default=str),))
-            group.setTimeoutTimestamp(max(group.getCurrentWatermarkMs(), 0) + ttl_ms)
+            group.update((json.dumps({"state": state, "latest": latest}, default=str),))
+            # by the rows' own time: the watermark is still 0 in the first micro-batch; a late row's state goes at the next one
+            group.setTimeoutTimestamp(max(latest + ttl_ms, group.getCurrentWatermarkMs() + 1))
         yield _frame(out, names)
 
     return rows.groupBy(*keys).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.EventTimeTimeout)

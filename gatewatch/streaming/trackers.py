@@ -72,21 +72,23 @@ def cooldown(seconds: float, refresh: bool = False) -> Step:
 
 
 def person_filter(track: float = 300.0, near: float = 30.0, pixels: float = 45.0, shrink: float = 0.40) -> Step:
-    """SS-10: keeps a camera's people that are new and tells why others go: track seen lately, or close to a kept one of like size."""
+    """SS-10: keeps a camera's people that are new and tells why others go: track seen lately, or close to a kept one of like size,
+    of the 20 places kept last. Tracks stay until they expire."""
 
     def step(state, row):
         kept = [k for k in (state or {"kept": []})["kept"] if row["at"] - k["at"] <= max(track, near)]
         reason = None
+        places = {id(k) for k in kept[-20:]}
         for k in kept:
             if k["track"] == row["track"] and row["at"] - k["at"] <= track:
                 k["at"], reason = row["at"], "track"
                 break
             size = abs(k["area"] - row["area"]) / max(k["area"], row["area"], 1e-9)
-            if row["at"] - k["at"] <= near and hypot(k["x"] - row["x"], k["y"] - row["y"]) < pixels and size < shrink:
+            if id(k) in places and row["at"] - k["at"] <= near and hypot(k["x"] - row["x"], k["y"] - row["y"]) < pixels and size < shrink:
                 reason = "place"
                 break
         if reason is None:
-            kept = [*kept, {n: row[n] for n in ("at", "track", "x", "y", "area")}][-20:]
+            kept = [*kept, {n: row[n] for n in ("at", "track", "x", "y", "area")}]
         return {"kept": kept}, [{"id": row["id"], "reason": reason or "new"}]
 
     return step

@@ -81,8 +81,11 @@ def test_merge_without_a_plate(spark):
 
 def test_hamming_six_and_seven(spark):
     h = lambda n: f"{(1 << n) - 1:016x}"
-    df = spark.createDataFrame([(1, 1, h(0), T0), (2, 1, h(6), T0 + timedelta(seconds=5)), (3, 1, h(7), T0 + timedelta(seconds=3000))], "id long, camera_id long, hash string, created_at timestamp")
+    rows = [(1, 1, "car", h(0), T0), (2, 1, "car", h(6), T0 + timedelta(seconds=5)), (3, 1, "car", h(7), T0 + timedelta(seconds=3000))]
+    df = spark.createDataFrame(rows, schema := "id long, camera_id long, object_type string, hash string, created_at timestamp")
     assert [(r["id"], r["other"]) for r in joins.similar_hashes(df, df).collect()] == [(2, 1)]
+    more = spark.createDataFrame([*rows, (4, 1, "car", h(3), T0 + timedelta(seconds=6)), (5, 1, "person", h(3), T0 + timedelta(seconds=7))], schema)
+    assert sorted((r["id"], r["other"]) for r in joins.similar_hashes(more, more).collect()) == [(2, 1), (4, 2)]  # the newest, of its type
     near = df.withColumn("created_at", F.lit(T0))
     assert (3, 1) not in {(r["id"], r["other"]) for r in joins.similar_hashes(near, near).collect()}
 

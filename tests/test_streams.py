@@ -43,3 +43,36 @@ def test_stream_equals_batch(spark, sf):
     queries = catalog.queries()
     rows = lambda name: sorted(tuple(r) for r in queries[name](spark, sf).collect())
     assert rows("ss03_stream_generations") == rows("ss03_generations")
+
+
+@pytest.mark.parametrize("name", ["ss09", "ss18"])
+def test_other_streams_equal_their_twins(spark, sf, name):
+    queries, twin = catalog.queries(), {"ss09": ("ss09_stream_cooldown", "ss09_cooldown"), "ss18": ("ss18_stream_focus", "ss18_focus")}[name]
+    got, want = (sorted(tuple(r) for r in queries[n](spark, sf).collect()) for n in twin)
+    assert got == want
+
+
+def test_state_lives_by_event_time(spark, tmp_path):
+    """Four files, one a micro-batch: a track that is absent for two of them keeps its generation; one that is away beyond the
+    time to live starts anew, after `final` was called for it."""
+    import os
+
+    from gatewatch.streaming import folds
+
+    base = 1_700_000_000
+    batches = [[(1, 1, 0), (2, 2, 0), (3, 1, 90_000)], [(4, 2, 90_100)], [(5, 2, 90_200)], [(6, 1, 91_500), (7, 2, 400_000)], [(8, 2, 400_001)], [(9, 1, 400_002)]]
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame([(i, track, float(base + at)) for i, track, at in rows], "id long, track long, at double").selectExpr("*", "timestamp_seconds(at) as created_at")
+        df.coalesce(1).write.parquet(f"{tmp_path}/x{k}")
+        part = next(f for f in os.listdir(f"{tmp_path}/x{k}") if f.endswith(".parquet"))
+        os.makedirs(f"{tmp_path}/in", exist_ok=True)
+        os.rename(f"{tmp_path}/x{k}/{part}", f"{tmp_path}/in/{k}.parquet")
+        os.utime(f"{tmp_path}/in/{k}.parquet", (base + 10 * k, base + 10 * k))
+    stream = spark.readStream.schema("id long, track long, at double, created_at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withWatermark("created_at", "0 seconds")
+    final = lambda state: [{"id": -1, "generation": state["generation"]}]
+    out = folds.run_available(folds.fold_stream(stream, ["track"], ["at", "id"], K.generation(86_400), "id long, generation long", 172_800_000, final), "expiry")
+    got = sorted((r["id"], r["generation"]) for r in out.collect())
+    every = spark.read.parquet(f"{tmp_path}/in").filter("id <= 6")
+    twin = sorted((r["id"], r["generation"]) for r in folds.fold_batch(every, ["track"], ["at", "id"], K.generation(86_400), "id long, generation long").collect())
+    assert [r for r in got if 0 < r[0] <= 6] == twin and dict(twin)[6] == 1
+    assert dict(got)[9] == 0 and got[0] == (-1, 1)
