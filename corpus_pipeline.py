@@ -2,6 +2,16 @@
 
 Every stage takes (spark, docs, sf_dir), works on all documents that the one before kept, and returns the columns of documents;
 the last returns each document's token ids. Filtering stages keep the rows that they do not reject as they are.
+
+Defined cases, in every stage: an empty table gives an empty one; extra columns are kept, whatever they are called (the last
+stage returns its own columns); texts are worked on whole. Further, by stage:
+
+* quality: null and empty texts are scored by their few features; equal texts, and so repeated rows, share their fate;
+* near duplicates: null and empty texts are one class; repeated rows are one document; different texts under one doc_id, or
+  under none, are documents of their own;
+* decontamination: null and empty texts stay; rows go by text and doc_id, so repeated rows share their fate;
+* secrets: null texts stay null, empty ones empty, every row stays;
+* tokens: a null text has no ids; repeated rows each get theirs.
 """
 
 from __future__ import annotations
