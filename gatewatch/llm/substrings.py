@@ -36,6 +36,8 @@ from .common import bucketed, discard, materialize, table
 LENGTH, GRAM = 200, 40
 #: Stretches in a shard and of an anchor's piece at most, and windows handled at once.
 SHARD, PIECE, CHUNK = 4000, 20_000, 1 << 20
+#: A key with more than a HOT-th of the rows is joined without moving them.
+HOT = 1000
 #: The rolling hash's base, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -246,6 +248,16 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         salt += 1
 
 
+def _join(rows: DataFrame, total: int, counts: DataFrame, on: list[str], count: str) -> DataFrame:
+    """rows with the columns of counts, which tells in `count` how many of the `total` rows each of its keys has.
+
+    Keys with more than a HOT-th of all rows are fewer than HOT whatever the data, so these are broadcast and their rows stay where
+    they lie; the other keys are small, and their rows are dealt out by key."""
+    hot = F.broadcast(counts.filter(F.col(count) * HOT > total))
+    cold = rows.join(hot.select(*on), on, "left_anti").join(counts.filter(F.col(count) * HOT <= total), on)
+    return rows.join(hot, on).unionByName(cold).drop(count)
+
+
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document (doc_id, text)."""
     spark = docs.sparkSession
@@ -258,16 +270,16 @@ def removals(docs: DataFrame) -> DataFrame:
     texts, drop = bucketed(chosen.select("n", "copies", "data").repartition(parts, "n"), "n")
 
     found = materialize(anchors(texts.select("n", "data")), "anchors")
-    several = found.groupBy("hash").agg(F.count("*").alias("c")).filter("c > 1").select("hash")
+    several = found.groupBy("hash").agg(F.count("*").alias("c")).filter("c > 1")
     copies = nodes.filter("copies > 1").select("n", F.lit(True).alias("copied"))
-    shared = materialize(found.join(several, "hash").join(copies, "n", "left").withColumn("copied", F.coalesce("copied", F.lit(False))), "shared")
+    shared = materialize(_join(found, found.count(), several, ["hash"], "c").join(copies, "n", "left").withColumn("copied", F.coalesce("copied", F.lit(False))), "shared")
     kinds = shared.groupBy("hash", "digest").agg(F.count("*").alias("times"), F.max("copied").alias("copied"), F.min(F.struct("n", "first", "windows", "offset")).alias("one"))
     kinds = materialize(kinds.withColumn("twice", (F.col("times") > 1) | F.col("copied")), "kinds")
-    whole = shared.filter(~F.col("copied")).join(kinds.filter("twice").select("hash", "digest"), ["hash", "digest"])
+    whole = _join(shared.filter(~F.col("copied")), shared.count(), kinds.filter("twice").select("hash", "digest", "times"), ["hash", "digest"], "times")
     whole = whole.select("n", F.col("first").alias("start"), (F.col("first") + F.col("windows") + LENGTH - 1).alias("end"))
 
-    variety = kinds.groupBy("hash").agg(F.count("*").alias("v"), F.min("twice").alias("all")).filter("v > 1 and not all").drop("all")
-    work = kinds.join(variety, "hash").select("hash", "twice", "v", "one.n", "one.first", "one.windows", "one.offset")
+    variety = kinds.groupBy("hash").agg(F.count("*").alias("v"), F.min("twice").alias("all")).filter("v > 1 and not all").select("hash", "v", F.col("v").alias("rows"))
+    work = _join(kinds, kinds.count(), variety, ["hash"], "rows").select("hash", "twice", "v", "one.n", "one.first", "one.windows", "one.offset")
     work = materialize(work, "work")
     shards = max(1, work.count() // SHARD)
     # the stretches' bytes, cut where the texts lie
