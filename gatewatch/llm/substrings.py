@@ -248,14 +248,17 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         salt += 1
 
 
-def _join(rows: DataFrame, total: int, counts: DataFrame, on: list[str], count: str) -> DataFrame:
-    """rows with the columns of counts, which tells in `count` how many of the `total` rows each of its keys has.
+def _join(rows: DataFrame, counts: DataFrame, on: list[str], count: str) -> DataFrame:
+    """rows with the columns of counts, a written table that tells in `count` how many of the rows each of its keys has.
 
-    Keys with more than a HOT-th of all rows are fewer than HOT whatever the data, so these are broadcast and their rows stay where
-    they lie; the other keys are small, and their rows are dealt out by key."""
-    hot = F.broadcast(counts.filter(F.col(count) * HOT > total))
-    cold = rows.join(hot.select(*on), on, "left_anti").join(counts.filter(F.col(count) * HOT <= total), on)
-    return rows.join(hot, on).unionByName(cold).drop(count)
+    Keys with more than a HOT-th of all rows are fewer than HOT whatever the data, so these are listed and broadcast, and their rows
+    stay where they lie; the other keys are small, and their rows are dealt out by key."""
+    frequent = [r[0] for r in counts.filter(F.col(count) * HOT > rows.count()).select(on[-1]).collect()]
+    if not frequent:
+        return rows.join(counts, on).drop(count)
+    hot = F.col(on[-1]).isin(frequent)
+    kept = rows.filter(hot).join(F.broadcast(counts.filter(hot)), on)
+    return kept.unionByName(rows.filter(~hot).join(counts.filter(~hot), on)).drop(count)
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -270,16 +273,17 @@ def removals(docs: DataFrame) -> DataFrame:
     texts, drop = bucketed(chosen.select("n", "copies", "data").repartition(parts, "n"), "n")
 
     found = materialize(anchors(texts.select("n", "data")), "anchors")
-    several = found.groupBy("hash").agg(F.count("*").alias("c")).filter("c > 1")
+    several = materialize(found.groupBy("hash").agg(F.count("*").alias("c")).filter("c > 1"), "several")
     copies = nodes.filter("copies > 1").select("n", F.lit(True).alias("copied"))
-    shared = materialize(_join(found, found.count(), several, ["hash"], "c").join(copies, "n", "left").withColumn("copied", F.coalesce("copied", F.lit(False))), "shared")
+    shared = materialize(_join(found, several, ["hash"], "c").join(copies, "n", "left").withColumn("copied", F.coalesce("copied", F.lit(False))), "shared")
     kinds = shared.groupBy("hash", "digest").agg(F.count("*").alias("times"), F.max("copied").alias("copied"), F.min(F.struct("n", "first", "windows", "offset")).alias("one"))
     kinds = materialize(kinds.withColumn("twice", (F.col("times") > 1) | F.col("copied")), "kinds")
-    whole = _join(shared.filter(~F.col("copied")), shared.count(), kinds.filter("twice").select("hash", "digest", "times"), ["hash", "digest"], "times")
+    whole = _join(shared.filter(~F.col("copied")), kinds.filter("twice").select("hash", "digest", "times"), ["hash", "digest"], "times")
     whole = whole.select("n", F.col("first").alias("start"), (F.col("first") + F.col("windows") + LENGTH - 1).alias("end"))
 
     variety = kinds.groupBy("hash").agg(F.count("*").alias("v"), F.min("twice").alias("all")).filter("v > 1 and not all").select("hash", "v", F.col("v").alias("rows"))
-    work = _join(kinds, kinds.count(), variety, ["hash"], "rows").select("hash", "twice", "v", "one.n", "one.first", "one.windows", "one.offset")
+    variety = materialize(variety, "variety")
+    work = _join(kinds, variety, ["hash"], "rows").select("hash", "twice", "v", "one.n", "one.first", "one.windows", "one.offset")
     work = materialize(work, "work")
     shards = max(1, work.count() // SHARD)
     # the stretches' bytes, cut where the texts lie
@@ -356,7 +360,7 @@ def removals(docs: DataFrame) -> DataFrame:
         F.when(gone, 1).otherwise(F.coalesce("runs", F.lit(0))).cast("long").alias("n_spans"), F.when(gone, F.lit(nothing)).otherwise(F.coalesce("kept", "sha256")).alias("kept_sha256"),
     ), "removals")
     drop()
-    for used in (found, shared, kinds, work):
+    for used in (found, several, shared, kinds, variety, work):
         discard(used)
     return out
 
