@@ -189,6 +189,25 @@ def to_letters(text: Column) -> Column:
     return F.translate(F.upper(text), *SEGMENT_TO_LETTERS)
 
 
+def enumerated(text: Column) -> Column:
+    """struct<text,applied,score>: every split into one or two letters, one to four digits and up to three letters, each part with its
+    look-alikes undone; the split with the fewest changes wins, on ties the shorter region and number. A change costs 0.12."""
+
+    def best(raw: Column) -> Column:
+        found = []
+        for letters in (1, 2):
+            for digits in (1, 2, 3, 4):
+                made = F.concat(to_letters(F.substr(raw, F.lit(1), F.lit(letters))), to_digits(F.substr(raw, F.lit(letters + 1), F.lit(digits))), to_letters(F.substr(raw, F.lit(letters + digits + 1))))
+                changes = F.size(F.filter(F.zip_with(F.split(raw, ""), F.split(made, ""), lambda a, b: a != b), lambda x: x))
+                fits = F.length(raw).between(letters + digits, letters + digits + 3) & made.rlike(PLATE)
+                found.append(F.when(fits, F.struct(changes.alias("changes"), F.lit(len(found)).alias("i"), made.alias("text"))))
+        return let(F.array_min(F.array(*found)), lambda r: F.struct(
+            F.coalesce(r["text"], raw).alias("text"), F.coalesce(r["text"] != raw, F.lit(False)).alias("applied"), F.coalesce(F.greatest(F.lit(0.0), 1 - 0.12 * r["changes"]), F.lit(0.0)).alias("score"),
+        ))
+
+    return let(normalize(text), best)
+
+
 def _segment_prefix(raw: Column) -> Column:
     letters = to_letters(raw)
     fixed = F.create_map(*[F.lit(x) for kv in SEGMENT_CORRECTIONS.items() for x in kv])

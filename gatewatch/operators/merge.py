@@ -63,14 +63,14 @@ def settle(event: dict) -> dict:
     return event
 
 
-def prepared(readings: DataFrame) -> DataFrame:
-    """Readings with values in range, the plate canonical, and no plate where it failed."""
+def prepared(readings: DataFrame, *more: str) -> DataFrame:
+    """Readings with values in range, the plate canonical, and no plate where it failed; `more` columns stay as they are."""
     unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c, F.lit(0.0))))
     rows = readings.withColumn("plate_status", P.status(F.col("plate"), F.col("ocr"), F.col("quality")))
     return rows.select(
         F.when(F.trim("event_key") != "", F.col("event_key")).alias("event_key"), "seq", F.when(F.col("plate_status") > 0, P.canonical(F.col("plate"))).alias("plate"), "plate_status",
         unit("ocr").alias("ocr"), unit("consensus").alias("consensus"), unit("quality").alias("quality"), "stable", unit("vehicle_confidence").alias("vehicle_confidence"), F.coalesce("has_driver", F.lit(False)).alias("has_driver"),
-        F.when(F.col("direction").isin("entry", "exit"), F.col("direction")).otherwise("unknown").alias("direction"), F.coalesce("vehicle_type", F.lit("unknown")).alias("vehicle_type"), "image",
+        F.when(F.col("direction").isin("entry", "exit"), F.col("direction")).otherwise("unknown").alias("direction"), F.coalesce("vehicle_type", F.lit("unknown")).alias("vehicle_type"), "image", *more,
     )
 
 

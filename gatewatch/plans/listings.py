@@ -158,7 +158,9 @@ def round_robin(spark, sf):
     return L.round_robin(T.boxes(spark, sf), 2, 4).select("box_id")
 
 
-@query("sl08_text_lines")
+@query("sl08_text_lines", """, l as (select frame, x1, y1, box_id, case when y1 - lag(y1) over w > 12 then 1 else 0 end as below from boxes window w as (partition by frame order by y1, x1)),
+m as (select *, sum(below) over (partition by frame order by y1, x1) as line from l)
+select frame as group_id, string_agg(cast(box_id as varchar), ' ' order by line, x1, cast(box_id as varchar)) as text from m group by 1""")
 def text_lines(spark, sf):
     return L.text_lines(T.boxes(spark, sf).selectExpr("frame as group_id", "x1 as x", "y1 as y", "cast(box_id as string) as text"))
 

@@ -171,6 +171,16 @@ def translated(spark, sf):
     return T.readings(spark, sf).select("reading_id", P.to_digits(F.col("text")).alias("digits"), P.to_letters(F.col("text")).alias("letters"))
 
 
+@query("sf19_enumerated", f""", n as (select reading_id, {NORMAL} as t from readings),
+x as (select reading_id, t, p, d, translate(substr(t, 1, p), '8012345679', 'BOIZEASGTP') || translate(substr(t, p + 1, d), 'BODQCILJZSGAT', '8000011125647') || translate(substr(t, p + d + 1), '8012345679', 'BOIZEASGTP') as made
+from n, (select unnest([1, 2]) as p) pp, (select unnest([1, 2, 3, 4]) as d) dd where length(t) - p - d between 0 and 3),
+z as (select *, len(list_filter(range(1, length(t) + 1), lambda i: substr(t, i, 1) <> substr(made, i, 1))) as ch from x where regexp_full_match(made, '[A-Z]{{1,2}}[0-9]{{1,4}}[A-Z]{{0,3}}')),
+b as (select reading_id, arg_min(made, row(ch, p, d)) as made, min(ch) as ch from z group by 1)
+select reading_id, coalesce(made, t) as text, coalesce(made <> t, false) as applied, round(cast(case when made is null then 0 else greatest(0, 1 - ch * 0.12) end as double), 6) as score from n left join b using (reading_id)""")
+def enumerated(spark, sf):
+    return T.readings(spark, sf).select("reading_id", P.enumerated(F.col("text")).alias("r")).select("reading_id", "r.text", "r.applied", F.round("r.score", 6).alias("score"))
+
+
 @query("sf29_lighting", """, m as (select event_id, c * 0.255::double as b, cast((c * 7) % 80 as double) as s, case when c % 11 = 0 then 0.3::double else (c % 10) / 100.0::double end as g from e),
 v as (select *, least(100::double, greatest(0::double, 0.65::double * greatest(0::double, 100 - abs(b - 125) * 0.75::double) + 0.35::double * least(100::double, s * 2) - g * 80)) as score from m)
 select event_id as detection_id, round(score::double, 9) as score, case when g >= 0.18 then 'GLARE' when b < 45 then 'TOO DARK' when b < 72 then 'LOW LIGHT' when b > 205 then 'OVEREXPOSED' when score >= 72 then 'GOOD' else 'FAIR' end as status from v""")

@@ -12,6 +12,13 @@ from ..streaming import trackers as K
 from .shared import stamp
 
 AT = "cast(unix_micros(created_at) as double) / 1000000D as at"
+#: What the steps of SS-10, SS-1 and SS-12 read of a row.
+PERSON = ["camera_id", "track_id as track", "detection_id as id", AT, "(x1 + x2) / 2 as x", "(y1 + y2) / 2 as y", "(x2 - x1) * (y2 - y1) as area"]
+TRACKED_BOX = ["camera_id", "track_id as track", "box_id as id", AT, "frame", "kind", "x1", "y1", "x2", "y2"]
+EVENT_READING = [
+    "concat('vehicle:', track_id) as event_key", "reading_id as seq", "text as plate", "confidence as ocr", "confidence as consensus", "crop_quality as quality", "reading_id % 2 = 0 as stable",
+    "confidence as vehicle_confidence", "false as has_driver", "'unknown' as direction", "'car' as vehicle_type", "cast(null as string) as image",
+]
 
 
 COOLDOWN = """, r as (select camera_id, track_id, detection_id as id, epoch_us(created_at) as t, row_number() over (partition by camera_id, track_id order by created_at, detection_id) as rn from detections),
@@ -42,7 +49,11 @@ def crossings(spark, sf):
     return folds.fold_batch(rows, ["camera_id", "track_id"], ["at", "id"], K.crossing(), "id long, direction string")
 
 
-@query("ss05_plate_tracks")
+@query("ss05_plate_tracks", """, a as (select *, epoch_us(created_at) as t, case when epoch_us(created_at) - lag(epoch_us(created_at)) over w > 86400000000 then 1 else 0 end as fresh from readings window w as (partition by track_id order by created_at, reading_id)),
+b as (select *, sum(fresh) over (partition by track_id order by created_at, reading_id) as passage from a),
+c as (select *, row_number() over (partition by track_id, passage order by created_at, reading_id) as rn from b)
+select track_id as track, min(t) / 1000000::double as first_at, max(t) / 1000000::double as last_at, count(*) filter (where rn <= 5) as readings, arg_max(text, row(crop_quality, rn)) filter (where rn <= 5) as best,
+max(crop_quality) filter (where rn <= 5) as best_quality, round(avg(confidence) filter (where rn <= 5), 6) as confidence from c group by track_id, passage""")
 def plate_tracks(spark, sf):
     rows = T.readings(spark, sf).selectExpr("track_id as track", "text", "confidence", "crop_quality as quality", AT, "reading_id as id")
     step, final = K.plate_track(86_400)
@@ -58,20 +69,19 @@ def cooldown(spark, sf):
 @query("ss10_person_filter")
 def person_filter(spark, sf):
     rows = T.detections(spark, sf).join(T.boxes(spark, sf).withColumnRenamed("box_id", "detection_id"), "detection_id").filter("object_type = 'person'")
-    rows = rows.selectExpr("camera_id", "track_id as track", "detection_id as id", AT, "(x1 + x2) / 2 as x", "(y1 + y2) / 2 as y", "(x2 - x1) * (y2 - y1) as area")
-    return folds.fold_batch(rows, ["camera_id"], ["at", "id"], K.person_filter(track=86_400, near=43_200), "id long, reason string")
+    return folds.fold_batch(rows.selectExpr(*PERSON), ["camera_id"], ["at", "id"], K.person_filter(track=86_400, near=43_200), "id long, reason string")
 
 
 @query("ss12_improvements")
 def improvements(spark, sf):
-    rows = T.readings(spark, sf).selectExpr("concat('vehicle:', track_id) as event_key", "reading_id as seq", "text as plate", "confidence as ocr", "confidence as consensus", "crop_quality as quality", "reading_id % 2 = 0 as stable", "confidence as vehicle_confidence", "false as has_driver", "'unknown' as direction", "'car' as vehicle_type", "cast(null as string) as image")
-    return folds.fold_batch(merge.prepared(rows), ["event_key"], ["seq"], K.improvement(), "event_key string, seq long, plate string, status int")
+    rows = T.readings(spark, sf).selectExpr(*EVENT_READING, AT)
+    return folds.fold_batch(merge.prepared(rows, "at"), ["event_key"], ["at", "seq"], K.improvement(), "event_key string, seq long, plate string, status int")
 
 
 @query("ss01_grouping")
 def grouping(spark, sf):
     rows = T.boxes(spark, sf).join(T.detections(spark, sf).selectExpr("detection_id as box_id", "camera_id", "track_id", "created_at"), "box_id")
-    rows = rows.selectExpr("camera_id", "track_id as track", "box_id as id", AT, "frame", "kind", "x1", "y1", "x2", "y2")
+    rows = rows.selectExpr(*TRACKED_BOX)
     return folds.fold_batch(rows, ["camera_id"], ["at", "id"], K.grouping(gap=86_400, expiry=172_800), "id long, object long, switched boolean")
 
 
@@ -121,6 +131,27 @@ def stream_focus(spark, sf):
     return folds.run_available(folds.fold_stream(rows, ["camera_id"], ["at", "id"], K.target_hold(43_200, 0.1), "id long, focus long", 43_200_000), "focus")
 
 
+@query("ss01_stream_grouping")
+def stream_grouping(spark, sf):
+    rows = streams.boxed(spark, sf).selectExpr(*TRACKED_BOX, "created_at")
+    return folds.run_available(folds.fold_stream(rows, ["camera_id"], ["at", "id"], K.grouping(gap=86_400, expiry=172_800), "id long, object long, switched boolean", 172_800_000), "grouping")
+
+
+@query("ss10_stream_people")
+def stream_people(spark, sf):
+    rows = streams.boxed(spark, sf).filter("object_type = 'person'").selectExpr(*PERSON, "created_at")
+    return folds.run_available(folds.fold_stream(rows, ["camera_id"], ["at", "id"], K.person_filter(track=86_400, near=43_200), "id long, reason string", 86_400_000), "people")
+
+
+@query("ss12_stream_improvements")
+def stream_improvements(spark, sf):
+    """Events of the stream, given out again when a reading improves them; readings of an event come in order of time."""
+    rows = streams.readings(spark, sf).selectExpr(*EVENT_READING, AT, "created_at")
+    rows = merge.prepared(rows, "at", "created_at")
+    out = folds.fold_stream(rows, ["event_key"], ["at", "seq"], K.improvement(), "event_key string, seq long, plate string, status int", 30 * 86_400_000)
+    return folds.run_available(out, "improvements")
+
+
 @query("ss03_stream_generations", GENERATIONS)
 def stream_generations(spark, sf):
     rows = streams.detections(spark, sf).selectExpr("camera_id", "track_id", "detection_id as id", AT, "created_at")

@@ -10,14 +10,32 @@ from pyspark.sql import functions as F
 from ..sources import tables as T
 
 
-def detections(spark: SparkSession, sf_dir: str, files_per_trigger: int = 8, delay: str = "10 minutes") -> DataFrame:
-    """The events files as a stream of detections with a watermark; the rate is bounded, nothing is dropped for it (SC-10, SC-12, SS-15, SS-16)."""
+def _events(spark: SparkSession, sf_dir: str, files_per_trigger: int) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     table = spark.read.parquet(path)
     reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_trigger)
     single = any(f.endswith("/events.parquet") for f in table.inputFiles())  # a stream reads folders: a file is picked from its own
     raw = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir) if single else reader.parquet(path)
-    rows = raw.selectExpr(*[f"{e} as {n}" for n, e in T.BASE.items()]).selectExpr(*[f"{e} as {n}" for n, e in T.DETECTIONS.items()])
+    return raw.selectExpr(*[f"{e} as {n}" for n, e in T.BASE.items()])
+
+
+def detections(spark: SparkSession, sf_dir: str, files_per_trigger: int = 8, delay: str = "10 minutes") -> DataFrame:
+    """The events files as a stream of detections with a watermark; the rate is bounded, nothing is dropped for it (SC-10, SC-12, SS-15, SS-16)."""
+    rows = _events(spark, sf_dir, files_per_trigger).selectExpr(*[f"{e} as {n}" for n, e in T.DETECTIONS.items()])
+    return rows.withWatermark("created_at", delay)
+
+
+def boxed(spark: SparkSession, sf_dir: str, files_per_trigger: int = 8, delay: str = "10 minutes") -> DataFrame:
+    """The stream of detections with their boxes."""
+    both = T.BOXES | T.DETECTIONS
+    return _events(spark, sf_dir, files_per_trigger).selectExpr(*[f"{e} as {n}" for n, e in both.items()]).withWatermark("created_at", delay)
+
+
+def readings(spark: SparkSession, sf_dir: str, files_per_trigger: int = 8, delay: str = "10 minutes") -> DataFrame:
+    """The stream of plate readings."""
+    rows = _events(spark, sf_dir, files_per_trigger).filter("k % 4 <> 3 and event_type <> 'error'")
+    for spec in (T.PLATES, T.READINGS):
+        rows = rows.selectExpr(*[f"{e} as {n}" for n, e in spec.items()])
     return rows.withWatermark("created_at", delay)
 
 
