@@ -154,6 +154,7 @@ def stream_improvements(spark, sf):
 
 @query("ss03_stream_generations", GENERATIONS)
 def stream_generations(spark, sf):
+    """As ss03_generations, but a track without rows for two days starts again at 0 once a later micro-batch has let its state go."""
     rows = streams.detections(spark, sf).selectExpr("camera_id", "track_id", "detection_id as id", AT, "created_at")
     out = folds.fold_stream(rows, ["camera_id", "track_id"], ["at", "id"], K.generation(86_400), "id long, generation long", 172_800_000)
     return folds.run_available(out, "generations")
