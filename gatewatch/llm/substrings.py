@@ -117,15 +117,16 @@ def suffix_array(text: np.ndarray, end: np.ndarray, depth: int = LENGTH) -> tupl
     A rank is the place of the last suffix of its group. Each round sorts the suffixes of tied groups by the rank `h` bytes on
     and splits the groups; groups of one are never looked at again."""
     n = len(text)
-    left = end - np.arange(n)
+    left = end - np.arange(n, dtype=np.int32)
     padded = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(8, np.uint64)])
     key = np.zeros(n, np.uint64)
     for j in range(7):  # seven bytes at nine bits
-        key = key << np.uint64(9) | np.where(left > j, padded[j : n + j], np.uint64(0))
-    order = np.argsort(key, kind="stable")
+        key <<= np.uint64(9)
+        key |= padded[j : n + j] * (left > j)
+    order = np.argsort(key).astype(np.int32)
     sorted_key = key[order]
     fresh = np.flatnonzero(np.append(sorted_key[1:] != sorted_key[:-1], True))  # ends of the groups
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     rank[order] = np.repeat(fresh, np.diff(fresh, prepend=-1))
     h = 7
     while h < depth:
@@ -137,7 +138,7 @@ def suffix_array(text: np.ndarray, end: np.ndarray, depth: int = LENGTH) -> tupl
         step = min(h, depth - h)
         some = order[where]
         ahead = np.where(left[some] > step, rank[np.minimum(some + step, n - 1)] + 1, 0)
-        again = np.lexsort((ahead, rank[some]))
+        again = np.argsort(rank[some] * np.int64(n + 1) + ahead)
         some, ahead, group = some[again], ahead[again], rank[some][again]
         order[where] = some
         last = np.append((ahead[1:] != ahead[:-1]) | (group[1:] != group[:-1]), True)
@@ -154,9 +155,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, rank: np.ndarray, start
 
     The order is by the first `most` bytes, so a suffix inherits its predecessor's length less one only where the suffix after
     the earlier neighbour still sorts strictly before it; within a tied group the length is `most`, else it starts from 0."""
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    out, kept, after = np.zeros(len(order), np.int32), np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    out, kept, after = np.zeros(len(order), np.int32), np.zeros(len(start), np.int32), np.zeros(len(start), np.int32)
     stop, last = end[start], len(text) - 1
     for t in range(int((stop - start).max(initial=0))):
         live = np.flatnonzero(start + t < stop)
@@ -184,7 +185,7 @@ class Stretches:
         length = np.array([len(d) for d in data], np.int64)
         self.start = np.cumsum(length) - length
         self.text = np.frombuffer(b"".join(data), np.uint8)
-        self.end = np.repeat(self.start + length, length)
+        self.end = np.repeat(self.start + length, length).astype(np.int32)
         owner = np.repeat(np.arange(len(data)), length)
         own = np.arange(len(self.text)) - self.start[owner] < windows[owner]
         self.order, rank = suffix_array(self.text, self.end)
