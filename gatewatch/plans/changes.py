@@ -17,11 +17,12 @@ VALID = VALID_TEXT.replace("vote", "upper(text)")
 
 @query("sk01_merged_events")
 def merged_events(spark, sf):
-    """Detections with plates as readings, folded into one stored event a key."""
-    d = T.detections(spark, sf).filter("object_type = 'vehicle'")
+    """Detections with plates as readings, folded into one stored event a key; a person's confidence is the face's."""
+    d = T.detections(spark, sf)
     rows = d.join(T.plates(spark, sf).select("plate_id", "plate_number", "ocr_confidence", "plate_crop_quality"), "plate_id", "left")
     readings = rows.selectExpr(
         "event_key", "detection_id as seq", "plate_number as plate", "ocr_confidence as ocr", "detection_confidence as consensus", "plate_crop_quality as quality", "case when detection_id % 3 = 0 then null else detection_id % 3 = 1 end as stable",
+        "object_type", "detection_confidence as face_confidence", "case when detection_id % 5 <> 0 then concat('face/', detection_id) end as face_image",
         "detection_confidence as vehicle_confidence", "detection_id % 17 = 0 as has_driver", "direction", "vehicle_type", "case when detection_id % 4 = 0 then concat('img/', detection_id) end as image",
     )
     return merge.merged_events(readings)

@@ -55,6 +55,17 @@ def fold_batch(rows: DataFrame, keys: list[str], order: list[str], step: Step, s
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
+def fold_each(rows: DataFrame, step: Step, schema: str, final: Callable[[dict], list[dict]]) -> DataFrame:
+    """The same for rows that are keys of their own: no shuffle."""
+    names = _names(schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield _frame([out for row in batch.to_dict("records") for out in final(step(None, _clean(row))[0])], names)
+
+    return rows.mapInPandas(run, schema)
+
+
 def fold_stream(rows: DataFrame, keys: list[str], order: list[str], step: Step, schema: str, ttl_ms: int, final: Callable[[dict], list[dict]] | None = None, at: str = "at") -> DataFrame:
     """The same over a stream with a watermark and the rows' time in seconds in `at`; `final` is called when a key's state expires."""
     names = _names(schema)

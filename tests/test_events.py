@@ -75,8 +75,32 @@ def test_merge_takes_a_better_reading(spark):
 
 
 def test_merge_without_a_plate(spark):
-    e = merge.merged_events(spark.createDataFrame([_reading(1, plate="OA", vehicle_confidence=0.75)], SCHEMA)).first()
-    assert e["plate"] is None and e["status"] == 1
+    rows = [_reading(1, plate=None, vehicle_confidence=0.75), _reading(2, event_key="failed", plate="OA", ocr=0.99, vehicle_confidence=0.75)]
+    found = {e["event_key"]: e for e in merge.merged_events(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found["k"]["plate"] is None and found["k"]["status"] == 1
+    e = found["failed"]  # seen and failed: no plate, but its text and confidence stay
+    assert (e["plate"], e["raw_text"], e["status"], e["detection_confidence"]) == (None, "OA", 0, 0.99)
+
+
+def test_merge_keeps_a_picture_until_a_clearer_one(spark):
+    rows = [_reading(1, image="a.jpg", vehicle_confidence=0.5), _reading(2, image="b.jpg", direction="exit", vehicle_confidence=0.5), _reading(3, image="c.jpg", vehicle_confidence=0.6)]
+    events = [merge.merged_events(spark.createDataFrame(rows[:n], SCHEMA)).first() for n in (2, 3)]
+    assert [(e["image"], e["direction"], e["n_changes"]) for e in events] == [("a.jpg", "exit", 2), ("c.jpg", "exit", 3)]
+
+
+def test_merge_keeps_the_text_of_a_failed_plate(spark):
+    rows = [_reading(1, plate="OA", ocr=0.9), _reading(2, plate=None), _reading(3)]
+    events = [merge.merged_events(spark.createDataFrame(rows[:n], SCHEMA)).first() for n in (2, 3)]
+    assert [(e["plate"], e["raw_text"], e["n_changes"]) for e in events] == [(None, "OA", 1), ("B1234CD", "B1234CD", 2)]
+
+
+def test_merge_of_persons_and_of_rows_without_a_key(spark):
+    faces = [(1, 0.5, "1.jpg"), (2, 0.54, "2.jpg"), (3, 0.7, None), (4, 0.6, "4.jpg")]
+    rows = [(*_reading(n), "person", c, i) for n, c, i in faces] + [(None, *_reading(n)[1:], "vehicle", None, None) for n in (5, 6)]
+    found = merge.merged_events(spark.createDataFrame(rows, SCHEMA + ", object_type string, face_confidence double, face_image string")).collect()
+    person = next(e for e in found if e["object_type"] == "person")
+    assert (person["face_confidence"], person["face_image"], person["status"], person["plate"], person["n_readings"], person["n_changes"]) == (0.6, "4.jpg", 2, None, 4, 2)
+    assert [(e["event_key"], e["plate"], e["n_readings"]) for e in found if e["object_type"] == "vehicle"] == [(None, "B1234CD", 1)] * 2
 
 
 def test_hamming_six_and_seven(spark):
