@@ -16,6 +16,7 @@ MODULES = {
     "op8_fingerprint": "fingerprints",
     "op9_near_duplicates": "neardup",
     "op10_secret_scan": "secrets",
+    "op12_jaccard_join": "jaccard",
     "op13_whitening": "whitening",
 }
 #: Modules that hold SQL, each in a dictionary ORACLE_SQL.
