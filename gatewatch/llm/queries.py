@@ -16,11 +16,12 @@ MODULES = {
     "op8_fingerprint": "fingerprints",
     "op9_near_duplicates": "neardup",
     "op10_secret_scan": "secrets",
+    "op11_collocations": "collocations",
     "op12_jaccard_join": "jaccard",
     "op13_whitening": "whitening",
 }
 #: Modules that hold SQL, each in a dictionary ORACLE_SQL.
-SQL: tuple[str, ...] = ("warc",)
+SQL: tuple[str, ...] = ("collocations", "warc")
 
 
 def queries() -> dict:
