@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import plates as P
 
 #: What a reading brings and what an event keeps.
-READING = ["object_type", "plate", "raw_text", "plate_status", "ocr", "consensus", "quality", "stable", "vehicle_confidence", "has_driver", "direction", "vehicle_type", "image", "face_confidence", "face_image"]
-PLATE = ["plate", "raw_text", "plate_status", "ocr", "consensus", "quality", "stable"]
+READING = ["object_type", "number", "plate", "raw_text", "plate_status", "ocr", "consensus", "quality", "stable", "vehicle_confidence", "has_driver", "direction", "vehicle_type", "image", "face_confidence", "face_image"]
+PLATE = ["number", "plate", "raw_text", "plate_status", "ocr", "consensus", "quality", "stable"]
 EVENT_SCHEMA = (
     "event_key string, object_type string, plate string, raw_text string, plate_status int, ocr double, consensus double, quality double, stable boolean, vehicle_confidence double, "
     "has_driver boolean, direction string, vehicle_type string, image string, face_confidence double, face_image string, detection_confidence double, status int, n_readings long, n_changes long"
@@ -21,14 +21,14 @@ def score(r: dict) -> float:
 
 
 def better_plate(new: dict, old: dict) -> bool:
-    """Whether a reading's plate replaces the stored one: stability first, then a margin that is wider for another plate."""
-    if not new["plate"]:
+    """Whether a reading's plate, failed or not, replaces the stored one: stability first, then a margin that is wider for another plate."""
+    if not new["number"]:
         return False
     if not old["plate"]:
         return True
     if new["stable"] is True and not old["stable"]:
         return True
-    if new["plate"] == old["plate"]:
+    if new["number"] == old["plate"]:
         return score(new) > score(old) + 0.02 and not (old["stable"] is True and new["stable"] is False)
     return new["stable"] is True and old["stable"] is True and score(new) > score(old) + 0.08
 
@@ -48,11 +48,11 @@ def fold_vehicle(stored: dict, new: dict) -> tuple[dict, bool]:
     way = new["direction"] in ("entry", "exit") and stored["direction"] not in ("entry", "exit")
     clearer = new["vehicle_confidence"] > seen + 0.05
     image = bool(new["image"]) and not stored["image"]
-    text = bool(new["raw_text"]) and not stored["raw_text"]
-    if not (plate or driver or way or image or text or clearer):
+    first = bool(new["number"]) and not stored["number"]
+    if not (plate or driver or way or image or first or clearer):
         return stored, False
     out = stored | {"object_type": "vehicle"}
-    if plate or text:
+    if plate or first:
         out |= {k: new[k] for k in PLATE}
     out["vehicle_confidence"] = max(seen, new["vehicle_confidence"])
     out["has_driver"] = bool(stored["has_driver"] or new["has_driver"])
@@ -85,10 +85,8 @@ def settle_person(event: dict) -> dict:
 
 def settle(event: dict) -> dict:
     """Confidence and status of a vehicle's event: its plate's, or by the vehicle's confidence."""
-    if event["plate"]:
+    if event["number"]:  # also of a plate that was seen but failed
         event["detection_confidence"], event["status"] = event["ocr"], event["plate_status"]
-    elif event["raw_text"]:  # a plate that was seen but failed
-        event["detection_confidence"], event["status"] = event["ocr"], 0
     else:
         c = event["detection_confidence"] = event["vehicle_confidence"]
         event["status"] = 1 if c >= 0.70 else 2 if c >= 0.40 else 0
@@ -99,14 +97,15 @@ def prepared(readings: DataFrame, *more: str) -> DataFrame:
     """Readings with values in range, the plate canonical, and no plate where it failed; `more` columns stay as they are.
 
     object_type (vehicle unless person), raw_text (the plate as read where null), face_confidence and face_image may be absent. A
-    reading without plate characters has no raw text."""
+    reading without plate characters has no number and no raw text."""
     given = lambda name, kind: F.col(name) if name in readings.columns else F.lit(None).cast(kind)
     unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c, F.lit(0.0))))
     vehicle = given("object_type", "string").eqNullSafe("person") == F.lit(False)
-    text = F.when(vehicle & (P.canonical(F.col("plate")) != ""), F.coalesce(given("raw_text", "string"), "plate"))
-    rows = readings.withColumn("plate_status", P.status(F.col("plate"), F.col("ocr"), F.col("quality")))
+    number = F.when(vehicle & (F.col("_number") != ""), F.col("_number"))
+    text = F.when(number.isNotNull(), F.coalesce(given("raw_text", "string"), "plate"))
+    rows = readings.withColumn("plate_status", P.status(F.col("plate"), F.col("ocr"), F.col("quality"))).withColumn("_number", P.canonical(F.col("plate")))
     return rows.select(
-        F.when(F.trim("event_key") != "", F.col("event_key")).alias("event_key"), "seq", F.when(vehicle, "vehicle").otherwise("person").alias("object_type"), text.alias("raw_text"), F.when(F.col("plate_status") > 0, P.canonical(F.col("plate"))).alias("plate"), "plate_status",
+        F.when(F.trim("event_key") != "", F.col("event_key")).alias("event_key"), "seq", F.when(vehicle, "vehicle").otherwise("person").alias("object_type"), number.alias("number"), text.alias("raw_text"), F.when(F.col("plate_status") > 0, F.col("_number")).alias("plate"), "plate_status",
         unit("ocr").alias("ocr"), unit("consensus").alias("consensus"), unit("quality").alias("quality"), "stable", unit("vehicle_confidence").alias("vehicle_confidence"), F.coalesce("has_driver", F.lit(False)).alias("has_driver"),
         F.when(F.col("direction").isin("entry", "exit"), F.col("direction")).otherwise("unknown").alias("direction"), F.coalesce("vehicle_type", F.lit("unknown")).alias("vehicle_type"), "image", F.when(~vehicle, unit(given("face_confidence", "double"))).alias("face_confidence"), F.when(~vehicle, given("face_image", "string")).alias("face_image"), *more,
     )

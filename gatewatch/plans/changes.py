@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import plates as P
 from ..functions import text as X
-from ..operators import dedup, dml, merge, reports
+from ..operators import dedup, dml, merge, recording, reports
 from ..sources import tables as T
 from .aggregates import VALID_TEXT
 from .shared import events, stamp
@@ -15,17 +15,28 @@ from .shared import events, stamp
 VALID = VALID_TEXT.replace("vote", "upper(text)")
 
 
-@query("sk01_merged_events")
-def merged_events(spark, sf):
-    """Detections with plates as readings, folded into one stored event a key; a person's confidence is the face's."""
+def stored_readings(spark, sf):
+    """Detections with plates as readings; a person's confidence is the face's, and of every three hashes two are near each other."""
     d = T.detections(spark, sf)
     rows = d.join(T.plates(spark, sf).select("plate_id", "plate_number", "ocr_confidence", "plate_crop_quality"), "plate_id", "left")
-    readings = rows.selectExpr(
-        "event_key", "detection_id as seq", "plate_number as plate", "ocr_confidence as ocr", "detection_confidence as consensus", "plate_crop_quality as quality", "case when detection_id % 3 = 0 then null else detection_id % 3 = 1 end as stable",
+    return rows.selectExpr(
+        "event_key", "detection_id as seq", "camera_id", "created_at", "case when detection_id % 3 > 0 then concat(substr(md5(cast(track_id % 7 as string)), 1, 14), substr(md5(cast(detection_id as string)), 1, 2)) end as hash",
+        "plate_number as plate", "ocr_confidence as ocr", "detection_confidence as consensus", "plate_crop_quality as quality", "case when detection_id % 3 = 0 then null else detection_id % 3 = 1 end as stable",
         "object_type", "detection_confidence as face_confidence", "case when detection_id % 5 <> 0 then concat('face/', detection_id) end as face_image",
         "detection_confidence as vehicle_confidence", "detection_id % 17 = 0 as has_driver", "direction", "vehicle_type", "case when detection_id % 4 = 0 then concat('img/', detection_id) end as image",
     )
-    return merge.merged_events(readings)
+
+
+@query("sk01_merged_events")
+def merged_events(spark, sf):
+    """Readings folded into stored events: by key, by camera and plate within half a day, or skipped for their looks."""
+    return recording.recorded(stored_readings(spark, sf), seconds=43_200)
+
+
+@query("sk01_outcomes")
+def outcomes(spark, sf):
+    """What became of each reading."""
+    return recording.outcomes(stored_readings(spark, sf), seconds=43_200)
 
 
 @query("sk02_insert_cameras", "select camera_id, location, status, direction from cameras union all select 100 + camera_id, concat(location, ' B'), 1, case when direction in ('entry', 'exit', 'unknown') and camera_id % 2 = 0 then direction else 'unknown' end from cameras")

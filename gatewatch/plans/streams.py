@@ -8,6 +8,7 @@ from ..catalog import query
 from ..operators import merge
 from ..sources import tables as T
 from ..streaming import folds, streams
+from ..streaming import plate_tracks as PT
 from ..streaming import trackers as K
 from .shared import stamp
 
@@ -165,3 +166,16 @@ def session_windows(spark, sf):
     """Natural extension of WN-4: sessions of a camera with a gap of an hour."""
     found = T.detections(spark, sf).groupBy("camera_id", F.session_window("created_at", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.min("created_at").alias("start"))
     return found.select("camera_id", stamp("start"), "n")
+
+
+@query("ss05_tracked_plates")
+def tracked_plates(spark, sf):
+    """SS-5 to SS-8: plates of each camera followed, read, voted on and given out."""
+    return PT.tracked(T.plate_boxes(spark, sf).selectExpr("*", AT), gap=43_200)
+
+
+@query("ss05_stream_tracked_plates")
+def stream_tracked_plates(spark, sf):
+    """The same as a stream: tracks that the watermark has not passed yet are not given out."""
+    with folds.rocksdb(spark):
+        return folds.run_available(PT.tracked_stream(streams.plate_boxes(spark, sf).selectExpr("*", AT), gap=43_200), "plate_tracks")

@@ -43,6 +43,15 @@ READINGS = {
     "text": "case when plate_id % 9 = 0 then concat('ZZ', substr(plate_number, 2)) when plate_id % 5 = 0 then replace(plate_number, '1', 'I') when plate_id % 11 = 0 then lower(plate_number) else plate_number end",
 }
 
+#: Boxes of plates in a camera's frames, some without what their vehicle is called, with what reading their crop gives.
+PLATE_BOXES = {
+    "camera_id": "user_id % 30", "frame": "event_id", "id": "event_id", "x1": "cast((k % 4) * 150 + event_id % 15 as double)", "y1": "cast((k % 3) * 90 + event_id % 7 as double)",
+    "x2": "cast((k % 4) * 150 + event_id % 15 + 25 + k % 40 as double)", "y2": "cast((k % 3) * 90 + event_id % 7 + 9 + k % 11 as double)", "confidence": "cast((c * 3) % 1000 as double) / cast(1000 as double)",
+    "vehicle": "case when k % 3 = 1 then cast(k % 4 as bigint) end", "vehicle_group": "case when k % 5 = 2 then cast(k % 2 as bigint) end", "generation": "case when k % 6 > 0 then cast(1 + k % 2 as bigint) end",
+    "quality": "cast((c * 7) % 1000 as double) / cast(1000 as double)", "ocr": "cast(c as double) / cast(1000 as double)",
+    "text": "case when event_id % 13 = 0 then null when event_id % 5 = 0 then 'B1Z34CD' else concat('B', cast(k % 4 + 1 as varchar(20)), '234CD') end", "created_at": "ts",
+}
+
 
 def _columns(spec: dict[str, str]) -> str:
     return ", ".join(f"{e} as {n}" for n, e in spec.items())
@@ -82,5 +91,9 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(base_events(spark, sf_dir), BOXES)
 
 
+def plate_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _select(base_events(spark, sf_dir), PLATE_BOXES)
+
+
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(plates(spark, sf_dir), READINGS)

@@ -7,6 +7,7 @@ one micro-batch are taken in order."""
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
 from collections.abc import Callable, Iterator
@@ -91,6 +92,18 @@ def fold_stream(rows: DataFrame, keys: list[str], order: list[str], step: Step,
     return rows.groupBy(*keys).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+@contextlib.contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within keep their state in RocksDB, which state with several variables and timers needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def run_available(stream: DataFrame, name: str) -> DataFrame:
     """Runs a stream over all that is there now, in append mode, into Parquet files of the shared folder, and reads them."""
     spark: SparkSession = stream.sparkSession

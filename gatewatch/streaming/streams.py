@@ -31,6 +31,11 @@ def boxed(spark: SparkSession, sf_dir: str, files_per_trigger: int = 8, delay: s
     return _events(spark, sf_dir, files_per_trigger).selectExpr(*[f"{e} as {n}" for n, e in both.items()]).withWatermark("created_at", delay)
 
 
+def plate_boxes(spark: SparkSession, sf_dir: str, files_per_trigger: int = 8, delay: str = "10 minutes") -> DataFrame:
+    """The stream of plate boxes with what reading them gives."""
+    return _events(spark, sf_dir, files_per_trigger).selectExpr(*[f"{e} as {n}" for n, e in T.PLATE_BOXES.items()]).withWatermark("created_at", delay)
+
+
 def readings(spark: SparkSession, sf_dir: str, files_per_trigger: int = 8, delay: str = "10 minutes") -> DataFrame:
     """The stream of plate readings."""
     rows = _events(spark, sf_dir, files_per_trigger).filter("k % 4 <> 3 and event_type <> 'error'")
