@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..operators import merge
 from ..sources import tables as T
-from ..streaming import folds, streams
+from ..streaming import folds, persons, streams
 from ..streaming import plate_tracks as PT
 from ..streaming import trackers as K
 from .shared import stamp
@@ -179,3 +179,32 @@ def stream_tracked_plates(spark, sf):
     """The same as a stream: tracks that the watermark has not passed yet are not given out."""
     with folds.rocksdb(spark):
         return folds.run_available(PT.tracked_stream(streams.plate_boxes(spark, sf).selectExpr("*", AT), gap=43_200), "plate_tracks")
+
+
+#: The test events lie hours apart: cooldowns to match.
+PEOPLE = {"cooldown": 86_400, "track": 172_800, "moment": 14_400, "reuse": 43_200, "keep": 345_600}
+VEHICLES = {"text": 86_400, "look": 43_200, "place": 21_600}
+
+
+@query("ss10_people")
+def people(spark, sf):
+    """SS-10: people told by group, track, place and look, and which layer knew them."""
+    return persons.people(T.sightings(spark, sf).filter("object_type = 'person'").selectExpr("*", AT), **PEOPLE)
+
+
+@query("ss10_stream_layers")
+def stream_layers(spark, sf):
+    with folds.rocksdb(spark):
+        return folds.run_available(persons.people_stream(streams.sightings(spark, sf).filter("object_type = 'person'").selectExpr("*", AT), **PEOPLE), "people")
+
+
+@query("ss09_vehicles")
+def vehicles(spark, sf):
+    """SS-9: vehicles whose plate, look or place was there lately."""
+    return persons.vehicles(T.sightings(spark, sf).filter("object_type = 'vehicle'").selectExpr("*", AT), **VEHICLES)
+
+
+@query("ss09_stream_vehicles")
+def stream_vehicles(spark, sf):
+    with folds.rocksdb(spark):
+        return folds.run_available(persons.vehicles_stream(streams.sightings(spark, sf).filter("object_type = 'vehicle'").selectExpr("*", AT), **VEHICLES), "vehicles")

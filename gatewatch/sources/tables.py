@@ -52,6 +52,15 @@ PLATE_BOXES = {
     "text": "case when event_id % 13 = 0 then null when event_id % 5 = 0 then 'B1Z34CD' else concat('B', cast(k % 4 + 1 as varchar(20)), '234CD') end", "created_at": "ts",
 }
 
+#: People and vehicles of a camera with box, track, group and a hash of their look; of seven looks each is seen with a few bits changed.
+SIGHTINGS = {
+    "camera_id": "user_id % 30", "id": "event_id", "object_type": "case when event_type = 'error' then 'person' else 'vehicle' end", "track": "case when k % 5 > 0 then cast(k % 6 as bigint) when k % 10 = 0 then -1 end",
+    "person_group": "case when k % 7 = 3 then cast(k % 2 as bigint) end", "x1": "cast((k % 5) * 70 + event_id % 20 as double)", "y1": "cast((k % 3) * 60 + event_id % 10 as double)",
+    "x2": "cast((k % 5) * 70 + event_id % 20 + 30 + k % 25 as double)", "y2": "cast((k % 3) * 60 + event_id % 10 + 50 + k % 40 as double)",
+    "hash": "case when k % 4 > 0 then concat(substr(md5(cast(k % 9 as varchar(20))), 1, 15), substr(md5(cast(event_id as varchar(20))), 1, 1)) end",
+    "plate": "case when k % 3 = 0 then concat('B', cast(k % 8 + 1 as varchar(20)), 'CD') end", "created_at": "ts",
+}
+
 
 def _columns(spec: dict[str, str]) -> str:
     return ", ".join(f"{e} as {n}" for n, e in spec.items())
@@ -95,5 +104,9 @@ def plate_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(base_events(spark, sf_dir), PLATE_BOXES)
 
 
+def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _select(base_events(spark, sf_dir), SIGHTINGS)
+
+
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(plates(spark, sf_dir), READINGS)

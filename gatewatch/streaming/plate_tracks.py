@@ -12,14 +12,12 @@ list states, and event-time timers finish tracks of cameras where nothing comes
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions import plates as P
-from .folds import fold_batch
+from .walks import Walk, names_of, walk_batch, walk_stream
 
 #: What the tracker reads of a box; text and ocr are what reading its crop gives.
 BOX = ["camera_id", "frame", "id", "at", "x1", "y1", "x2", "y2", "confidence", "vehicle", "vehicle_group", "generation", "quality", "text", "ocr"]
@@ -32,7 +30,7 @@ FINISHED = (
     "camera_id long, track long, vehicle long, vehicle_group long, generation long, first_at double, last_at double, text string, exact int, reads int, confidence double, best_confidence double, "
     "consensus double, quality double, detection_confidence double, valid boolean, stable boolean"
 )
-_NAMES = [re.findall(r"(\w+) \w+", s) for s in (TRACK, READING, FINISHED)]
+_TRACK, _READING = names_of(TRACK), names_of(READING)
 _REGIONS = frozenset(P.REGIONS)
 _LETTERS, _DIGITS = str.maketrans(*P.DIGITS_AS_LETTERS), str.maketrans(*P.LETTERS_AS_DIGITS)
 
@@ -99,9 +97,11 @@ def differ(a: object, b: object) -> bool:
     return a is not None and b is not None and a != b
 
 
-class PlateTracks:
+class PlateTracks(Walk):
     """The plates of one camera."""
 
+    STATES = {"tracks": TRACK, "readings": READING, "counter": "camera long, next long"}
+
     def __init__(self, gap: float = 1.0, overlap: float = 0.3, every: int = 3, attempts: int = 5, least: float = 0.20, least_ocr: float = 0.45, width: float = 30, height: float = 10) -> None:
         self.gap, self.overlap, self.every, self.attempts, self.least, self.least_ocr, self.width, self.height = gap, overlap, every, attempts, least, least_ocr, width, height
         self.camera, self.next, self.tracks, self.readings = None, 1, [], {}
@@ -112,6 +112,20 @@ class PlateTracks:
         self.tracks = [t for t in self.tracks if at - t["last_at"] <= self.gap]
         return [f for t in gone if (f := self.finished(t))]
 
+    def due(self) -> float | None:
+        return min(t["last_at"] for t in self.tracks) + self.gap if self.tracks else None
+
+    def dump(self) -> dict[str, list[tuple]]:
+        readings = [r for found in self.readings.values() for r in found]
+        return {"tracks": [tuple(t[n] for n in _TRACK) for t in self.tracks], "readings": [tuple(r[n] for n in _READING) for r in readings], "counter": [(self.camera, self.next)]}
+
+    def load(self, tables: dict[str, list[tuple]]) -> None:
+        self.tracks = [dict(zip(_TRACK, t, strict=True)) for t in tables["tracks"]]
+        for r in tables["readings"]:
+            self.readings.setdefault(r[0], []).append(dict(zip(_READING, r, strict=True)))
+        if tables["counter"]:
+            self.camera, self.next = tables["counter"][0]
+
     def finished(self, t: dict) -> dict | None:
         won = vote(self.readings.pop(t["track"], []))
         return won and {"camera_id": self.camera, **{k: t[k] for k in ("track", "vehicle", "vehicle_group", "generation", "first_at", "last_at")}, "detection_confidence": t["confidence"], **won}
@@ -137,7 +151,7 @@ class PlateTracks:
             return out
         t = self.found(box)
         if t is None:
-            t = dict.fromkeys(_NAMES[0]) | {"track": self.next, "confidence": box["confidence"], "first_at": box["at"], "matches": min(1, self.every), "attempts": 0, "stable": False, "crop_quality": -1.0, "generation": 1 if box["generation"] is None else box["generation"], "vehicle": box["vehicle"], "vehicle_group": box["vehicle_group"]}
+            t = dict.fromkeys(_TRACK) | {"track": self.next, "confidence": box["confidence"], "first_at": box["at"], "matches": min(1, self.every), "attempts": 0, "stable": False, "crop_quality": -1.0, "generation": 1 if box["generation"] is None else box["generation"], "vehicle": box["vehicle"], "vehicle_group": box["vehicle_group"]}
             self.next += 1
             self.tracks.append(t)
         else:
@@ -172,74 +186,10 @@ def prepared(boxes: DataFrame, *more: str) -> DataFrame:
 
 def tracked(boxes: DataFrame, **limits: float) -> DataFrame:
     """The finished plates of all cameras; at the end of the table every track is finished."""
-
-    def step(state: PlateTracks | None, row: dict) -> tuple[PlateTracks, list[dict]]:
-        state = state or PlateTracks(**limits)
-        return state, state.take(row)
-
-    return fold_batch(prepared(boxes), ["camera_id"], ["at", "frame", "id"], step, FINISHED, lambda state: state.expired(float("inf")))
-
-
-class _Stream(StatefulProcessor):
-    """PlateTracks of a camera in list states, restored for each micro-batch; one event-time timer, for the track that is next to expire."""
-
-    def __init__(self, limits: dict) -> None:
-        self.limits = limits
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.tracks, self.readings = handle.getListState("tracks", TRACK), handle.getListState("readings", READING)
-        self.next = handle.getValueState("next", "track long, timer long")
-
-    def restored(self, key: tuple) -> tuple[PlateTracks, int]:
-        state, timer = PlateTracks(**self.limits), 0
-        state.camera = key[0]
-        if self.next.exists():
-            state.next, timer = self.next.get()
-        if self.tracks.exists():
-            state.tracks = [dict(zip(_NAMES[0], t, strict=True)) for t in self.tracks.get()]
-        if self.readings.exists():
-            for r in self.readings.get():
-                r = dict(zip(_NAMES[1], r, strict=True))
-                state.readings.setdefault(r["track"], []).append(r)
-        return state, timer
-
-    def keep(self, state: PlateTracks, timer: int, after: int) -> None:
-        for store, rows, names in ((self.tracks, state.tracks, _NAMES[0]), (self.readings, [r for x in state.readings.values() for r in x], _NAMES[1])):
-            if rows:
-                store.put([tuple(r[n] for n in names) for r in rows])
-            else:
-                store.clear()
-        if timer > after:
-            self.handle.deleteTimer(timer)
-        due = 0
-        if state.tracks:
-            due = max(after + 1, int((min(t["last_at"] for t in state.tracks) + state.gap) * 1000) + 2)  # just past the gap
-            self.handle.registerTimer(due)
-        self.next.update((state.next, due))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        state, timer = self.restored(key)
-        for row in sorted((r.asDict() for r in rows), key=lambda r: (r["at"], r["frame"], r["id"])):
-            yield from self.given(state.take(row))
-        self.keep(state, timer, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        state, _ = self.restored(key)
-        yield from self.given(state.expired(expiredTimerInfo.getExpiryTimeInMs() / 1000))
-        self.keep(state, 0, max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()))
-
-    @staticmethod
-    def given(found: list[dict]) -> Iterator[Row]:
-        for f in found:
-            yield Row(**{n: f[n] for n in _NAMES[2]})
-
-    def close(self) -> None:
-        pass
+    return walk_batch(prepared(boxes), ["camera_id"], ["at", "frame", "id"], lambda: PlateTracks(**limits), FINISHED)
 
 
 def tracked_stream(boxes: DataFrame, **limits: float) -> DataFrame:
     """The same over a stream with a watermark on created_at, from which `at` comes: a plate is given out by the next box of its
     camera, or once the watermark has passed its last box by the gap. Needs the RocksDB state store."""
-    rows = prepared(boxes, "created_at")
-    return rows.groupBy("camera_id").transformWithState(_Stream(limits), FINISHED, "append", "EventTime")
+    return walk_stream(prepared(boxes, "created_at"), ["camera_id"], ["at", "frame", "id"], lambda: PlateTracks(**limits), FINISHED)

@@ -36,6 +36,11 @@ def plate_boxes(spark: SparkSession, sf_dir: str, files_per_trigger: int = 8, de
     return _events(spark, sf_dir, files_per_trigger).selectExpr(*[f"{e} as {n}" for n, e in T.PLATE_BOXES.items()]).withWatermark("created_at", delay)
 
 
+def sightings(spark: SparkSession, sf_dir: str, files_per_trigger: int = 8, delay: str = "10 minutes") -> DataFrame:
+    """The stream of people and vehicles with box, track, group and look."""
+    return _events(spark, sf_dir, files_per_trigger).selectExpr(*[f"{e} as {n}" for n, e in T.SIGHTINGS.items()]).withWatermark("created_at", delay)
+
+
 def readings(spark: SparkSession, sf_dir: str, files_per_trigger: int = 8, delay: str = "10 minutes") -> DataFrame:
     """The stream of plate readings."""
     rows = _events(spark, sf_dir, files_per_trigger).filter("k % 4 <> 3 and event_type <> 'error'")
