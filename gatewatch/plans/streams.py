@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..operators import merge
 from ..sources import tables as T
-from ..streaming import folds, persons, streams
+from ..streaming import folds, identities, persons, schedule, streams
 from ..streaming import plate_tracks as PT
 from ..streaming import trackers as K
 from .shared import stamp
@@ -208,3 +208,49 @@ def vehicles(spark, sf):
 def stream_vehicles(spark, sf):
     with folds.rocksdb(spark):
         return folds.run_available(persons.vehicles_stream(streams.sightings(spark, sf).filter("object_type = 'vehicle'").selectExpr("*", AT), **VEHICLES), "vehicles")
+
+
+#: Ten minutes of a camera are a frame in the test events; gaps to match.
+FRAMED = ["*", AT, "cast(floor(unix_micros(created_at) / 600000000D) as bigint) as frame"]
+GROUPS = {"gap": 43_200, "switch": 21_600, "expiry": 172_800}
+LINKS = {"reuse": 86_400, "match": 43_200, "least": 0.50}
+
+
+@query("ss01_object_groups")
+def object_groups(spark, sf):
+    """SS-1 and SS-21 with all gates: groups of a camera's stretch that outlive track numbers."""
+    return identities.object_groups(T.sightings(spark, sf).selectExpr(*FRAMED), **GROUPS)
+
+
+@query("ss01_stream_object_groups")
+def stream_object_groups(spark, sf):
+    with folds.rocksdb(spark):
+        return folds.run_available(identities.object_groups_stream(streams.sightings(spark, sf).selectExpr(*FRAMED), **GROUPS), "groups")
+
+
+@query("ss02_video_identities")
+def video_identities(spark, sf):
+    """SS-2: tracks of a video linked to events whose own track is gone."""
+    return identities.video_identities(T.sightings(spark, sf).selectExpr(*FRAMED), **LINKS)
+
+
+@query("ss02_stream_video_identities")
+def stream_video_identities(spark, sf):
+    """The same as a stream; each video's last frame is given out once the watermark has passed it."""
+    with folds.rocksdb(spark):
+        return folds.run_available(identities.video_identities_stream(streams.sightings(spark, sf).selectExpr(*FRAMED), **LINKS), "identities")
+
+
+SCHEDULE = {"workers": 4, "capacity": 2, "interval": 7_200.0, "tick": 3_600.0}
+
+
+@query("ss14_fair_schedule")
+def fair_schedule(spark, sf):
+    """SS-14: the newest waiting frame of the cameras served longest ago, two an hour and worker."""
+    return schedule.served(T.detections(spark, sf).selectExpr("camera_id", "detection_id as id", AT), **SCHEDULE)
+
+
+@query("ss14_stream_fair_schedule")
+def stream_fair_schedule(spark, sf):
+    with folds.rocksdb(spark):
+        return folds.run_available(schedule.served_stream(streams.detections(spark, sf).selectExpr("camera_id", "detection_id as id", AT, "created_at"), **SCHEDULE), "schedule")

@@ -58,7 +58,7 @@ SIGHTINGS = {
     "person_group": "case when k % 7 = 3 then cast(k % 2 as bigint) end", "x1": "cast((k % 5) * 70 + event_id % 20 as double)", "y1": "cast((k % 3) * 60 + event_id % 10 as double)",
     "x2": "cast((k % 5) * 70 + event_id % 20 + 30 + k % 25 as double)", "y2": "cast((k % 3) * 60 + event_id % 10 + 50 + k % 40 as double)",
     "hash": "case when k % 4 > 0 then concat(substr(md5(cast(k % 9 as varchar(20))), 1, 15), substr(md5(cast(event_id as varchar(20))), 1, 1)) end",
-    "plate": "case when k % 3 = 0 then concat('B', cast(k % 8 + 1 as varchar(20)), 'CD') end", "created_at": "ts",
+    "plate": "case when k % 3 = 0 then concat('B', cast(k % 8 + 1 as varchar(20)), 'CD') end", "kind": "event_type", "created_at": "ts",
 }
 
 
