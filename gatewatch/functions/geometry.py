@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .plates import let
+
 Box = tuple[Column, Column, Column, Column]
-#: Shares of a box in a zone, and of the frame, from which it is near or in the middle.
-NEAR_SHARE, MID_SHARE = 0.5, 0.5
+# Shares of a box in a zone, of a zone under a box, and of a box whose centre is in a zone.
+ZONE_SHARES = (0.25, 0.30, 0.20)
 
 
 def box(prefix: str = "") -> Box:
@@ -84,40 +88,86 @@ def in_polygon(polygon: Column, x: Column, y: Column) -> Column:
 
 
 def polygon_problem(polygon: Column) -> Column:
-    """Why a normalised polygon is refused: too few points, out of range, crossing itself or too small; null if it is fine."""
-    n = F.size(polygon)
-    turned = F.concat(F.slice(polygon, 2, n), F.slice(polygon, 1, 1))
-    edges = F.zip_with(polygon, turned, lambda a, b: F.concat(a, b))
+    """Why a normalised polygon is refused: too few points, out of range, crossing or touching itself, or too small; null if it is
+    fine. A point that is given twice in a row is one point."""
+    points = F.filter(polygon, lambda p, i: p != F.get(polygon, (i + F.size(polygon) - 1) % F.size(polygon)))
+    n = F.size(points)
+    turned = F.concat(F.slice(points, 2, n), F.slice(points, 1, 1))
+    edges = F.zip_with(points, turned, lambda a, b: F.concat(a, b))
     out = F.exists(polygon, lambda p: (F.size(p) != 2) | F.exists(p, lambda v: (v < 0) | (v > 1)))
 
     def orientation(ax, ay, bx, by, cx, cy):
         return F.signum((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
 
     def cross(e: Column, f: Column) -> Column:
+        """Whether two edges meet anywhere but where one follows the other."""
         g = lambda s, i: F.get(s, F.lit(i))
         o = [orientation(g(a, 0), g(a, 1), g(a, 2), g(a, 3), g(b, i), g(b, i + 1)) for a, b, i in ((e, f, 0), (e, f, 2), (f, e, 0), (f, e, 2))]
-        return (o[0] * o[1] < 0) & (o[2] * o[3] < 0)
+        ends = ((e, f, 0), (e, f, 2), (f, e, 0), (f, e, 2))
+        within = lambda a, b, i: F.reduce(F.array(*[g(b, i + k).between(F.least(g(a, k), g(a, k + 2)), F.greatest(g(a, k), g(a, k + 2))) for k in (0, 1)]), F.lit(True), lambda s, x: s & x)
+        touch = reduce(lambda s, x: s | x, [(o[n] == 0) & within(*end) for n, end in enumerate(ends)])
+        return ((o[0] * o[1] < 0) & (o[2] * o[3] < 0)) | touch
+
+    def follows(i: Column, j: Column, e: Column, f: Column) -> Column:
+        """Whether edge j comes right after i and does not turn back on it."""
+        g = lambda s, k: F.get(s, F.lit(k))
+        back = (orientation(g(e, 0), g(e, 1), g(e, 2), g(e, 3), g(f, 2), g(f, 3)) == 0) & ((g(e, 2) - g(e, 0)) * (g(f, 2) - g(f, 0)) + (g(e, 3) - g(e, 1)) * (g(f, 3) - g(f, 1)) < 0)
+        return ((i + 1) % n == j) & ~back
+
+    numbered = F.transform(edges, lambda e, i: F.struct(i.alias("i"), e.alias("e")))
+    apart = lambda a, b: (a["i"] < b["i"]) & ~follows(a["i"], b["i"], a["e"], b["e"]) & ~follows(b["i"], a["i"], b["e"], a["e"])
+    crossing = F.exists(numbered, lambda a: F.exists(numbered, lambda b: apart(a, b) & cross(a["e"], b["e"])))
+    return F.when(F.size(polygon) < 3, "too few points").when(out, "out of range").when((n < 3) | crossing, "crosses itself").when(shoelace(polygon) < 0.01, "too small")
+
+
+def clipped(polygon: Column, b: Box) -> Column:
+    """The part of a polygon inside a box (Sutherland-Hodgman, a side of the box at a time). Of a polygon with a dent, parts may be joined
+    by edges along the box's side, which leaves the area right."""
+
+    def side(polygon: Column, axis: int, limit: Column, above: bool) -> Column:
+        turned = F.concat(F.slice(polygon, 2, F.size(polygon)), F.slice(polygon, 1, 1))
+
+        def kept(p: Column, q: Column) -> Column:
+            pa, qa, po, qo = (F.get(v, F.lit(i)) for i in (axis, 1 - axis) for v in (p, q))
+            inside, next_in = (pa >= limit, qa >= limit) if above else (pa <= limit, qa <= limit)
+            met = po + (limit - pa) / F.nullif(qa - pa, F.lit(0.0)) * (qo - po)
+            cut = F.array(limit, met) if axis == 0 else F.array(met, limit)
+            return F.concat(F.when(inside, F.array(p)).otherwise(F.array().cast("array<array<double>>")), F.when(inside != next_in, F.array(cut)).otherwise(F.array().cast("array<array<double>>")))
 
-    crossing = F.exists(edges, lambda e: F.exists(edges, lambda f: cross(e, f)))
-    return F.when(n < 3, "too few points").when(out, "out of range").when(crossing, "crosses itself").when(shoelace(polygon) < 0.01, "too small")
+        return F.flatten(F.zip_with(polygon, turned, kept))
+
+    cuts = [(0, b[0], True), (0, b[2], False), (1, b[1], True), (1, b[3], False)]
+    step = lambda out, cut: let(out, lambda p: side(p, *cut))
+    return reduce(step, cuts, polygon)
+
+
+def clip_area(b: Box, zone: Column) -> Column:
+    """Area of a zone inside a box."""
+    return let(clipped(zone, b), lambda p: F.when(F.size(p) < 3, 0.0).otherwise(shoelace(p)))
 
 
 def clip_share(b: Box, zone: Column) -> Column:
-    """Share of a box inside a zone, on a grid of 16 by 16 points of the box: exact to about 1/64 of its area."""
-    steps = F.sequence(F.lit(0), F.lit(15))
-    at = lambda lo, hi, i: lo + (hi - lo) * (i.cast("double") + 0.5) / 16
-    inside = F.transform(steps, lambda i: F.size(F.filter(steps, lambda j: in_polygon(zone, at(b[0], b[2], i), at(b[1], b[3], j)))))
-    return F.aggregate(inside, F.lit(0.0), lambda s, x: s + x) / 256
+    """Share of a box inside a zone."""
+    return F.coalesce(clip_area(b, zone) / F.nullif(area(b), F.lit(0.0)), F.lit(0.0))
 
 
-def zone_of(b: Box, near: Column, mid: Column) -> Column:
-    """NEAR, MID or FAR of a normalised box: by its share in the zones, or its bottom centre inside one."""
-    x, y = bottom_center(b)
+def in_zone(b: Box, zone: Column) -> Column:
+    """Whether a box counts as inside a zone: by its own share, by the share of the zone that it covers, or by less of itself if its centre
+    or the middle of its lower side is inside. A zone of less than three points holds everything, a box without area is in none."""
+    (x, y), (bx, by) = center(b), bottom_center(b)
+    size = F.coalesce(F.size(zone), F.lit(0))
 
-    def within(zone: Column, share: float) -> Column:
-        return zone.isNotNull() & ((clip_share(b, zone) >= share) | in_polygon(zone, x, y))
+    def judged(inside: Column) -> Column:
+        own, zones = inside / F.nullif(area(b), F.lit(0.0)), inside / F.nullif(shoelace(zone), F.lit(0.0))
+        middle = (in_polygon(zone, x, y) | in_polygon(zone, bx, by)) & (own >= ZONE_SHARES[2])
+        return F.coalesce((own >= ZONE_SHARES[0]) | (zones >= ZONE_SHARES[1]) | middle, F.lit(False))
 
-    return F.when(within(near, NEAR_SHARE), "NEAR").when(within(mid, MID_SHARE), "MID").otherwise("FAR")
+    return F.when(size < 3, True).otherwise(let(clip_area(b, zone), judged))
+
+
+def zone_of(b: Box, near: Column, mid: Column) -> Column:
+    """NEAR, MID or FAR of a box and two zones, in the same units; a null zone is passed over."""
+    return F.when(near.isNotNull() & in_zone(b, near), "NEAR").when(mid.isNotNull() & in_zone(b, mid), "MID").otherwise("FAR")
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -102,13 +102,24 @@ def sides(spark, sf):
     return T.boxes(spark, sf).select("box_id", G.side_of_line(x, y, *at).alias("side"))
 
 
-@query("sf25_zones")
+@query("sf25_zones", """, z(zone, x1, y1, x2, y2, ord) as (values ('NEAR', 0.0::double, 300.0::double, 800.0::double, 500.0::double, 1), ('MID', 100.0::double, 150.0::double, 700.0::double, 300.0::double, 2)),
+s as (select b.box_id, z.zone, z.ord, greatest(least(b.x2, z.x2) - greatest(b.x1, z.x1), 0) * greatest(least(b.y2, z.y2) - greatest(b.y1, z.y1), 0) as inside, (b.x2 - b.x1) * (b.y2 - b.y1) as own, (z.x2 - z.x1) * (z.y2 - z.y1) as whole,
+(b.x1 + b.x2) / 2 >= z.x1 and (b.x1 + b.x2) / 2 < z.x2 and ((b.y1 + b.y2) / 2 >= z.y1 and (b.y1 + b.y2) / 2 < z.y2 or b.y2 >= z.y1 and b.y2 < z.y2) as middle from boxes b, z)
+select box_id, coalesce(min_by(zone, ord) filter (where inside / own >= 0.25 or inside / whole >= 0.30 or middle and inside / own >= 0.20), 'FAR') as zone from s group by box_id""")
 def zones(spark, sf):
     """NEAR, MID or FAR of every box in a frame of 800 by 500."""
     polygon = lambda *p: F.array(*[F.array(F.lit(x), F.lit(y)) for x, y in p])
-    b = tuple(c / n for c, n in zip(G.box(), (800.0, 500.0, 800.0, 500.0)))
-    near, mid = polygon((0.0, 0.6), (1.0, 0.6), (1.0, 1.0), (0.0, 1.0)), polygon((0.0, 0.3), (1.0, 0.3), (1.0, 0.6), (0.0, 0.6))
-    return T.boxes(spark, sf).select("box_id", G.zone_of(b, near, mid).alias("zone"))
+    near, mid = polygon((0.0, 300.0), (800.0, 300.0), (800.0, 500.0), (0.0, 500.0)), polygon((100.0, 150.0), (700.0, 150.0), (700.0, 300.0), (100.0, 300.0))
+    return T.boxes(spark, sf).select("box_id", G.zone_of(G.box(), near, mid).alias("zone"))
+
+
+@query("sf25_clipped", """select box_id, round(greatest(0, least(x2, 400) - greatest(x1, 100)) * greatest(0, least(y2, 250) - greatest(y1, 50)), 6) as rectangle,
+round(case when (x1 + y1) >= 420 then 0 when x2 + y2 <= 420 then (x2 - x1) * (y2 - y1) else power(420 - x1 - y1, 2) / 2 - power(greatest(0, 420 - x2 - y1), 2) / 2 - power(greatest(0, 420 - x1 - y2), 2) / 2 end, 6) as triangle from boxes""")
+def clipped(spark, sf):
+    """Areas of a rectangle and of a large triangle inside every box."""
+    polygon = lambda *p: F.array(*[F.array(F.lit(x), F.lit(y)) for x, y in p])
+    rectangle, triangle = polygon((100.0, 50.0), (400.0, 50.0), (400.0, 250.0), (100.0, 250.0)), polygon((-1000.0, -1000.0), (1420.0, -1000.0), (-1000.0, 1420.0))
+    return T.boxes(spark, sf).select("box_id", F.round(G.clip_area(G.box(), rectangle), 6).alias("rectangle"), F.round(G.clip_area(G.box(), triangle), 6).alias("triangle"))
 
 
 @query("sf26_polygons", "select camera_id, round(abs((0.1 + 0.02 * camera_id) * 0.5) , 6) as area from cameras")
