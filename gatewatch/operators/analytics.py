@@ -128,3 +128,68 @@ def running_totals(days: DataFrame) -> DataFrame:
     """Days are few: the running total needs them in one place, after the aggregation."""
     w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     return days.select("day", "vehicles", F.sum("vehicles").over(w).alias("vehicles_so_far"))
+
+
+def statistics(events: DataFrame, cameras: DataFrame, period: str = "all", as_of: str | None = None) -> DataFrame:
+    """AG-11: all numbers of the statistics page, of events with plates, as rows (section, place, label, total, vehicles, plates, faces,
+    percent, confidence, last_seen, status).
+
+    One scan and one shuffle: grouping sets over nothing, day, hour, camera and plate. What follows works on their few rows, the
+    plates being cut to the first ten in parts. Sections: kpi, status, availability, trend (hours of a day for `today`, 7 or 30 days up to
+    as_of for `7d` and `30d`, the first 30 days otherwise), camera, peak (three hours), plate (ten)."""
+    from ..plans.lineage import cut
+
+    spark, days = events.sparkSession, {"today": 1, "7d": 7, "30d": 30}.get(period)
+    rows = events.filter(F.to_date("created_at") >= F.date_sub(F.lit(as_of).cast("date"), days - 1)) if days else events
+    located = rows.join(cameras.select("camera_id", "location"), "camera_id", "left")
+    keyed = located.select(
+        F.to_date("created_at").alias("day"), F.hour("created_at").alias("hour"), "camera_id", F.coalesce("source_name", "location", F.lit("CCTV")).alias("camera"), F.nullif("plate_number", F.lit("")).alias("plate"),
+        "object_type", "has_plate", "detection_status", "detection_confidence", "ocr_confidence", "plate_status", "created_at", F.coalesce("location", F.lit("CCTV")).alias("location"),
+    )
+    sets = [[], [F.col("day")], [F.col("hour")], [F.col("camera_id"), F.col("camera")], [F.col("plate")]]
+    counted = keyed.groupingSets(sets, "day", "hour", "camera_id", "camera", "plate").agg(
+        F.grouping_id().alias("g"), F.count("*").alias("total"), _n(VEHICLE, "vehicles"), _n(f"{VEHICLE} and has_plate = 1", "plates"), _n(PERSON, "faces"), *[_n(F.col("detection_status") == s, f"s{s}") for s in (0, 1, 2)],
+        F.avg("detection_confidence").alias("sure"), F.avg("ocr_confidence").alias("read"), F.max("created_at").alias("last"), F.max("plate_status").alias("best"), F.max("location").alias("last_camera"),
+    )
+    found = cut(counted.filter("g <> 30 or plate is not null"))
+    part = {name: found.filter(F.col("g") == g) for name, g in (("all", 31), ("day", 15), ("hour", 23), ("camera", 25), ("plate", 30))}
+    whole = F.broadcast(part["all"].select(F.greatest("total", F.lit(1)).alias("of")))  # one row
+    share = F.round(F.col("total") * 100.0 / F.col("of"), 1)
+    none, dense = F.lit(None), F.coalesce(F.col("total"), F.lit(0))
+
+    def in_percent(mean: str, default: float) -> Column:  # in decimals, so that what lies between two tenths goes up
+        return F.round(F.coalesce(F.col(mean), F.lit(default)).cast("decimal(20,10)") * 100, 1)
+
+    def section(df: DataFrame, name: str, place: Column, label: Column, total: Column | str = "total", counts: bool = True, percent: Column = none, confidence: Column = none, last: Column = none, status: Column = none) -> DataFrame:
+        numbers = [(F.coalesce(F.col(c), F.lit(0)) if counts else none).cast("long").alias(c) for c in ("vehicles", "plates", "faces")]
+        total = F.col(total) if isinstance(total, str) else total
+        return df.select(F.lit(name).alias("section"), place.cast("int").alias("place"), label.alias("label"), total.cast("long").alias("total"), *numbers, percent.cast("double").alias("percent"), confidence.cast("double").alias("confidence"), last.cast("string").alias("last_seen"), status.cast("string").alias("status"))
+
+    def first(df: DataFrame, n: int | None, *order: Column) -> DataFrame:
+        ranked = df.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+        return ranked.filter(F.col("place") <= n) if n else ranked
+
+    read_rate = F.when(F.col("vehicles") > 0, F.round(F.col("plates") * 100.0 / F.col("vehicles"), 1)).otherwise(0.0)
+    kpi = section(part["all"], "kpi", F.lit(1), F.lit("all"), percent=read_rate, confidence=in_percent("sure", 0.85))
+    states = part["all"].select(F.posexplode(F.array(*[F.struct(F.lit(n).alias("n"), F.col(c).alias("c")) for n, c in (("valid", "s1"), ("warning", "s2"), ("failed", "s0"))])).alias("i", "s"))
+    status = section(states, "status", F.col("i") + 1, F.col("s.n"), F.col("s.c"), False)
+    active = availability(cameras)
+    on = section(active, "availability", F.lit(1), F.lit("active"), "active", False, F.coalesce("availability", F.lit(0.0)))
+    if period == "today":
+        slots = spark.range(24).select(F.col("id").cast("int").alias("hour")).join(part["hour"].drop("day"), "hour", "left")
+        trend_ = section(slots, "trend", F.col("hour") + 1, F.concat(F.lpad(F.col("hour").cast("string"), 2, "0"), F.lit(":00")), dense)
+    elif days:
+        slots = spark.range(days).select(F.date_sub(F.lit(as_of).cast("date"), F.lit(days - 1) - F.col("id").cast("int")).alias("day"), (F.col("id") + 1).alias("place")).join(part["day"], "day", "left")
+        trend_ = section(slots, "trend", F.col("place"), F.date_format("day", "dd/MM"), dense)
+    else:
+        trend_ = section(first(part["day"], 30, F.asc("day")), "trend", F.col("place"), F.date_format("day", "dd/MM"))
+    by_camera = section(first(part["camera"], None, F.desc("total"), F.asc("camera_id"), F.asc("camera")).join(whole), "camera", F.col("place"), F.col("camera"), percent=share)
+    hour_label = F.concat(F.lpad(F.col("hour").cast("string"), 2, "0"), F.lit(":00 - "), F.lpad((F.col("hour") + 1).cast("string"), 2, "0"), F.lit(":00 WIB"))
+    peak = section(first(part["hour"], 3, F.desc("total"), F.asc("hour")).join(whole), "peak", F.col("place"), hour_label, counts=False, percent=share)
+    seen = first(part["plate"], 10, F.desc("total"), F.desc("last"), F.asc("plate"))
+    known = F.when(F.col("best") == 1, "Terbaca").when(F.col("best") == 2, "Perlu cek").otherwise("Gagal")
+    plates = section(seen, "plate", F.col("place"), F.col("plate"), counts=False, confidence=in_percent("read", 0.8), last=F.concat_ws(" @ ", F.date_format("last", "yyyy-MM-dd HH:mm"), "last_camera"), status=known)
+    out = kpi
+    for more in (status, on, trend_, by_camera, peak, plates):
+        out = out.unionByName(more)
+    return out

@@ -88,6 +88,40 @@ def busiest_hours(spark, sf):
     return A.busiest_hours(A.hourly(events(spark, sf))).withColumn("share", F.col("share").cast("double"))
 
 
+STATISTICS = """, w as (select * from ev where {where}), n as (select greatest(count(*), 1) as n from w), pl as (select * from plates),
+x as (select w.*, coalesce(w.source_name, c.location, 'CCTV') as camera, coalesce(c.location, 'CCTV') as place_name from w left join cameras c using (camera_id)),
+t as (select {slot} as slot, count(*) as total, count_if(object_type = 'vehicle') as vehicles, count_if(object_type = 'vehicle' and has_plate = 1) as plates, count_if(object_type = 'person') as faces from w group by 1)
+select 'kpi' as section, 1::int as place, 'all' as label, count(*) as total, count_if(object_type = 'vehicle') as vehicles, count_if(object_type = 'vehicle' and has_plate = 1) as plates, count_if(object_type = 'person') as faces,
+coalesce(round(count_if(object_type = 'vehicle' and has_plate = 1) * 100.0::double / nullif(count_if(object_type = 'vehicle'), 0), 1), 0) as percent, round(cast(coalesce(avg(detection_confidence), 0.85) as decimal(20,10)) * 100, 1)::double as confidence, null::varchar as last_seen, null::varchar as status from w
+union all select 'status', v.i::int, v.l, (select count(*) from w where detection_status = v.s), null, null, null, null, null, null, null from (values (1, 'valid', 1), (2, 'warning', 2), (3, 'failed', 0)) v(i, l, s)
+union all select 'availability', 1, 'active', count_if(status = 1), null, null, null, coalesce(round(count_if(status = 1) * 100.0::double / nullif(count(*), 0), 1), 0), null, null, null from cameras
+union all {trend}
+union all select 'camera', cast(row_number() over (order by count(*) desc, camera_id, camera) as int), camera, count(*), count_if(object_type = 'vehicle'), count_if(object_type = 'vehicle' and has_plate = 1), count_if(object_type = 'person'), round(count(*) * 100.0::double / (select n from n), 1), null, null, null from x group by camera_id, camera
+union all select 'peak', cast(rn as int), lpad(cast(h as varchar), 2, '0') || ':00 - ' || lpad(cast(h + 1 as varchar), 2, '0') || ':00 WIB', c, null, null, null, round(c * 100.0::double / (select n from n), 1), null, null, null from (select hour(created_at) as h, count(*) as c, row_number() over (order by count(*) desc, hour(created_at)) as rn from w group by 1) where rn <= 3
+union all select 'plate', cast(rn as int), plate_number, c, null, null, null, null, round(cast(coalesce(r, 0.8) as decimal(20,10)) * 100, 1)::double, l, case b when 1 then 'Terbaca' when 2 then 'Perlu cek' else 'Gagal' end from (select plate_number, count(*) as c, avg(ocr_confidence) as r, strftime(max(created_at), '%Y-%m-%d %H:%M') || ' @ ' || max(place_name) as l, max(plate_status) as b,
+row_number() over (order by count(*) desc, max(created_at) desc, plate_number) as rn from x where plate_number <> '' group by 1) where rn <= 10"""
+STATISTICS_ALL = STATISTICS.format(where="true", slot="cast(created_at as date)", trend="select 'trend', cast(row_number() over (order by slot) as int), strftime(slot, '%d/%m'), total, vehicles, plates, faces, null, null, null, null from t qualify row_number() over (order by slot) <= 30")
+DENSE = "select 'trend', cast(g.i + 1 as int), {label}, coalesce(total, 0), coalesce(vehicles, 0), coalesce(plates, 0), coalesce(faces, 0), null, null, null, null from (select unnest(range({n})) as i) g left join t on t.slot = {slot}"
+STATISTICS_WEEK = STATISTICS.format(where="created_at >= date '2024-01-24'", slot="cast(created_at as date)", trend=DENSE.format(n=7, label="strftime(date '2024-01-24' + cast(g.i as int), '%d/%m')", slot="date '2024-01-24' + cast(g.i as int)"))
+STATISTICS_DAY = STATISTICS.format(where="created_at >= date '2024-01-30'", slot="hour(created_at)", trend=DENSE.format(n=24, label="lpad(cast(g.i as varchar), 2, '0') || ':00'", slot="g.i"))
+
+
+@query("ag11_statistics", STATISTICS_ALL, events=True)
+def statistics_all(spark, sf):
+    """The statistics page of all time, by grouping sets."""
+    return A.statistics(events_with_plates(spark, sf), T.cameras(spark, sf))
+
+
+@query("ag11_statistics_week", STATISTICS_WEEK, events=True)
+def statistics_week(spark, sf):
+    return A.statistics(events_with_plates(spark, sf), T.cameras(spark, sf), "7d", "2024-01-30")
+
+
+@query("ag11_statistics_day", STATISTICS_DAY, events=True)
+def statistics_day(spark, sf):
+    return A.statistics(events_with_plates(spark, sf), T.cameras(spark, sf), "today", "2024-01-30")
+
+
 @query("ag14_dashboard", "select count_if(object_type = 'vehicle') as vehicles, count_if(object_type = 'person') as people, count_if(has_plate = 1) as plates from ev", events=True)
 def dashboard(spark, sf):
     return A.summary(events_with_plates(spark, sf)).select("vehicles", "people", "plates")

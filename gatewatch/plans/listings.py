@@ -21,9 +21,9 @@ def _rows(spark, sf):
     return J.details(T.detections(spark, sf), T.plates(spark, sf), T.cameras(spark, sf))
 
 
-@query("fl01_conditions", ROWS + "select detection_id from rows_ where created_at >= timestamp '2024-01-05' and created_at < timestamp '2024-01-13' and camera_id = 7 and contains(upper(coalesce(location, '')), 'GERM') and direction = 'entry' and object_type = 'vehicle'")
+@query("fl01_conditions", ROWS + "select detection_id from rows_ where created_at >= timestamp '2024-01-02' and created_at < timestamp '2024-01-29' and camera_id = 3 and contains(upper(coalesce(location, '')), '_3 MAS') and direction = 'entry' and object_type = 'vehicle'")
 def conditions(spark, sf):
-    return _rows(spark, sf).filter(L.conditions(date(2024, 1, 5), date(2024, 1, 12), 7, region="germ", direction="entry", object_type="vehicle")).select("detection_id")
+    return _rows(spark, sf).filter(L.conditions(date(2024, 1, 2), date(2024, 1, 28), 3, region="_3 mas", direction="entry", object_type="vehicle")).select("detection_id")
 
 
 @query("fl02_last_week", "select count(*) as n, count(distinct camera_id) as cameras from detections where created_at >= timestamp '2024-01-14' and created_at < timestamp '2024-01-21'")
