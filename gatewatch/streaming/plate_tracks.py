@@ -11,11 +11,10 @@ list states, and event-time timers finish tracks of cameras where nothing comes
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import plate_text
 from ..functions import plates as P
 from .walks import Walk, names_of, walk_batch, walk_stream
 
@@ -31,25 +30,6 @@ FINISHED = (
     "consensus double, quality double, detection_confidence double, valid boolean, stable boolean"
 )
 _TRACK, _READING = names_of(TRACK), names_of(READING)
-_REGIONS = frozenset(P.REGIONS)
-_LETTERS, _DIGITS = str.maketrans(*P.DIGITS_AS_LETTERS), str.maketrans(*P.LETTERS_AS_DIGITS)
-
-
-def valid_text(text: str) -> bool:
-    """plates.is_valid for one text in normal form: votes make texts that no column holds."""
-    if not 2 <= len(text) <= 9 or not re.search("[A-Z]", text) or not re.search("[0-9]", text) or re.match("[0-9]{3}", text):
-        return False
-    if (m := re.fullmatch(P.PLATE[1:-1], text)) and m[1] in _REGIONS and m[2].strip("0"):
-        return True
-    if not (m := re.fullmatch(P.SPLIT[1:-1], text)):
-        return False
-    region, number, series = m.groups()
-    regions = [region] if region in _REGIONS else [r for r in (region.translate(_LETTERS), *(region if len(region) == 2 else "")) if r in _REGIONS]
-    numbers = [n.lstrip("0") for n in (number.translate(_DIGITS), number) if n.isdigit() and n.strip("0")]
-    every = [s for s in (series.translate(_LETTERS), series) if s.isalpha()] if series else [""]
-    made = [c for c in (r + n + s for r in regions for n in numbers for s in every) if re.fullmatch(P.PLATE[1:-1], c)]
-    cost = min((sum(a != b for a, b in zip(text, c)) if len(c) == len(text) else abs(len(c) - len(text)) + 2 for c in made), default=9)
-    return cost <= 2 and cost / len(text) <= 0.40
 
 
 def vote(readings: list[dict]) -> dict | None:
@@ -70,7 +50,7 @@ def vote(readings: list[dict]) -> dict | None:
             chars.append(char)
             shares.append(found[char][0] / total)
         text = "".join(chars)
-        valid = valid_text(text)
+        valid = plate_text.valid(text)
         rank = total * (1.08 if valid else 1.0), valid
         if best is None or rank > best[0]:
             best = rank, text, sum(shares) / len(shares), valid, group
