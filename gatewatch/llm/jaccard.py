@@ -11,7 +11,9 @@ meet by chance. The costs decide about speed alone: no link is lost under any ch
 
 Equal sets are one node from the start. Nodes under one signature are not paired with each other: a hub is compared with all
 of them, those not yet in the class of most become hubs later (HUBS a signature and round), until all nodes that were no hub are
-in one class. Comparisons use all shingles. So any two nodes that share a signature are compared, or in one component already.
+in one class. Under a signature of more than LARGE nodes, those that share too few of their shingles with any other are not met, which
+proves them apart. Comparisons use all shingles. So any two nodes that share a signature are compared, proven apart, or in one
+component already.
 
 Equality of shingles and sets rests on 64-bit and 128-bit hashes, numbers are whole. Defined cases: null and empty texts, and texts of
 separators only, have an empty set and link with nothing; null doc_ids are rows like others and name no component that has another
@@ -36,7 +38,7 @@ from .common import bucketed, discard, materialize, table
 from .neardup import components, look_up
 from .tokens import GOLDEN, kinds, mix, parts, words_of
 
-WORDS, PERCENT, HUBS = 3, 90, 256
+WORDS, PERCENT, HUBS, LARGE, PEELS = 3, 90, 256, 32, 3
 SEPARATORS = kinds(b"\x20\x09\x0a\x0b\x0c\x0d")
 #: Bytes of text that a task works on at once.
 PART = 4 << 20
@@ -193,15 +195,33 @@ def sets_of(texts: DataFrame, width: int = WORDS) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link. b, a hub, may have very many pairs: they are dealt out."""
     own, others = (sets.select(F.col("node").alias(x), F.col("shingles").alias(y)) for x, y in (("a", "x"), ("b", "y")))
-    both = look_up(pairs.join(own, "a"), "b", others, "a")
+    both = look_up(pairs, "b", others, "a").join(own, "a")
     counted = both.select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("common"))
     return counted.filter(F.col("common") * 100 >= percent * (F.col("total") - F.col("common"))).select("a", "b")
 
 
-def connected(buckets: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """node, label of the nodes of buckets (bucket, node, n, size): the label is the same for linked nodes."""
+def linkable(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """bucket, node, n, company, shared: of a node's n shingles `shared` occur in another node of a large bucket, too; all, in small
+    buckets. What two nodes have in common both of them share; a node that shares too little to link with any of its bucket goes,
+    and what only such nodes shared counts no more (PEELS times). So copies with edits of their own are not compared with each other."""
     company = buckets.groupBy("node").agg(F.sum("size").alias("company"))
-    placed = materialize(buckets.join(company, "node").drop("size"), "placed")
+    placed = buckets.join(company, "node")
+    large = placed.filter(F.col("size") > LARGE)
+    alive = large.select("node").distinct()
+    for _ in range(PEELS):
+        spread = sets.join(alive, "node").select("node", F.explode("shingles").alias("h"))
+        common = spread.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
+        shared = spread.join(common, "h").groupBy("node").agg(F.count("*").alias("shared"))
+        # the other one of a link has `least` shingles at least, and percent of this one's
+        other = F.greatest(F.col("least"), F.ceil(percent * F.col("n") / 100))
+        judged = materialize(large.drop("shared").join(shared, "node").filter(F.col("shared") * (100 + percent) >= percent * (F.col("n") + other)), "judged")
+        large, alive = judged, judged.select("node").distinct()
+    return placed.filter(F.col("size") <= LARGE).withColumn("shared", F.col("n")).unionByName(large).drop("size", "least")
+
+
+def connected(buckets: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """node, label of the nodes of buckets (bucket, node, n, size, least): the label is the same for linked nodes."""
+    placed = materialize(linkable(buckets, sets, percent), "placed")
     labels = materialize(placed.select("node", F.col("node").alias("label")).distinct(), "classes")
     tried, first = None, True
     while True:
@@ -218,10 +238,11 @@ def connected(buckets: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Da
         hubs = materialize(hubs, "hubs")
         if hubs.isEmpty():
             return labels
-        about = state.select("bucket", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("label").alias("to"))
-        lists = hubs.join(about.hint("merge"), ["bucket", "b"]).groupBy("bucket").agg(F.collect_list(F.struct("b", "bn", "to")).alias("hubs"))  # HUBS at most
-        fits = lambda h: (h["to"] != F.col("label")) & (100 * F.least(h["bn"], F.col("n")) >= percent * F.greatest(h["bn"], F.col("n")))
-        met = look_up(state.select("bucket", "node", "n", "label"), "bucket", lists, "node")
+        about = state.select("bucket", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("shared").alias("bs"), F.col("label").alias("to"))
+        lists = hubs.join(about.hint("merge"), ["bucket", "b"]).groupBy("bucket").agg(F.collect_list(F.struct("b", "bn", "bs", "to")).alias("hubs"))  # HUBS at most
+        alike = lambda h: (100 * F.least(h["bn"], F.col("n")) >= percent * F.greatest(h["bn"], F.col("n"))) & ((100 + percent) * F.least(h["bs"], F.col("shared")) >= percent * (h["bn"] + F.col("n")))
+        fits = lambda h: (h["to"] != F.col("label")) & alike(h)
+        met = look_up(state.select("bucket", "node", "n", "shared", "label"), "bucket", lists, "node")
         pairs = met.select(F.col("node").alias("a"), F.explode(F.filter("hubs", fits)).alias("h")).select("a", F.col("h.b").alias("b")).distinct()
         links = materialize(verified(pairs, sets, percent), "links")
         if not links.isEmpty():
@@ -243,13 +264,18 @@ def joined(docs: DataFrame, percent: int = PERCENT, width: int = WORDS, cut: Ban
     if cut is None:
         about = F.greatest(F.lit(1), F.round(F.exp(F.floor(F.log(F.octet_length("text") / WORD_BYTES) * 20) / 20))).cast("long")
         cut = bands({r["size"]: r["count"] for r in docs.filter(F.length("text") > 0).groupBy(about.alias("size")).count().collect()}, percent)  # a few hundred rows
-    members = materialize(signed(docs, cut, width), "signed")
+    whole = materialize(signed(docs, cut, width), "signed")
+    members = materialize(whole.drop("signatures"), "members")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("rep")
-    nodes = members.filter("node is not null").groupBy("node").agg(best, F.first("n").alias("n"), F.first("signatures", True).alias("signatures"))
-    nodes = materialize(nodes, "nodes")
-    placed = nodes.select("node", "n", F.explode(F.array_distinct("signatures")).alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    buckets = materialize(placed.join(shared, "bucket"), "buckets")
+    nodes = materialize(members.filter("node is not null").groupBy("node").agg(best, F.first("n").alias("n")), "nodes")
+    # equal sets of different parts come twice here: most signatures go before that is told apart
+    placed = whole.filter("signatures is not null").select("node", F.explode(F.array_distinct("signatures")).alias("bucket"))
+    often = placed.groupBy("bucket").agg(F.count("*").alias("rows")).filter("rows > 1").select("bucket")
+    met = materialize(placed.join(often, "bucket").distinct(), "met")
+    discard(whole)
+    met = met.join(nodes.select("node", "n"), "node")
+    sizes = met.groupBy("bucket").agg(F.count("*").alias("size"), F.min("n").alias("least")).filter("size > 1")
+    buckets = materialize(met.join(sizes, "bucket"), "buckets")
     needed = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.coalesce("rep.doc_id", F.lit(0)).alias("id"), F.col("rep.unnamed").alias("unnamed"), F.col("rep.key").alias("key"))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("unnamed"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
     chosen = texts.join(needed.hint("merge"), ["id", "unnamed", "key"])
