@@ -39,11 +39,49 @@ def well_formed(spark, sf):
     return T.readings(spark, sf).select("reading_id", (r["valid"] & (r["penalty"] == 0)).alias("well_formed"))
 
 
-@query("sf04_candidates")
+#: The correction in steps: what each of the three parts may be, in order, then all combinations by changes, length and order.
+CUT = "'^([A-Z0-9]{1,2})([A-Z0-9]{1,4})([A-Z0-9]{0,3})$'"
+CORRECTION = f""", n as (select reading_id, {NORMAL} as o from readings),
+p as (select o, regexp_extract(o, {CUT}, 1) as a, regexp_extract(o, {CUT}, 2) as b, regexp_extract(o, {CUT}, 3) as s, regexp_extract(o, '^([A-Z]{{1,2}})([0-9]{{1,4}})([A-Z]{{0,3}})$', 1) in {REGION} and regexp_matches(o, '^[A-Z]+0*[1-9]') as known,
+length(o) between 2 and 9 and regexp_matches(o, '[A-Z]') and regexp_matches(o, '[0-9]') and not regexp_matches(o, '^[0-9][0-9][0-9]') as able from (select distinct o from n)),
+ra as (select o, 0 as i, a as r from p where a in {REGION} union all select o, 1, translate(a, '0125689', 'OIZSGBg') from p where a not in {REGION}
+union all select o, 2, substr(a, 1, 1) from p where a not in {REGION} and length(a) = 2 union all select o, 3, substr(a, 2, 1) from p where a not in {REGION} and length(a) = 2),
+rb as (select o, r, min(i) as i from ra where r in {REGION} group by 1, 2),
+ma as (select o, 0 as i, translate(b, 'OQDILJZSGB', '0001112568') as m from p union all select o, 1, b from p),
+mb as (select o, ltrim(m, '0') as m, min(i) as i from ma where regexp_full_match(m, '[0-9]+') and ltrim(m, '0') <> '' group by 1, 2),
+sa as (select o, 0 as i, translate(s, '0125689', 'OIZSGBg') as s from p union all select o, 1, s from p),
+sb as (select o, s, min(i) as i from sa where regexp_full_match(s, '[A-Za-z]*') group by 1, 2),
+c as (select rb.o, rb.r || mb.m || sb.s as c, rb.i as i, mb.i as j, sb.i as k from rb join mb using (o) join sb using (o) where regexp_full_match(rb.r || mb.m || sb.s, '[A-Z]{{1,2}}[0-9]{{1,4}}[A-Z]{{0,3}}')),
+k as (select *, case when length(c) = length(o) then hamming(o, c) else abs(length(o) - length(c)) + 2 end as cost from c),
+best as (select o, list(c order by cost, length(c) desc, i, j, k) as found, min(cost) as cost from k group by o),
+done as (select p.o, case when not able then o when known then regexp_replace(o, '^([A-Z]{{1,2}})0+([1-9])', '\\1\\2') when found is null then o else found[1] end as corrected,
+able and (known or found is not null and cost <= 2 and cost / length(o)::double <= 0.40) as valid, case when able and known then case when regexp_matches(o, '^[A-Z]+0') then 0.1 else 0.0 end when able and found is not null then cost / length(o)::double else 0.0 end as penalty,
+case when not able then '' when known then regexp_replace(o, '^([A-Z]{{1,2}})0+([1-9])', '\\1\\2') else coalesce(array_to_string(found[1:5], ','), '') end as candidates from p left join best using (o))
+"""
+
+
+@query("sf04_candidates", CORRECTION + "select reading_id, corrected, valid, round(penalty, 6) as penalty, candidates from n join done using (o)")
 def candidates(spark, sf):
     return T.readings(spark, sf).select("reading_id", P.correct(F.col("text")).alias("r")).select("reading_id", "r.corrected", "r.valid", F.round("r.penalty", 6).alias("penalty"), F.array_join("r.candidates", ",").alias("candidates"))
 
 
+CONFUSED = "case plate_id % 6 when 0 then translate(plate_number, '01258', 'OIZSB') when 1 then replace(plate_number, 'CD', '0D') when 2 then concat('0', plate_number) when 3 then replace(replace(plate_number, 'D', '0'), 'B', '8') when 4 then concat(plate_number, '5') else concat('Z', plate_number) end"
+
+
+@query("sf05_confused", CORRECTION.replace("from readings)", f"from (select plate_id as reading_id, {CONFUSED} as text from plates))", 1) + "select reading_id, corrected, valid, round(penalty, 6) as penalty, candidates from n join done using (o)")
+def confused(spark, sf):
+    """SF-3 to SF-5 on texts with confused, missing and added characters."""
+    rows = T.plates(spark, sf).selectExpr("plate_id as reading_id", f"{CONFUSED} as text").select("reading_id", P.correct(F.col("text")).alias("r"))
+    return rows.select("reading_id", "r.corrected", "r.valid", F.round("r.penalty", 6).alias("penalty"), F.array_join("r.candidates", ",").alias("candidates"))
+
+
+@query("sf03_penalties", CORRECTION + "select penalty_of, count(*) as n, count_if(valid) as valid from (select round(penalty, 6) as penalty_of, valid from n join done using (o)) group by 1")
+def penalties(spark, sf):
+    """SF-5: readings by what their correction costs."""
+    r = T.readings(spark, sf).select(P.correct(F.col("text")).alias("r")).select(F.round("r.penalty", 6).alias("penalty_of"), "r.valid")
+    return r.groupBy("penalty_of").agg(F.count("*").alias("n"), F.count_if("valid").alias("valid"))
+
+
 @query("sf07_display", PARSED + "select reading_id, case when ok then concat_ws(' ', prefix, num, nullif(suffix, '')) else text end as shown from q")
 def display(spark, sf):
     return T.readings(spark, sf).select("reading_id", P.display(F.col("text")).alias("shown"))
