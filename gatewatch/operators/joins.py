@@ -93,6 +93,30 @@ def resolved_vehicle(plates: DataFrame, *by: DataFrame) -> DataFrame:
     return rows.select("plate_box", F.coalesce(*[F.col(f"v{i}") for i in range(len(by))]).alias("vehicle_box"))
 
 
+def best_plates(vehicles: DataFrame, plates: DataFrame) -> DataFrame:
+    """JN-13: the plate of each vehicle of its camera and frame: vehicle, plate, how (group, track or place), for vehicles that have one.
+
+    A plate that knows its vehicle's group belongs to that group only, one that knows the track to that track only, each if the
+    generations agree where both are known; the others belong to the vehicles that hold their centre. Plates by place count only for
+    a vehicle that has none by group or track. Of a vehicle's plates that are ready the best is taken: stable, valid, by score, by
+    confidence. Three equality joins and one aggregation; no OR in a join.
+
+    vehicles: camera_id, frame, id, vehicle_group, track, generation and box. plates: camera_id, frame, id, vehicle_group, track, generation,
+    box, ready, stable, valid, score, confidence."""
+    v = vehicles.select("camera_id", "frame", F.col("id").alias("vehicle"), *[F.col(c).alias(f"v_{c}") for c in ("vehicle_group", "track", "generation", "x1", "y1", "x2", "y2")])
+    agree = F.coalesce(F.col("generation") == F.col("v_generation"), F.lit(True))
+    named = plates.filter("vehicle_group is not null").join(v.withColumn("vehicle_group", F.col("v_vehicle_group")), ["camera_id", "frame", "vehicle_group"]).filter(agree)
+    tracked = plates.filter("vehicle_group is null and track is not null").join(v.withColumn("track", F.col("v_track")), ["camera_id", "frame", "track"]).filter(agree)
+    x, y = G.center(G.box())
+    placed = plates.filter("vehicle_group is null and track is null").join(v, ["camera_id", "frame"]).filter(G.contains(G.box("v_"), x, y))
+    rank = F.struct("stable", "valid", "score", "confidence", (-F.col("id")).alias("first"))
+    found = reduce(DataFrame.unionByName, (df.select("vehicle", "id", "ready", rank.alias("rank"), F.lit(how).alias("how")) for df, how in ((named, "group"), (tracked, "track"), (placed, "place"))))
+    near = F.col("how") != "place"
+    best = lambda those: F.max_by(F.when(F.col("ready") & those, F.struct(F.col("id").alias("plate"), "how")), F.when(F.col("ready") & those, F.col("rank")))
+    chosen = found.groupBy("vehicle").agg(F.max(near).alias("known"), best(near).alias("a"), best(~near).alias("b"))
+    return chosen.select("vehicle", F.when(F.col("known"), F.col("a")).otherwise(F.col("b")).alias("c")).filter("c is not null").select("vehicle", "c.*")
+
+
 def not_overlapping(boxes: DataFrame, others: DataFrame, share: float = 0.25) -> DataFrame:
     """Boxes that no other box of the frame covers by `share` or more."""
     hit = _pairs(boxes, others).filter(G.coverage(G.box("a_"), G.box("b_")) >= share).select(F.col("a_box_id").alias("box_id")).distinct()

@@ -108,6 +108,25 @@ def resolved_vehicle(spark, sf):
     return J.resolved_vehicle(plates, by_track, J.containing_vehicle(plates, vehicles), J.overlapping_vehicle(plates, vehicles))
 
 
+#: Two vehicles and a plate of three events, 24 events a frame; a plate is ready unless its reading is poor.
+VEHICLE_ROWS = "select id // 24 as frame, camera_id % 2 as camera_id, id, person_group as vehicle_group, case when track >= 0 then track end as track, id % 2 + 1 as generation, x1, y1, x2 + 120 as x2, y2 + 80 as y2 from sightings where id % 3 <> 0"
+PLATE_ROWS = "select id // 24 as frame, camera_id % 2 as camera_id, id, vehicle_group, vehicle as track, generation, x1, y1, x2, y2, ocr >= 0.3 as ready, id % 2 = 0 as stable, id % 5 > 0 as valid, 0.45 * ocr + 0.25 * quality as score, confidence from plate_boxes where id % 3 = 0"
+
+
+@query("jn13_best_plates", f""", v as ({VEHICLE_ROWS}), p as ({PLATE_ROWS}),
+m as (select v.id as vehicle, p.*, case when p.vehicle_group is not null then 'group' when p.track is not null then 'track' else 'place' end as how from v join p on v.camera_id = p.camera_id and v.frame = p.frame and
+case when p.vehicle_group is not null then p.vehicle_group = v.vehicle_group and coalesce(p.generation = v.generation, true) when p.track is not null then p.track = v.track and coalesce(p.generation = v.generation, true)
+else (p.x1 + p.x2) / 2 between v.x1 and v.x2 and (p.y1 + p.y2) / 2 between v.y1 and v.y2 end),
+k as (select *, bool_or(how <> 'place') over (partition by vehicle) as known from m),
+r as (select *, row_number() over (partition by vehicle order by stable desc, valid desc, score desc, confidence desc, id) as rn from k where ready and (how <> 'place') = known)
+select vehicle, id as plate, how from r where rn = 1""")
+def best_plates(spark, sf):
+    """JN-13 by group, track with generation, and place."""
+    floor = lambda sql: sql.replace("id // 24", "cast(floor(id / 24) as bigint)")
+    rows = lambda sql, name, df: df.filter(sql.partition(" where ")[2]).selectExpr(*[x.strip() for x in floor(sql).removeprefix("select ").partition(f" from {name}")[0].split(", ")])
+    return J.best_plates(rows(VEHICLE_ROWS, "sightings", T.sightings(spark, sf)), rows(PLATE_ROWS, "plate_boxes", T.plate_boxes(spark, sf)))
+
+
 @query("jn14_drivers", f""", p as (select a.frame, a.box_id as a, b.box_id as b, row_number() over (partition by a.frame order by a.box_id, b.box_id) as rn from boxes a join boxes b using (frame)
 where a.kind = 'plate' and b.kind = 'vehicle' and ({BOTH} / {OWN} >= 0.20 or (a.x1 + a.x2) / 2 between b.x1 and b.x2 and (a.y1 + a.y2) / 2 between b.y1 and b.y2)){GREEDY} select a as person, b as vehicle from g where took""")
 def drivers(spark, sf):

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..operators import merge
 from ..sources import tables as T
-from ..streaming import folds, identities, persons, schedule, streams
+from ..streaming import folds, identities, jobs, persons, requeue, schedule, streams
 from ..streaming import plate_tracks as PT
 from ..streaming import trackers as K
+from .lineage import shared_folder
 from .shared import stamp
 
 AT = "cast(unix_micros(created_at) as double) / 1000000D as at"
@@ -254,3 +257,43 @@ def fair_schedule(spark, sf):
 def stream_fair_schedule(spark, sf):
     with folds.rocksdb(spark):
         return folds.run_available(schedule.served_stream(streams.detections(spark, sf).selectExpr("camera_id", "detection_id as id", AT, "created_at"), **SCHEDULE), "schedule")
+
+
+@query("sc13_job", "select 'finished' as status, count(*) as rows, count_if(object_type = 'vehicle') as vehicles, count(distinct camera_id) as cameras from detections")
+def job(spark, sf):
+    """SC-13 and AG-22: the events as a job; its status, the metrics observed in its micro-batches, and what its result holds."""
+    known = jobs.Jobs(spark, f"{shared_folder(spark)}/jobs-{uuid.uuid4().hex[:12]}")
+    try:
+        name = known.submit(f"{sf}/events.parquet", lambda _: streams.detections(spark, sf), rows=F.count("*"), vehicles=F.count_if(F.col("object_type") == "vehicle"))
+        known.wait(name)
+        seen = [p.observedMetrics["job"] for p in known.query(name).recentProgress if "job" in p.observedMetrics]
+        cameras = known.result(name).agg(F.count_distinct("camera_id").alias("cameras"))
+        return cameras.select(F.lit(known.status(name)).alias("status"), *[F.lit(sum(m[n] for m in seen)).cast("long").alias(n) for n in ("rows", "vehicles")], "cameras")
+    finally:
+        known.close()
+
+
+#: What reading vehicles without a plate again gives, in two batches.
+AGAIN = "detection_id, detection_id % 3 as seq, case detection_id % 5 when 0 then 'B 1234 CD' when 1 then 'D77X' when 2 then 'OO' end as text, detection_confidence as ocr, detection_id % 7 = 0 as cached, cast(detection_id % 1000 as double) as age"
+
+AGAIN_COLUMNS = AGAIN.split(", ")
+
+
+@query("ss19_read_again", f""", q as (select detection_id, camera_id, event_key, cast(detection_id % 3 as int) as retries from detections where has_plate = 0 and object_type = 'vehicle'),
+a as (select {AGAIN}, case when detection_id % 2 = 0 then 0 else 1 end as batch from detections where has_plate = 0 and object_type = 'vehicle' and detection_id % 11 > 0),
+r as (select *, replace(text, ' ', '') as plate, text in ('B 1234 CD', 'D77X') as valid from a), k as (select * from r where case when cached then valid and age <= 600 else valid or ocr >= 0.45 and length(plate) >= 2 end)
+select detection_id, case when k.plate is not null then 'read' when q.retries + (a.detection_id is not null)::int < 3 then 'waiting' else 'given up' end as status, case when k.plate is null then q.retries + (a.detection_id is not null)::int else q.retries end::int as retries, k.plate
+from q left join a using (detection_id) left join (select detection_id, plate from k) k using (detection_id)""")
+def read_again(spark, sf):
+    """SS-19: vehicles without a plate read again in two batches, the first of which comes twice."""
+    rows = T.detections(spark, sf).filter("has_plate = 0 and object_type = 'vehicle'")
+    first = rows.selectExpr("detection_id", "camera_id", "event_key", "cast(detection_id % 3 as int) as retries")
+    queue = requeue.Queue(spark, f"{shared_folder(spark)}/queue-{uuid.uuid4().hex[:12]}")
+    queue.start(first)
+    again = rows.filter("detection_id % 11 > 0")
+    results = [again.filter(f"detection_id % 2 {sign} 0").selectExpr(*AGAIN_COLUMNS) for sign in ("=", "<>")]
+    for batch, n in ((results[0], 0), (results[0], 0), (results[1], 1)):
+        queue.apply(batch, n)
+    found = queue.latest().selectExpr("detection_id", "'waiting' as status", "retries", "cast(null as string) as plate").unionByName(queue.read().selectExpr("detection_id", "'read' as status", "retries", "plate"))
+    gone = first.join(found, "detection_id", "left_anti").selectExpr("detection_id", "'given up' as status", "cast(3 as int) as retries", "cast(null as string) as plate")
+    return found.unionByName(gone)

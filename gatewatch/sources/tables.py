@@ -73,7 +73,9 @@ detections as (select {_columns(DETECTIONS)} from e),
 plates as (select {_columns(PLATES)} from e where k % 4 <> 3 and event_type <> 'error'),
 cameras as (select {_columns(CAMERAS)} from nation),
 boxes as (select {_columns(BOXES)} from e),
-readings as (select {_columns(READINGS)} from plates)"""
+readings as (select {_columns(READINGS)} from plates),
+plate_boxes as (select {_columns(PLATE_BOXES)} from e),
+sightings as (select {_columns(SIGHTINGS)} from e)"""
 
 
 def _select(df: DataFrame, spec: dict[str, str]) -> DataFrame:

@@ -153,3 +153,12 @@ def test_reports_are_written(spark, tmp_path):
     for kind in ("csv", "json", "parquet"):
         reports.write(reports.cameras(table), f"{tmp_path}/{kind}", kind)
     assert spark.read.option("header", True).csv(f"{tmp_path}/csv").first()["status"] == "Aktif"
+
+
+def test_best_plates_by_tier(spark):
+    """A plate by group beats one by place; where the plates by group are not ready the vehicle has none; generations must agree."""
+    v = [(1, 1, 10, 7, None, 1, 0.0, 0.0, 9.0, 9.0), (1, 1, 11, 8, 3, 2, 0.0, 0.0, 9.0, 9.0), (1, 1, 12, None, 4, None, 50.0, 0.0, 59.0, 9.0), (1, 1, 13, None, None, None, 0.0, 0.0, 9.0, 9.0), (1, 2, 14, 7, 4, 1, 0.0, 0.0, 9.0, 9.0)]
+    p = [(1, 1, 20, 7, None, None, False, 0.9), (1, 1, 21, 7, None, 2, True, 0.9), (1, 1, 22, None, 3, 2, True, 0.1), (1, 1, 23, None, 4, 5, True, 0.2), (1, 1, 24, None, 4, None, True, 0.1), (1, 1, 25, None, None, None, True, 0.9), (1, 1, 26, None, None, None, False, 1.0)]
+    vehicles = spark.createDataFrame(v, "camera_id long, frame long, id long, vehicle_group long, track long, generation long, x1 double, y1 double, x2 double, y2 double")
+    plates = spark.createDataFrame([(c, f, i, g, t, n, 1.0, 1.0, 3.0, 2.0, ready, False, True, s, 0.5) for c, f, i, g, t, n, ready, s in p], "camera_id long, frame long, id long, vehicle_group long, track long, generation long, x1 double, y1 double, x2 double, y2 double, ready boolean, stable boolean, valid boolean, score double, confidence double")
+    assert sorted(tuple(r) for r in joins.best_plates(vehicles, plates).collect()) == [(11, 22, "track"), (12, 23, "track"), (13, 25, "place")]
