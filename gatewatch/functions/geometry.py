@@ -177,6 +177,27 @@ def hamming(a: Column, b: Column) -> Column:
     return F.when(F.coalesce(good, F.lit(False)), F.bit_count(number(a).bitwiseXOR(number(b)))).otherwise(999)
 
 
+def pixel_quality(width: Column, height: Column, sharpness: Column, contrast: Column) -> Column:
+    """Quality of a crop by its size in pixels, the variance of its Laplacian and its spread of grey levels; 0 for a tiny or missing one."""
+    aspect = width / F.greatest(height, F.lit(1.0))
+    quality = crop_quality(sharpness / 180, width * height / (192 * 64), contrast / 40, F.when(aspect.between(1.8, 4.8), 1.0).otherwise(0.75))
+    return F.when((height >= 6) & (width >= 12), quality).otherwise(0.0)
+
+
+def reread_quality(width: Column, height: Column, sharpness: Column) -> Column:
+    """Quality of a crop that is read again later: size first, then focus; 0.5 where it isn't known."""
+    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    return F.coalesce(unit(0.55 * unit(width * height / (192 * 64)) + 0.45 * unit(sharpness / 150)), F.lit(0.5))
+
+
+def focus_score(b: Box, confidence: Column, vehicle: Column, width: float, height: float, focus: tuple[float, float]) -> Column:
+    """How much a box deserves the focus: confidence, size against 12 % of the frame, nearness to the focus, and a bonus for vehicles."""
+    x, y = center(b)
+    size = F.least(F.lit(1.0), area(b) / (width * height) / 0.12)
+    near = F.greatest(F.lit(0.0), 1.0 - distance(x, y, F.lit(focus[0]), F.lit(focus[1])) / (width**2 + height**2) ** 0.5)
+    return F.coalesce(confidence, F.lit(0.0)) * 0.40 + size * 0.35 + near * 0.17 + F.when(vehicle, 0.08).otherwise(0.0)
+
+
 def crop_quality(focus: Column, resolution: Column, contrast: Column, aspect: Column) -> Column:
     """Weighted quality of a crop from scores between 0 and 1."""
     unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c, F.lit(0.0))))

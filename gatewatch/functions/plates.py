@@ -109,6 +109,11 @@ def canonical(text: Column) -> Column:
     return let(correct(text), lambda r: F.when(r["valid"], r["corrected"]).otherwise(r["original"]))
 
 
+def looks_like_plate(text: Column) -> Column:
+    """Whether a text has the shape of a plate, of 3 to 9 characters, whatever its region."""
+    return let(normalize(text), lambda t: F.length(t).between(3, 9) & t.rlike(PLATE))
+
+
 def display(text: Column) -> Column:
     """Region, number and series with spaces between; other texts as they are."""
     groups = [F.regexp_extract(normalize(text), PLATE, i) for i in (1, 2, 3)]

@@ -39,6 +39,17 @@ def lighting(brightness: Column, contrast: Column, dark: Column, glare: Column)
     return F.struct(F.coalesce(score, F.lit(0.0)).alias("score"), status.alias("status"))
 
 
+def focused_lighting(brightness: Column, contrast: Column, dark: Column, bright: Column) -> Column:
+    """struct<score,status> of a video's region in focus; dark and bright are the shares of pixels under 35 and over 242."""
+    level = F.when(brightness < 65, 35.0 * brightness / 65).when(brightness <= 175, 100.0).when(brightness <= 205, 100.0 - (brightness - 175) / 30 * 35).otherwise(F.greatest(F.lit(15.0), 65.0 - (brightness - 205) / 50 * 50))
+    spread = F.least(F.lit(100.0), F.greatest(F.lit(0.0), contrast / 55 * 100))
+    score = level * 0.55 + spread * 0.30 + (100 - F.least(F.lit(45.0), bright * 180)) * 0.10 + (100 - F.least(F.lit(35.0), dark * 70)) * 0.05
+    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))
+    status = F.when(brightness.isNull(), "NO ROI").when((brightness < 45) | (dark > 0.45), "TOO DARK").when((brightness < 65) | (contrast < 24), "LOW LIGHT").when((bright > 0.10) | (brightness > 205), "OVEREXPOSED")
+    status = status.when(bright > 0.05, "GLARE").when(score >= 80, "GOOD").when(score >= 60, "FAIR").otherwise("POOR")
+    return F.struct(F.coalesce(score, F.lit(0.0)).alias("score"), status.alias("status"))
+
+
 def camera_status(status: Column) -> Column:
     return F.when(status == 1, "Aktif").otherwise("Nonaktif")
 

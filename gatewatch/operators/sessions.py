@@ -24,8 +24,9 @@ def sessions(rows: DataFrame, key: str, gap_seconds: float) -> DataFrame:
 
 def vehicle_recurrence(detections: DataFrame, plates: DataFrame, gap_seconds: float = 90.0, at_least: int = 2, history: int = 20) -> DataFrame:
     """Vehicles by valid plate that came back: sessions, detections, status, last seen and the newest sessions."""
-    joined = detections.filter("object_type = 'vehicle'").join(plates.select("plate_id", "plate_number"), "plate_id")
-    known = joined.withColumn("plate", F.when(P.is_vehicle_plate(F.col("plate_number")), P.canonical(F.col("plate_number")))).filter("plate is not null")
+    numbers = plates.select("plate_number").distinct()  # each is corrected once
+    numbers = numbers.withColumn("plate", F.when(P.is_vehicle_plate(F.col("plate_number")), P.canonical(F.col("plate_number")))).filter("plate is not null")
+    known = detections.filter("object_type = 'vehicle'").join(plates.select("plate_id", "plate_number").join(numbers, "plate_number"), "plate_id")
     by_session = sessions(known, "plate", gap_seconds)
     kind = F.coalesce(F.max_by(F.when(F.col("vehicle_type") != "unknown", F.col("vehicle_type")), F.when(F.col("vehicle_type") != "unknown", F.struct("created_at", "detection_id"))), F.lit("unknown"))
     facts = known.groupBy("plate").agg(F.count("*").alias("detection_count"), kind.alias("vehicle_type"))
@@ -36,6 +37,11 @@ def vehicle_recurrence(detections: DataFrame, plates: DataFrame, gap_seconds: fl
     return ranked.filter(F.col("occurrence_count") >= at_least).join(facts, "plate").withColumn("status", P.vehicle_recurrence(F.col("occurrence_count"), F.lit(True)))
 
 
+def most_recurrent(vehicles: DataFrame, limit: int = 50) -> DataFrame:
+    """The first `limit` vehicles, 1 to 200, by how often they came, then by when they came last."""
+    return vehicles.orderBy(F.desc("occurrence_count"), F.desc_nulls_last("last_seen"), "plate").limit(max(1, min(limit, 200)))
+
+
 def person_recurrence(detections: DataFrame) -> DataFrame:
     """People by camera and identity: rows and last seen."""
     people = detections.filter("object_type = 'person'").withColumn("identity", P.person_identity(F.col("event_key"), F.col("track_id"))).filter("identity is not null")

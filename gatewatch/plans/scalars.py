@@ -178,6 +178,44 @@ def crop_quality(spark, sf):
     return T.plates(spark, sf).select("plate_id", F.round(G.crop_quality(F.col("ocr_confidence"), F.col("plate_crop_quality"), F.lit(0.5), F.lit(2.0)), 6).alias("quality"))
 
 
+#: Sizes and pixel statistics of crops, made of the readings' numbers.
+CROPS = ["plate_id", "cast(plate_id % 300 as double) as w", "cast(plate_id % 97 as double) as h", "ocr_confidence * 220 as sharp", "plate_crop_quality * 60 as spread"]
+UNIT = "greatest(0::double, least(1::double, {}))"
+
+
+@query("sf28_pixel_quality", f""", k as (select {", ".join(CROPS)} from plates)
+select plate_id, round(case when h >= 6 and w >= 12 then 0.45::double * {UNIT.format("sharp / 180")} + 0.30::double * {UNIT.format("w * h / 12288")} + 0.15::double * {UNIT.format("spread / 40")} + 0.10::double * case when w / greatest(h, 1) between 1.8 and 4.8 then 1 else 0.75::double end else 0 end, 9) as quality,
+round(0.55::double * {UNIT.format("w * h / 12288")} + 0.45::double * {UNIT.format("sharp / 150")}, 9) as reread from k""")
+def pixel_quality(spark, sf):
+    """SF-28: crops by their pixels, in both variants."""
+    k = T.plates(spark, sf).selectExpr(*CROPS)
+    w, h, sharp = F.col("w"), F.col("h"), F.col("sharp")
+    return k.select("plate_id", F.round(G.pixel_quality(w, h, sharp, F.col("spread")), 9).alias("quality"), F.round(G.reread_quality(w, h, sharp), 9).alias("reread"))
+
+
+@query("sf29_focused", """, m as (select event_id, c * 0.255::double as b, cast((c * 7) % 80 as double) as s, (c % 13) / 20.0::double as d, case when c % 11 = 0 then 0.3::double else (c % 10) / 100.0::double end as g from e),
+v as (select *, least(100::double, greatest(0::double, 0.55::double * case when b < 65 then 35 * b / 65 when b <= 175 then 100 when b <= 205 then 100 - (b - 175) / 30 * 35 else greatest(15, 65 - (b - 205) / 50 * 50) end + 0.30::double * least(100, s / 55 * 100) + 0.10::double * (100 - least(45, g * 180)) + 0.05::double * (100 - least(35, d * 70)))) as score from m)
+select event_id as detection_id, round(score, 9) as score, case when b < 45 or d > 0.45 then 'TOO DARK' when b < 65 or s < 24 then 'LOW LIGHT' when g > 0.10 or b > 205 then 'OVEREXPOSED' when g > 0.05 then 'GLARE' when score >= 80 then 'GOOD' when score >= 60 then 'FAIR' else 'POOR' end as status from v""")
+def focused(spark, sf):
+    """SF-29: the lighting of a video's focus."""
+    c = F.round(F.col("detection_confidence") * 1000).cast("int")
+    glare = F.when(c % 11 == 0, 0.3).otherwise((c % 10) / 100.0)
+    found = X.focused_lighting(c * 0.255, ((c * 7) % 80).cast("double"), (c % 13) / 20.0, glare)
+    return T.detections(spark, sf).select("detection_id", found.alias("l")).select("detection_id", F.round("l.score", 9).alias("score"), "l.status")
+
+
+@query("sf29_focus_score", "select box_id, round(confidence * 0.40::double + least(1::double, (x2 - x1) * (y2 - y1) / 400000 / 0.12::double) * 0.35::double + greatest(0::double, 1 - sqrt(power((x1 + x2) / 2 - 400, 2) + power((y1 + y2) / 2 - 300, 2)) / sqrt(890000::double)) * 0.17::double + case when kind = 'vehicle' then 0.08::double else 0 end, 9) as score from boxes")
+def focus_score(spark, sf):
+    """SF-29: which box of a frame of 800 by 500 deserves the focus at (400, 300)."""
+    return T.boxes(spark, sf).select("box_id", F.round(G.focus_score(G.box(), F.col("confidence"), F.col("kind") == "vehicle", 800.0, 500.0, (400.0, 300.0)), 9).alias("score"))
+
+
+@query("sf20_shapes", f", n as (select reading_id, {NORMAL} as t from readings) select reading_id, t as normal, length(t) between 3 and 9 and regexp_full_match(t, '[A-Z]{{1,2}}[0-9]{{1,4}}[A-Z]{{0,3}}') as shaped from n")
+def shapes(spark, sf):
+    """SF-20: the validator without regions."""
+    return T.readings(spark, sf).select("reading_id", P.normalize(F.col("text")).alias("normal"), P.looks_like_plate(F.col("text")).alias("shaped"))
+
+
 @query("sf30_event_score", "select plate_id, round(0.45 * ocr_confidence + 0.30 * ocr_confidence + 0.25 * plate_crop_quality, 6) as score from plates")
 def event_score(spark, sf):
     return T.plates(spark, sf).select("plate_id", F.round(G.event_score(F.col("ocr_confidence"), F.col("ocr_confidence"), F.col("plate_crop_quality")), 6).alias("score"))

@@ -51,6 +51,13 @@ def vehicle_recurrence(spark, sf):
     return found.select("plate", "occurrence_count", "detection_count", "status", stamp("last_seen"))
 
 
+@query("sl04_most_recurrent", SESSIONS + "select plate, count(distinct session) as occurrence_count, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') as last_seen from s group by plate having count(distinct session) >= 2 order by occurrence_count desc, max(created_at) desc, plate limit 200")
+def most_recurrent(spark, sf):
+    """SL-4: the 200 vehicles that came most often."""
+    found = sessions.most_recurrent(sessions.vehicle_recurrence(T.detections(spark, sf), T.plates(spark, sf), GAP), 1000)
+    return found.select("plate", "occurrence_count", stamp("last_seen"))
+
+
 @query("wn08_recurrence_history", SESSIONS + """, q as (select plate, session, min(camera_id) as cam from s group by 1, 2), f as (select plate, count(*) as n, arg_max(cam, session) as last_camera from q group by 1 having count(*) >= 2),
 t as (select plate_number as plate, coalesce(arg_max(vehicle_type, row(d.created_at, d.detection_id)) filter (where vehicle_type <> 'unknown'), 'unknown') as vehicle_type from detections d join plates p using (plate_id) where object_type = 'vehicle' group by 1)
 select plate, vehicle_type, last_camera, cast(least(20, n) as int) as n_history from f join t using (plate)""")
