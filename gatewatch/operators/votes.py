@@ -26,8 +26,8 @@ def votes(readings: DataFrame, key: str = "track_id") -> DataFrame:
     totals = rows.groupBy(key).agg(F.count("*").alias("total"))
     same = F.size(F.filter(F.zip_with(F.split("text", ""), F.split("vote", ""), lambda a, b: a == b), lambda x: x)) / F.col("n")
     joined = rows.join(chosen, [key, "n"]).withColumn("agree", same).withColumn("supports", F.col("agree") >= 0.75)
-    any_support = F.max("supports").over(Window.partitionBy(key))
-    joined = joined.withColumn("supports", F.when(any_support, F.col("supports")).otherwise(True)).withColumn("agree", F.when(any_support, F.col("agree")).otherwise(1.0))
+    joined = joined.withColumn("backed", F.max("supports").over(Window.partitionBy(key)))  # else all count as they are
+    joined = joined.withColumns({"supports": F.col("supports") | ~F.col("backed"), "agree": F.when(F.col("backed"), F.col("agree")).otherwise(1.0)})
     used = F.col("supports")
     surest = F.struct("agree", (0.55 * F.col("crop_quality") + 0.45 * F.col("confidence")).alias("s"), (-F.col("reading_id")).alias("i"))
     found = joined.groupBy(key).agg(

@@ -8,6 +8,7 @@ from ..catalog import query
 from ..operators import analytics as A
 from ..operators import votes
 from ..sources import tables as T
+from .scalars import VOTED
 from .shared import events, events_with_plates, stamp
 
 COUNTS = """count_if(object_type = 'vehicle') as vehicles, count_if(object_type = 'vehicle' and direction = 'entry') as vehicle_entry, count_if(object_type = 'vehicle' and direction = 'exit') as vehicle_exit,
@@ -176,7 +177,7 @@ def plate_votes(spark, sf):
     return votes.votes(readings).select("track_id", "text", "valid", F.round("consensus", 6).alias("consensus"), "total", "reads", "exact")
 
 
-@query("ag20_stable_votes")
+@query("ag20_stable_votes", VOTED + "select track_id, text, round(confidence, 6) as confidence, total >= 2 and stable as stable from stable")
 def stable_votes(spark, sf):
     """Votes over noisy readings; a single reading is never stable."""
     v = votes.votes(T.readings(spark, sf))

@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..operators import joins as J
 from ..operators import listing as L
 from ..sources import tables as T
+from .scalars import VOTED
 from .shared import events, stamp
 
 JOINED = "select d.*, c.location, p.plate_number, p.ocr_confidence, p.plate_crop_quality, coalesce(d.source_name, c.location, 'CCTV') as camera_name from detections d left join plates p using (plate_id) left join cameras c on d.camera_id = c.camera_id"
@@ -130,7 +131,7 @@ def ocr_gate(spark, sf):
     return L.admitted(T.boxes(spark, sf).filter("kind = 'plate'"), 30, 10, 0.0, 1e9, 0.22).select("box_id")
 
 
-@query("fl25_event_gate")
+@query("fl25_event_gate", VOTED + "select track_id, text from stable where valid and stable and total >= 2 and confidence >= 0.45")
 def event_gate(spark, sf):
     """Votes that may become events: valid, stable, two readings and a confidence of 0.45."""
     from ..operators.votes import votes

@@ -60,6 +60,21 @@ case when not able then '' when known then regexp_replace(o, '^([A-Z]{{1,2}})0+(
 """
 
 
+#: Votes over readings as they are: positions, lengths, then the support of the chosen text; `done` holds each vote's correction.
+VOTED = f""", vr as (select track_id, reading_id, text, confidence, coalesce(crop_quality, 0.5) as crop_quality, greatest(0.05, confidence) * (0.5 + 0.5 * coalesce(crop_quality, 0.5)) as w, length(text) as n from readings where text <> ''),
+ch as (select track_id, n, i as pos, substr(text, cast(i as int), 1) as c, sum(w) as cw, max(confidence) as cc, min(reading_id) as f from (select *, unnest(range(1, n + 1)) as i from vr) group by all),
+win as (select track_id, n, pos, arg_max(c, row(round(cw, 12), cc, -f)) as c, arg_max(cw, row(round(cw, 12), cc, -f)) as won, sum(cw) as tot from ch group by all),
+made as (select track_id, n, string_agg(c, '' order by pos) as vote, avg(won / tot) as consensus, max(tot) as gw from win group by all)""" + CORRECTION.replace("from readings)", "from (select distinct 0 as reading_id, vote as text from made))", 1) + f""",
+judged as (select m.*, d.valid, d.corrected, d.penalty from made m join done d on d.o = {NORMAL.replace("text", "m.vote")}),
+pick as (select * from judged qualify row_number() over (partition by track_id order by round(gw * case when valid then 1.08 else 1.0 end, 12) desc, valid desc, n) = 1),
+ag as (select vr.*, p.vote, p.consensus, p.valid, p.corrected, p.penalty, 1 - hamming(vr.text, p.vote) / vr.n::double as agree from vr join pick p on p.track_id = vr.track_id and p.n = vr.n),
+su as (select *, max(agree >= 0.75) over (partition by track_id) as backed from ag),
+voted as (select track_id, any_value(vote) as text, any_value(consensus) as consensus, any_value(valid) as valid, any_value(corrected) as corrected, any_value(penalty) as penalty, count(*) as reads, count_if(text = vote) as exact,
+sum(case when backed and agree >= 0.75 then confidence * w * agree when not backed then confidence * w end) / sum(case when not backed or agree >= 0.75 then w end) * any_value(consensus) as confidence from su group by track_id),
+stable as (select v.*, (select count(*) from vr where vr.track_id = v.track_id) as total, valid and reads >= 2 and consensus >= 0.70 and confidence >= 0.65 and (exact >= 2 or consensus >= 0.85) as stable from voted v)
+"""
+
+
 @query("sf04_candidates", CORRECTION + "select reading_id, corrected, valid, round(penalty, 6) as penalty, candidates from n join done using (o)")
 def candidates(spark, sf):
     return T.readings(spark, sf).select("reading_id", P.correct(F.col("text")).alias("r")).select("reading_id", "r.corrected", "r.valid", F.round("r.penalty", 6).alias("penalty"), F.array_join("r.candidates", ",").alias("candidates"))
@@ -292,7 +307,7 @@ def flattened(spark, sf):
     return items.filter("item.text is not null").groupBy("camera_id").agg(F.count("*").alias("n"))
 
 
-@query("sf40_track_results")
+@query("sf40_track_results", VOTED + f"""select track_id, case when valid then corrected else text end as text, round(confidence * (1 - 0.5 * penalty), 6) as confidence, case when regexp_matches({NORMAL}, '^[A-Z]+0*[1-9]') and regexp_extract({NORMAL}, '^([A-Z]{{1,2}})([0-9]{{1,4}})([A-Z]{{0,3}})$', 1) in {REGION} then trim(regexp_replace({NORMAL}, '^([A-Z]{{1,2}})([0-9]{{1,4}})([A-Z]{{0,3}})$', '\\1 \\2 \\3')) else text end as shown from stable""")
 def track_results(spark, sf):
     """Votes as result rows: corrected text, confidence scaled by the correction's cost, display form."""
     from ..operators.votes import votes
