@@ -1,8 +1,8 @@
 """Phrase collocation mining: minimal perfect hashes over Apriori-safe candidates, counts by slot.
 
 A phrase of k words is a pair: the slot of its first k - 1 words and the slot of its last k - 1, so that only phrases whose parts are
-frequent are ever looked at (Apriori), whatever their length. On each level a sieve finds the candidates: the pairs that occur, with their
-counts by part of the texts added up, less those under LEAST. The candidates are dealt into blocks by a hash; each block gets a
+frequent are ever looked at (Apriori), whatever their length. On each level a sieve finds the candidates: pairs whose hash occurs LEAST times, and
+of these the pairs that do so themselves. The candidates are dealt into blocks by a hash; each block gets a
 minimal perfect hash and keeps its keys in the order of the slots. Mappers look every pair up, compare the stored key, and count
 slots with bincount; their arrays are added up in a tree, block by block. Slots also replace the pairs in the texts, which makes the
 next level's input. All counts that a result needs (parts, cuts, longer phrases) are read by slot.
@@ -42,7 +42,10 @@ SEPARATORS = kinds(b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d")
 #: Candidates of a block, slot numbers set aside for one, and blocks that a mapper holds.
 BLOCK, STRIDE, KEEP = 1 << 18, 1 << 20, 64
 #: Bytes of text that a mapper works on at once, parts whose arrays one addition takes, and ways a language's ranking is dealt out.
-PART, FAN, SALTS = 8 << 20, 16, 64
+PART, FAN, SALTS = 4 << 20, 16, 64
+#: Slots of a row of a sequence; hashes of pairs have 32 bits and are counted in ranges of 2^SHIFT.
+RUN, SHIFT = 1 << 17, 23
+RANGES = 1 << 32 - SHIFT
 
 Batches = Iterator[pa.RecordBatch]
 SEQUENCES = "block long, part long, data binary"
@@ -97,6 +100,8 @@ class Blocks:
             return None
         found = ds.dataset(folder, filesystem=store, format="parquet").to_table().to_pylist()[0]
         out = {k: np.frombuffer(found[k], np.int64) for k in ("a", "b", "counts") if found.get(k) is not None}
+        if "hot" in found:
+            out["hot"] = np.frombuffer(found["hot"], np.uint32)
         if "bits" in found:
             out["hash"] = PerfectHash(np.frombuffer(found["sizes"], np.int64), np.frombuffer(found["bits"], np.uint64))
             out["keys"] = pa.array(found["keys"] or [], pa.binary())
@@ -219,17 +224,37 @@ class Counter:
         self.counts = {}
 
 
-def runs(slots: np.ndarray) -> np.ndarray:
-    """The sequence without what no phrase can hold: of several -1 one is kept, and slots without a neighbour go."""
+def runs(slots: np.ndarray, kind: type, size: int = RUN) -> Batches:
+    """Rows of the sequence without what no phrase can hold: of several -1 one is kept, and slots without a neighbour go. Rows end at the
+    first -1 after `size` slots, so no phrase is cut."""
     known = slots >= 0
     left, right = np.concatenate([[False], known[:-1]]), np.concatenate([known[1:], [False]])
-    keep = (known & (left | right)) | (~known & left)
-    return slots[keep]
+    kept = slots[(known & (left | right)) | (~known & left)].astype(kind)
+    ends, at = np.append(np.flatnonzero(kept < 0), len(kept)), 0
+    while at < len(kept):
+        to = int(ends[min(np.searchsorted(ends, at + size), len(ends) - 1)])
+        if to - at > 1:
+            yield row(-1, 0, kept[at:to])
+        at = to + 1
+
+
+def slot_type(number: int) -> type:
+    """What holds the slots of so many blocks."""
+    return np.int32 if number * STRIDE < 1 << 31 else np.int64
+
+
+def sequences_of(df: DataFrame) -> DataFrame:
+    """Writes and rereads rows of sequences and counts. They are not compressed, so that a task's share is what it holds in memory."""
+    path = f"{shared_dir(df.sparkSession)}/sequences-{uuid.uuid4().hex[:12]}"
+    df.write.option("compression", "none").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def numbered(docs: DataFrame, path: str, number: int, part: int, keep: int) -> DataFrame:
     """Replaces words by their slots. Rows with block -1 hold sequences, in which -1 separates; the others a block's counts."""
 
+    kind = slot_type(number)
+
     def run(batches: Batches) -> Batches:
         blocks = Blocks(path, keep)
         counter = Counter(blocks)
@@ -238,27 +263,28 @@ def numbered(docs: DataFrame, path: str, number: int, part: int, keep: int) -> D
             slots = blocks.find(hashes, place, number, same_word(pa.array(keys, pa.binary())))[words.code] if len(keys) else np.zeros(0, np.int64)
             yield from counter.add(slots[slots >= 0])
             new = np.flatnonzero(np.diff(words.piece)) + 1
-            yield row(-1, 0, runs(np.insert(slots, new, -1)))
+            yield from runs(np.insert(slots, new, -1), kind)
         yield from counter.flush()
 
     return docs.mapInArrow(run, SEQUENCES)
 
 
-def lengthened(sequences: DataFrame, path: str, number: int, keep: int) -> DataFrame:
-    """Replaces neighbouring slots by the slot of both, as `numbered` does words."""
+def lengthened(sequences: DataFrame, given: type, path: str, number: int, keep: int) -> DataFrame:
+    """Replaces neighbouring slots, of type `given`, by the slot of both, as `numbered` does words."""
+    kind = slot_type(number)
 
     def run(batches: Batches) -> Batches:
         blocks = Blocks(path, keep)
         counter = Counter(blocks)
         for batch in batches:
             for data in batch["data"]:
-                s = np.frombuffer(data.as_buffer(), np.int64)
+                s = np.frombuffer(data.as_buffer(), given).astype(np.int64)
                 at = np.flatnonzero((s[:-1] >= 0) & (s[1:] >= 0))
                 a, b = s[at], s[at + 1]
                 slots = np.full(max(0, len(s) - 1), -1, np.int64)
                 slots[at] = blocks.find(pair_hash(a, b), pair_place(a, b), number, same_pair(a, b))
                 yield from counter.add(slots[slots >= 0])
-                yield row(-1, 0, runs(slots))
+                yield from runs(slots, kind)
         yield from counter.flush()
 
     return sequences.select("data").mapInArrow(run, SEQUENCES)
@@ -284,22 +310,95 @@ def added_up(counts: DataFrame, fan: int) -> DataFrame:
             return counts.select("block", F.col("data").alias("counts"))
 
 
-def sieve(sequences: DataFrame, least: int) -> DataFrame:
-    """a, b: neighbouring slots that occur `least` times."""
+def pairs_of(data: pa.Scalar, given: type) -> tuple[np.ndarray, np.ndarray]:
+    """The neighbouring slots, of type `given`, of a sequence."""
+    s = np.frombuffer(data.as_buffer(), given).astype(np.int64)
+    both = (s[:-1] >= 0) & (s[1:] >= 0)
+    return s[:-1][both], s[1:][both]
+
+
+def frequent_hashes(sequences: DataFrame, given: type, least: int) -> DataFrame:
+    """hashes: of neighbouring slots, in 32 bits, that occur `least` times; each range of the hashes is counted in one array. Pairs of
+    equal hash count together, so no frequent pair is missed."""
+    cuts = np.arange(1, RANGES) << SHIFT
+
+    def deal(batches: Batches) -> Batches:
+        for batch in batches:
+            for data in batch["data"]:
+                h, n = np.unique(pair_place(*pairs_of(data, given)), return_counts=True)
+                once = n == 1
+                single, more, counts = h[once].astype(np.uint32), h[~once].astype(np.uint32), n[~once].astype(np.int32)
+                parts_of = [np.split(x, np.searchsorted(x, cuts)) for x in (single, more)] + [np.split(counts, np.searchsorted(more, cuts))]
+                some = [k for k in range(RANGES) if len(parts_of[0][k]) or len(parts_of[1][k])]
+                columns = [pa.array([p[k].tobytes() for k in some], pa.binary()) for p in parts_of]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *columns], ["range", "single", "more", "counts"])
+
+    def count(batches: Batches) -> Batches:
+        now, total = None, np.zeros(1 << SHIFT, np.int64)
+
+        def given_out() -> Batches:
+            hot = np.flatnonzero(total >= least) + (now << SHIFT)
+            if len(hot):
+                yield pa.RecordBatch.from_arrays([pa.array([hot.astype(np.uint32).tobytes()], pa.binary())], ["hashes"])
+
+        for batch in batches:
+            for k, single, more, counts in zip(batch["range"].to_pylist(), batch["single"], batch["more"], batch["counts"], strict=True):
+                if k != now:
+                    if now is not None:
+                        yield from given_out()
+                    now = k
+                    total[:] = 0
+                total[np.frombuffer(single.as_buffer(), np.uint32) - (k << SHIFT)] += 1
+                total[np.frombuffer(more.as_buffer(), np.uint32) - (k << SHIFT)] += np.frombuffer(counts.as_buffer(), np.int32)
+        if now is not None:
+            yield from given_out()
+
+    dealt = sequences.select("data").mapInArrow(deal, "range long, single binary, more binary, counts binary")
+    return dealt.repartition("range").sortWithinPartitions("range").mapInArrow(count, "hashes binary")
+
+
+def sieve(sequences: DataFrame, given: type, least: int, block: int, keep: int) -> DataFrame:
+    """a, b: neighbouring slots, of type `given`, that occur `least` times. First hashes are counted, in a few bytes each; then the pairs of
+    frequent hashes, and these only, as they are."""
+    hot = materialize(frequent_hashes(sequences, given, least), "hashes")
+    number = -(-(hot.agg(F.sum(F.length("hashes"))).first()[0] or 0) // (4 * block))
+
+    def deal(batches: Batches) -> Batches:
+        for batch in batches:
+            for data in batch["hashes"]:
+                h = np.frombuffer(data.as_buffer(), np.uint32)
+                which = h.astype(np.int64) * number >> 32
+                for k in np.unique(which).tolist():
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([h[which == k].tobytes()], pa.binary())], ["block", "hot"])
+
+    def gather(rows: pa.Table) -> pa.Table:
+        h = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in rows["hot"]]))
+        return pa.table({"block": [rows["block"][0].as_py()], "hot": pa.array([h.tobytes()], pa.binary())})
 
     def run(batches: Batches) -> Batches:
+        blocks = Blocks(path, keep)
         for batch in batches:
             for data in batch["data"]:
-                s = np.frombuffer(data.as_buffer(), np.int64)
-                both = (s[:-1] >= 0) & (s[1:] >= 0)
-                a, b = s[:-1][both], s[1:][both]
+                a, b = pairs_of(data, given)
+                place = pair_place(a, b)
+                which, known = place * number >> 32, np.zeros(len(a), bool)
+                for k in np.unique(which).tolist():
+                    held = blocks[k]
+                    if held is not None:
+                        at = which == k
+                        near = np.minimum(np.searchsorted(held["hot"], place[at]), len(held["hot"]) - 1)
+                        known[at] = held["hot"][near] == place[at]
+                a, b = a[known], b[known]
                 if not len(a):
                     continue
-                order = np.argsort(a << 32 | b) if max(a.max(), b.max()) < 1 << 31 else np.lexsort((b, a))
+                order = np.lexsort((b, a))
                 a, b = a[order], b[order]
                 first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
                 yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(np.diff(first, append=len(a)))], ["a", "b", "n"])
 
+    if not number:
+        return sequences.sparkSession.createDataFrame([], "a long, b long")
+    path = written(hot.mapInArrow(deal, "block long, hot binary").groupBy("block").applyInArrow(gather, "block long, hot binary"), "hot")
     return sequences.select("data").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("a", "b")
 
 
@@ -356,15 +455,15 @@ def mined(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, subsumed:
     texts = docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
     counted = materialize(word_counts(texts, part), "words")
     keys = counted.filter(F.col("n") >= least).select(F.concat("word", F.lit("\t").cast("binary"), F.col("lang").cast("binary")).alias("key"))
-    paths, totals, found, sequences = [], [], [], None
+    paths, totals, found, sequences, given = [], [], [], None, None
     for level in range(1, longest + 1):
-        candidates = keys if level == 1 else materialize(sieve(sequences, least), "candidates")
+        candidates = keys if level == 1 else materialize(sieve(sequences, given, least, block, keep), "candidates")
         path, number = index(candidates, level, block)
         if not number:
             break
-        rows = numbered(texts, path, number, part, keep) if level == 1 else lengthened(sequences, path, number, keep)
-        rows = materialize(rows, "sequences")
-        sequences = rows.filter("block < 0 and length(data) >= 16")
+        rows = numbered(texts, path, number, part, keep) if level == 1 else lengthened(sequences, given, path, number, keep)
+        rows = sequences_of(rows)
+        sequences, given = rows.filter("block < 0"), slot_type(number)
         paths.append(path)
         totals.append(written(added_up(rows.filter("block >= 0"), fan), f"counts{level}"))
         if level > 1:

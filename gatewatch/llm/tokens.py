@@ -49,17 +49,18 @@ def words_of(texts: pa.Array, kind: np.ndarray) -> Words:
     data = np.frombuffer(b"\n".join(raw), np.uint8)
     what = kind[data]
     inside = what == 0
+    breaks = np.flatnonzero(what == 2)
     starts_of = np.zeros(len(texts), np.int64)
     np.cumsum(lengths[:-1] + 1, out=starts_of[1:])
     inside[starts_of[1:] - 1] = False
-    edges = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
-    start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    start, end = edges[::2], edges[1::2]
     offsets = np.zeros(len(start) + 1, np.int64)
     np.cumsum(end - start, out=offsets[1:])
     letters = LOWER[data[inside]]
     found = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
     text = np.searchsorted(starts_of, start, "right") - 1
-    piece = np.cumsum(what == 2)[start] + text if len(start) else text
+    piece = np.searchsorted(breaks, start) + text
     return Words(text, piece, found.indices.to_numpy().astype(np.int64), found.dictionary)
 
 

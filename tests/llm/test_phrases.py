@@ -111,6 +111,16 @@ def test_equal_hashes_are_told_apart(spark, rows, monkeypatch):
     assert found.tolist() == [13, 29, -1, -1]
 
 
+@pytest.mark.parametrize("size", [1, 7, 100, 10**6])
+def test_rows_of_a_sequence_cut_no_phrase(size):
+    slots = np.random.default_rng(4).choice([-1, -1, 3, 4, 5], 3000)
+    slots[1000:1500] = 7  # longer than a row
+    grams = lambda s, k: Counter(tuple(s[i : i + k].tolist()) for i in range(len(s) - k + 1) if (s[i : i + k] >= 0).all())
+    for kind in (np.int32, np.int64):
+        rows = [np.frombuffer(r["data"][0].as_py(), kind) for r in collocations.runs(slots, kind, size)]
+        assert all(sum((grams(r, k) for r in rows), Counter()) == grams(slots, k) for k in (2, 3, 4))
+
+
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 1000, 50_000])
 def test_perfect_hashes_are_minimal(n):
     keys = np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64)
