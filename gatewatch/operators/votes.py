@@ -61,3 +61,45 @@ def merged_fragments(items: DataFrame, height: float = 12.0) -> DataFrame:
     cut = lines.withColumn("s", P.segment(F.col("joined")))
     best = F.struct(F.col("s.known"), F.col("s.valid"), F.round("confidence", 9), -F.col("line"))
     return cut.groupBy("group_id").agg(F.max_by(F.struct(F.col("s.text").alias("text"), F.round("confidence", 6).alias("confidence")), best).alias("b")).select("group_id", "b.*")
+
+
+def merged_boxes(items: DataFrame, least: float = 0.20) -> DataFrame:
+    """SF-36: group_id, text, formatted, confidence, known of each group's pieces of text (group_id, place, text, confidence, x1, y1, x2, y2; the box may
+    be null). Pieces under `least` and blank ones go. Of several pieces tax dates go, and what lies below and is short, a number, or
+    small; if nothing is left, all stay. The others are put into lines from top to bottom, a piece joining the first line whose mean centre is near; the
+    line wins that makes a plate, then by confidence and height. A group's pieces are few; groups are walked along sorted partitions."""
+    from ..streaming.folds import fold_batch
+
+    boxed = F.col("x1").isNotNull() & F.col("y1").isNotNull() & F.col("x2").isNotNull() & F.col("y2").isNotNull()
+    side = lambda lo, hi: F.when(boxed, F.greatest(F.lit(1.0), F.col(hi) - F.col(lo))).otherwise(0.0)
+    rows = items.filter(F.col("confidence") >= least).withColumn("text", F.trim("text")).filter("text <> ''")
+    rows = rows.select("group_id", "place", "text", "confidence", F.when(boxed, F.col("x1")).otherwise(0.0).alias("x"), F.when(boxed, (F.col("y1") + F.col("y2")) / 2).otherwise(0.0).alias("y"), side("y1", "y2").alias("h"))
+    group = Window.partitionBy("group_id")
+    rows = rows.withColumns({"n": F.count("*").over(group), "tallest": F.max("h").over(group), "top": F.min("y").over(group)})
+    plain = F.regexp_replace(F.upper("text"), "[^A-Z0-9]", "")
+    below = (F.col("y") - F.col("top")) > F.greatest(F.lit(8.0), F.col("tallest") * 0.5)
+    small = (F.col("tallest") > 0) & (F.col("h") <= 0.6 * F.col("tallest"))
+    rows = rows.withColumn("good", (F.col("n") == 1) | ~(P.is_tax_date(F.col("text")) | (below & (plain.rlike("^[0-9]+$") | (F.length(plain) <= 3) | small))))
+    rows = rows.withColumn("some", F.max("good").over(group)).filter(F.col("good") | ~F.col("some"))
+
+    def step(state: list | None, row: dict) -> tuple[list, list[dict]]:
+        lines = state or []
+        for line in lines:
+            if abs(row["y"] - sum(i["y"] for i in line) / len(line)) <= max(4.0, sum(i["h"] for i in line) / len(line) * 0.40):
+                line.append(row)
+                return lines, []
+        return [*lines, [row]], []
+
+    def lines_of(lines: list) -> list[dict]:
+        out = []
+        for k, line in enumerate(lines):
+            text = " ".join(i["text"] for i in sorted(line, key=lambda i: i["x"]))
+            out.append({"group_id": line[0]["group_id"], "line": k, "joined": text, "confidence": sum(i["confidence"] for i in line) / len(line), "weight": sum(i["confidence"] + i["h"] for i in line), "alone": line[0]["n"] == 1})
+        return out
+
+    lines = fold_batch(rows, ["group_id"], ["y", "place"], step, "group_id long, line int, joined string, confidence double, weight double, alone boolean", lines_of)
+    cut = lines.withColumn("s", P.segment(F.col("joined")))
+    score = F.when(F.col("s.known"), 30.0).when(F.col("s.valid"), 15.0).otherwise(0.0) + F.col("weight")
+    best = cut.groupBy("group_id").agg(F.max_by(F.struct("joined", "confidence", "alone", "s"), F.struct(score, -F.col("line"))).alias("b")).select("group_id", "b.*")
+    raw = F.when(F.col("alone"), F.col("joined")).otherwise(F.regexp_replace(F.upper("joined"), "[^A-Z0-9]", ""))
+    return best.select("group_id", F.when(F.col("s.valid"), F.col("s.text")).otherwise(raw).alias("text"), F.when(F.col("s.valid"), F.col("s.formatted")).otherwise(F.col("joined")).alias("formatted"), "confidence", F.col("s.known").alias("known"))

@@ -203,3 +203,11 @@ def fragments(spark, sf):
     parts = F.array(*[F.struct(t.alias("text"), F.lit(x).alias("x"), F.lit(y).alias("y")) for t, x, y in ((F.col("n"), 30.0, 1.0), (F.col("p"), 0.0, 0.0), (F.lit("CD"), 60.0, 2.0), (F.lit("08.28"), 10.0, 40.0))])
     items = r.select("group_id", "confidence", F.explode(parts).alias("i")).select("group_id", "confidence", "i.*")
     return votes.merged_fragments(items)
+
+
+@query("sf36_boxes")
+def merged_boxes(spark, sf):
+    """Pieces of text with their boxes, eight readings a group, put together to plates."""
+    r = T.readings(spark, sf).selectExpr("cast(floor(reading_id / 8) as bigint) as group_id", "reading_id as place", "case reading_id % 4 when 0 then '08.28' when 1 then regexp_extract(text, '^[A-Za-z]+', 0) when 2 then regexp_extract(text, '[0-9]+', 0) else text end as text", "confidence")
+    box = ["cast(place % 4 * 40 as double) as x1", "cast(place % 3 * 30 as double) as y1", "cast(place % 4 * 40 + 35 as double) as x2", "cast(place % 3 * 30 + 12 + place % 5 * 3 as double) as y2"]
+    return votes.merged_boxes(r.selectExpr("*", *box)).withColumn("confidence", F.round("confidence", 9))
