@@ -117,6 +117,21 @@ def best_plates(vehicles: DataFrame, plates: DataFrame) -> DataFrame:
     return chosen.select("vehicle", F.when(F.col("known"), F.col("a")).otherwise(F.col("b")).alias("c")).filter("c is not null").select("vehicle", "c.*")
 
 
+def vehicle_of_plate(plates: DataFrame, vehicles: DataFrame) -> DataFrame:
+    """plate, vehicle, how (group, track, place) of each plate that has a vehicle in its camera and frame, named by columns as for best_plates: the
+    vehicle of its group, else of its track, each if generations agree where both are known, else the smallest one that holds its centre."""
+    v = vehicles.select("camera_id", "frame", F.col("id").alias("vehicle"), *[F.col(c).alias(f"v_{c}") for c in ("vehicle_group", "track", "generation", "x1", "y1", "x2", "y2")])
+    agree = F.coalesce(F.col("generation") == F.col("v_generation"), F.lit(True))
+    x, y = G.center(G.box())
+    named = plates.filter("vehicle_group is not null").join(v.withColumn("vehicle_group", F.col("v_vehicle_group")), ["camera_id", "frame", "vehicle_group"]).filter(agree)
+    tracked = plates.filter("track is not null").join(v.withColumn("track", F.col("v_track")), ["camera_id", "frame", "track"]).filter(agree)
+    placed = plates.join(v, ["camera_id", "frame"]).filter(G.contains(G.box("v_"), x, y))
+    rank = lambda tier: F.struct(F.lit(tier).alias("tier"), (F.lit(0.0) if tier < 2 else G.area(G.box("v_"))).alias("size"), "vehicle")
+    found = reduce(DataFrame.unionByName, (df.select("id", rank(tier).alias("rank"), F.lit(how).alias("how")) for tier, (df, how) in enumerate(((named, "group"), (tracked, "track"), (placed, "place")))))
+    best = found.groupBy("id").agg(F.min_by(F.struct("rank.vehicle", "how"), "rank").alias("b"))
+    return best.select(F.col("id").alias("plate"), "b.*")
+
+
 def not_overlapping(boxes: DataFrame, others: DataFrame, share: float = 0.25) -> DataFrame:
     """Boxes that no other box of the frame covers by `share` or more."""
     hit = _pairs(boxes, others).filter(G.coverage(G.box("a_"), G.box("b_")) >= share).select(F.col("a_box_id").alias("box_id")).distinct()

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from . import groups, merge
+from . import groups, joins, merge
 
 SECONDS, WINDOW, MOST = 25.0, 1800.0, 6
 OUTCOMES = "seq long, event long, outcome string, distance int"
@@ -165,3 +165,19 @@ def recorded(readings: DataFrame, seconds: float = SECONDS, window: float = WIND
 def outcomes(readings: DataFrame, seconds: float = SECONDS, window: float = WINDOW, most: int = MOST) -> DataFrame:
     """seq, event, outcome, distance of every reading: new, changed, no improvement, or looks alike (in how many bits it differs)."""
     return _folded(readings, seconds, window, most, OUTCOMES, True)
+
+
+def finished_readings(plates: DataFrame, vehicles: DataFrame, live: float = 0.50, video: float = 0.65) -> DataFrame:
+    """SK-21: finished plates as readings for `recorded`: those that are valid or whose detection is sure enough, surer for videos, with key,
+    type and confidence of their vehicle. A plate without a vehicle has the key of its own track.
+
+    plates: as for joins.vehicle_of_plate, with text, ocr, consensus, quality, stable, valid, detection_confidence, video, created_at. vehicles: with
+    event_key, vehicle_type and confidence."""
+    kept = plates.filter(F.col("valid") | (F.col("detection_confidence") >= F.when(F.col("video"), video).otherwise(live)))
+    about = vehicles.select(F.col("id").alias("vehicle"), F.col("event_key").alias("v_key"), "vehicle_type", F.col("confidence").alias("v_confidence"))
+    found = kept.join(joins.vehicle_of_plate(kept, vehicles).withColumnRenamed("plate", "id"), "id", "left").join(about, "vehicle", "left")
+    own = F.concat(F.lit("vehicle:"), F.col("camera_id"), F.lit(":plate_"), F.col("id"))
+    return found.select(
+        F.coalesce("v_key", own).alias("event_key"), F.col("id").alias("seq"), "camera_id", "created_at", F.col("text").alias("plate"), "ocr", "consensus", "quality", "stable",
+        F.coalesce("v_confidence", "detection_confidence").alias("vehicle_confidence"), F.lit(False).alias("has_driver"), F.lit("unknown").alias("direction"), F.coalesce("vehicle_type", F.lit("unknown")).alias("vehicle_type"), F.lit(None).cast("string").alias("image"),
+    )

@@ -164,6 +164,16 @@ def finished_plates(spark, sf):
     return T.readings(spark, sf).join(d, "reading_id").filter(P.is_valid(F.col("text")) | sure).select("reading_id", stamp())
 
 
+@query("sk21_recorded_plates")
+def recorded_plates(spark, sf):
+    """SK-21 whole: finished plates with their vehicles, recorded as events."""
+    frame = "cast(floor(id / 24) as bigint) as frame"
+    plates = T.plate_boxes(spark, sf).filter("id % 3 = 0").selectExpr(frame, "camera_id % 2 as camera_id", "id", "vehicle_group", "vehicle as track", "generation", "x1", "y1", "x2", "y2", "text", "ocr", "ocr as consensus", "quality", "id % 2 = 0 as stable", "confidence as detection_confidence", "id % 5 = 0 as video", "created_at")
+    vehicles = T.sightings(spark, sf).filter("id % 3 <> 0").selectExpr(frame, "camera_id % 2 as camera_id", "id", "person_group as vehicle_group", "track", "id % 2 + 1 as generation", "x1", "y1", "x2 + 120 as x2", "y2 + 80 as y2", "concat('vehicle:', camera_id % 2, ':', track) as event_key", "'car' as vehicle_type", "0.5D as confidence")
+    readings = recording.finished_readings(plates.withColumn("valid", P.is_valid(F.col("text"))), vehicles)
+    return recording.recorded(readings, seconds=43_200)
+
+
 @query("sk18_report_names", "select camera_id, concat('laporan_', regexp_replace(trim(location), '[^A-Za-z0-9._-]+', '_', 'g'), '_20240120.csv') as name from cameras")
 def report_names(spark, sf):
     return T.cameras(spark, sf).select("camera_id", F.concat(F.lit("laporan_"), X.safe_file_name(F.col("location")), F.lit("_"), F.date_format(F.lit("2024-01-20").cast("date"), "yyyyMMdd"), F.lit(".csv")).alias("name"))

@@ -113,6 +113,12 @@ VEHICLE_ROWS = "select id // 24 as frame, camera_id % 2 as camera_id, id, person
 PLATE_ROWS = "select id // 24 as frame, camera_id % 2 as camera_id, id, vehicle_group, vehicle as track, generation, x1, y1, x2, y2, ocr >= 0.3 as ready, id % 2 = 0 as stable, id % 5 > 0 as valid, 0.45 * ocr + 0.25 * quality as score, confidence from plate_boxes where id % 3 = 0"
 
 
+def _sql_rows(spark, sf, sql: str, name: str):
+    """Rows of one of the two statements above."""
+    getattr(T, name)(spark, sf).createOrReplaceTempView(f"gatewatch_{name}")
+    return spark.sql(sql.replace("id // 24", "id div 24").replace(f"from {name}", f"from gatewatch_{name}"))
+
+
 @query("jn13_best_plates", f""", v as ({VEHICLE_ROWS}), p as ({PLATE_ROWS}),
 m as (select v.id as vehicle, p.*, case when p.vehicle_group is not null then 'group' when p.track is not null then 'track' else 'place' end as how from v join p on v.camera_id = p.camera_id and v.frame = p.frame and
 case when p.vehicle_group is not null then p.vehicle_group = v.vehicle_group and coalesce(p.generation = v.generation, true) when p.track is not null then p.track = v.track and coalesce(p.generation = v.generation, true)
@@ -122,9 +128,16 @@ r as (select *, row_number() over (partition by vehicle order by stable desc, va
 select vehicle, id as plate, how from r where rn = 1""")
 def best_plates(spark, sf):
     """JN-13 by group, track with generation, and place."""
-    floor = lambda sql: sql.replace("id // 24", "cast(floor(id / 24) as bigint)")
-    rows = lambda sql, name, df: df.filter(sql.partition(" where ")[2]).selectExpr(*[x.strip() for x in floor(sql).removeprefix("select ").partition(f" from {name}")[0].split(", ")])
-    return J.best_plates(rows(VEHICLE_ROWS, "sightings", T.sightings(spark, sf)), rows(PLATE_ROWS, "plate_boxes", T.plate_boxes(spark, sf)))
+    return J.best_plates(_sql_rows(spark, sf, VEHICLE_ROWS, "sightings"), _sql_rows(spark, sf, PLATE_ROWS, "plate_boxes"))
+
+
+@query("jn13_vehicle_of_plate", f""", v as ({VEHICLE_ROWS}), p as ({PLATE_ROWS}),
+m as (select p.id as plate, v.id as vehicle, (v.x2 - v.x1) * (v.y2 - v.y1) as size, coalesce(p.generation = v.generation, true) as agree, p.vehicle_group = v.vehicle_group as g, p.track = v.track as t, (p.x1 + p.x2) / 2 between v.x1 and v.x2 and (p.y1 + p.y2) / 2 between v.y1 and v.y2 as inside from p join v on p.camera_id = v.camera_id and p.frame = v.frame),
+k as (select plate, vehicle, 'group' as how, 0 as tier, 0 as size from m where g and agree union all select plate, vehicle, 'track', 1, 0 from m where t and agree union all select plate, vehicle, 'place', 2, size from m where inside)
+select plate, vehicle, how from k qualify row_number() over (partition by plate order by tier, size, vehicle) = 1""")
+def vehicle_of_plate(spark, sf):
+    """JN-13 from the plate's side, as SK-21 needs it."""
+    return J.vehicle_of_plate(*(_sql_rows(spark, sf, sql, name) for sql, name in ((PLATE_ROWS, "plate_boxes"), (VEHICLE_ROWS, "sightings"))))
 
 
 @query("jn14_drivers", f""", p as (select a.frame, a.box_id as a, b.box_id as b, row_number() over (partition by a.frame order by a.box_id, b.box_id) as rn from boxes a join boxes b using (frame)

@@ -199,13 +199,13 @@ UNIT = "greatest(0::double, least(1::double, {}))"
 
 
 @query("sf28_pixel_quality", f""", k as (select {", ".join(CROPS)} from plates)
-select plate_id, round(case when h >= 6 and w >= 12 then 0.45::double * {UNIT.format("sharp / 180")} + 0.30::double * {UNIT.format("w * h / 12288")} + 0.15::double * {UNIT.format("spread / 40")} + 0.10::double * case when w / greatest(h, 1) between 1.8 and 4.8 then 1 else 0.75::double end else 0 end, 9) as quality,
-round(0.55::double * {UNIT.format("w * h / 12288")} + 0.45::double * {UNIT.format("sharp / 150")}, 9) as reread from k""")
+select plate_id, round(case when h >= 6 and w >= 12 then 0.45::double * {UNIT.format("sharp / 180")} + 0.30::double * {UNIT.format("w * h / 12288")} + 0.15::double * {UNIT.format("spread / 40")} + 0.10::double * case when w / greatest(h, 1) between 1.8 and 4.8 then 1 else 0.75::double end else 0 end + 1e-10::double, 6) as quality,
+round(0.55::double * {UNIT.format("w * h / 12288")} + 0.45::double * {UNIT.format("sharp / 150")} + 1e-10::double, 6) as reread from k""")
 def pixel_quality(spark, sf):
-    """SF-28: crops by their pixels, in both variants."""
+    """SF-28: crops by their pixels, in both variants; a trifle is added so that no value lies between two roundings."""
     k = T.plates(spark, sf).selectExpr(*CROPS)
     w, h, sharp = F.col("w"), F.col("h"), F.col("sharp")
-    return k.select("plate_id", F.round(G.pixel_quality(w, h, sharp, F.col("spread")), 9).alias("quality"), F.round(G.reread_quality(w, h, sharp), 9).alias("reread"))
+    return k.select("plate_id", F.round(G.pixel_quality(w, h, sharp, F.col("spread")) + 1e-10, 6).alias("quality"), F.round(G.reread_quality(w, h, sharp) + 1e-10, 6).alias("reread"))
 
 
 @query("sf29_focused", """, m as (select event_id, c * 0.255::double as b, cast((c * 7) % 80 as double) as s, (c % 13) / 20.0::double as d, case when c % 11 = 0 then 0.3::double else (c % 10) / 100.0::double end as g from e),
