@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where that is unset."""
+    """spark.checkpoint.dir; where that is unset, a temporary folder in local mode and an error on a cluster, whose machines share none."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="gatewatch-")
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+        folder = "file://" + tempfile.mkdtemp(prefix="gatewatch-")
         sc.setCheckpointDir(folder)
     return folder
 

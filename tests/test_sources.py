@@ -169,3 +169,19 @@ def test_no_results(spark, tmp_path):
     queue.apply(spark.createDataFrame([], RESULTS), 0)
     assert queue.latest().count() == 1 and queue.read().count() == 0
     assert folds.shared_folder(spark)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from gatewatch.plans import lineage
+
+    def session(master, folder):
+        sc = SimpleNamespace(master=master, getConf=lambda: {"spark.checkpoint.dir": folder}, getCheckpointDir=lambda: None, setCheckpointDir=lambda _: None)
+        return SimpleNamespace(sparkContext=sc)
+
+    assert lineage.shared_folder(session("yarn", "hdfs:///shared")) == "hdfs:///shared"
+    assert lineage.shared_folder(session("local[4]", None)).startswith("file:///")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="shares"):
+            lineage.shared_folder(session(master, None))
