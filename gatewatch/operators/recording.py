@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..plans.lineage import cut
 from . import groups, joins, merge
 
 SECONDS, WINDOW, MOST = 25.0, 1800.0, 6
@@ -115,7 +116,7 @@ def dealt(rows: DataFrame, seconds: float, window: float, most: int) -> DataFram
         "*", F.when(F.col("event_key").isNotNull(), F.xxhash64(F.lit("key"), "event_key")).alias("g_key"), F.when(F.col("number").isNotNull(), F.xxhash64(F.lit("plate"), "number", "plate_chain")).alias("g_plate"),
         F.when(F.col("hash").isNotNull(), F.xxhash64(F.lit("look"), "camera_id", "object_type", "hash", "look_chain")).alias("g_look"),
     ).drop("plate_chain", "look_chain")
-    marked = marked.withColumn("g", F.coalesce("g_key", "g_plate", "g_look"))
+    marked = cut(marked.withColumn("g", F.coalesce("g_key", "g_plate", "g_look")))  # corrected and chained once
     runs = marked.filter("g_look is not null").groupBy("g_look", "camera_id", "object_type", "hash").agg(F.min("micros").alias("first"), F.max("micros").alias("last"), F.max(F.col("event_key").isNull()).alias("keyless"))
     several = marked.select("g", F.explode(F.array("g_plate", "g_look")).alias("b")).filter("b is not null and b <> g").select(F.col("g").alias("a"), "b")
     labels = groups.components(several.unionByName(similar_runs(runs, window, most)).distinct())

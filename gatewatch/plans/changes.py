@@ -29,14 +29,14 @@ def stored_readings(spark, sf):
 
 @query("sk01_merged_events")
 def merged_events(spark, sf):
-    """Readings folded into stored events: by key, by camera and plate within half a day, or skipped for their looks."""
-    return recording.recorded(stored_readings(spark, sf), seconds=43_200)
+    """Readings folded into stored events: by key, by camera and plate within an hour, or skipped for their looks."""
+    return recording.recorded(stored_readings(spark, sf), seconds=3_600)
 
 
 @query("sk01_outcomes")
 def outcomes(spark, sf):
     """What became of each reading."""
-    return recording.outcomes(stored_readings(spark, sf), seconds=43_200)
+    return recording.outcomes(stored_readings(spark, sf), seconds=3_600)
 
 
 @query("sk02_insert_cameras", "select camera_id, location, status, direction from cameras union all select 100 + camera_id, concat(location, ' B'), 1, case when direction in ('entry', 'exit', 'unknown') and camera_id % 2 = 0 then direction else 'unknown' end from cameras")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and checkpointed in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, written into the shared folder and reread: unlike a checkpoint it hands no constraints on, which double with every round of joins."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/kept-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
