@@ -12,6 +12,7 @@ import json
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -67,6 +68,20 @@ def fold_each(rows: DataFrame, step: Step, schema: str, final: Callable[[dict],
     return rows.mapInPandas(run, schema)
 
 
+def in_order(parts: Iterator[pd.DataFrame], order: list[str], step: int = 10_000) -> Iterator[pd.DataFrame]:
+    """A key's rows of a micro-batch in order, by the step. They wait with their texts in Arrow's columns, as a micro-batch may hold any
+    number of them."""
+
+    def slim(part: pd.DataFrame) -> pd.DataFrame:
+        texts = [c for c in part.columns if part[c].dtype == object and pd.api.types.infer_dtype(part[c], skipna=True) == "string"]
+        return part.astype(dict.fromkeys(texts, "string[pyarrow]"))
+
+    every = pd.concat([slim(p) for p in parts], ignore_index=True)
+    at = np.lexsort([every[c].to_numpy() for c in reversed(order)])
+    for i in range(0, len(at), step):
+        yield every.iloc[at[i : i + step]]
+
+
 def fold_stream(rows: DataFrame, keys: list[str], order: list[str], step: Step, schema: str, ttl_ms: int, final: Callable[[dict], list[dict]] | None = None, at: str = "at") -> DataFrame:
     """The same over a stream with a watermark and the rows' time in seconds in `at`; `final` is called when a key's state expires."""
     names = _names(schema)
@@ -78,16 +93,18 @@ def fold_stream(rows: DataFrame, keys: list[str], order: list[str], step: Step,
             yield _frame(final(state) if final else [], names)
             return
         kept = json.loads(group.get[0]) if group.exists else {"state": None, "latest": 0}
-        state, latest, out = kept["state"], kept["latest"], []
-        for row in pd.concat(list(parts)).sort_values(order).to_dict("records"):
-            state, more = step(state, _clean(row))
-            latest = max(latest, int(row[at] * 1000))
-            out += more
+        state, latest = kept["state"], kept["latest"]
+        for some in in_order(parts, order):
+            out: list[dict] = []
+            for row in some.to_dict("records"):
+                state, more = step(state, _clean(row))
+                latest = max(latest, int(row[at] * 1000))
+                out += more
+            yield _frame(out, names)
         if state is not None:
             group.update((json.dumps({"state": state, "latest": latest}, default=str),))
             # by the rows' own time: the watermark is still 0 in the first micro-batch; a late row's state goes at the next one
             group.setTimeoutTimestamp(max(latest + ttl_ms, group.getCurrentWatermarkMs() + 1))
-        yield _frame(out, names)
 
     return rows.groupBy(*keys).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.EventTimeTimeout)
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from math import hypot
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,29 +41,51 @@ def measures(a: dict, b: dict) -> tuple[float, float, float]:
 
 class ObjectGroups(Walk):
     """The groups of one camera: rows have id, at, frame, object_type, kind, track, hash and a box. Groups are numbered from the time
-    at which the camera's stretch began."""
+    at which the camera's stretch began.
+
+    The more a camera sees, the more groups are open, so a row is scored against all of its type at once, in arrays, with a little slack; the
+    exact score decides among those that may be best."""
 
     STATES = {"groups": GROUP, "counter": "next long, start double"}
+    SLACK = 1e-6
 
-    def __init__(self, gap: float = 8, switch: float = 1.5, expiry: float = 240, reach: float = 120, person_reach: float = 130, like: float = 0.50, least: float = 0.15, switch_least: float = 0.65, most: int = 8) -> None:
+    def __init__(self, gap: float = 8, switch: float = 1.5, expiry: float = 240, reach: float = 120, person_reach: float = 130, like: float = 0.50, least: float = 0.15, switch_least: float = 0.65, most: int = 8, late: float = 3600) -> None:
+        # a group that nothing can join any more is forgotten early: rows of a stream come no more than `late` behind each other
+        gap, expiry = min(gap, expiry), min(expiry, gap + late)
         self.gap, self.switch, self.expiry, self.reach, self.person_reach, self.like, self.least, self.switch_least, self.most = gap, switch, expiry, reach, person_reach, like, least, switch_least, most
-        self.groups, self.next, self.start = [], 1, None
+        self.types, self.next, self.start, self.latest = {}, 1, None, None
+
+    @property
+    def groups(self) -> list[dict]:
+        """All groups in the order of their numbers."""
+        return sorted((g for t in self.types.values() for g in t.groups), key=lambda g: g["no"])
 
     def expired(self, at: float) -> list[dict]:
-        self.groups = [g for g in self.groups if at - g["last_at"] <= self.expiry]
+        for t in self.types.values():
+            t.keep(at - t.last_at[: t.n] <= self.expiry)
         return []
 
     def due(self) -> float | None:
-        return min(g["last_at"] for g in self.groups) + self.expiry if self.groups else None
+        last = [float(t.last_at[: t.n].min()) for t in self.types.values() if t.n]
+        return min(last) + self.expiry if last else None
 
     def dump(self) -> dict[str, list[tuple]]:
+        if self.latest is not None:
+            self.expired(self.latest)
         return {"groups": [tuple(g[n] for n in _GROUP) for g in self.groups], "counter": [(self.next, self.start)]}
 
     def load(self, tables: dict[str, list[tuple]]) -> None:
-        self.groups = [d | {"tracks": list(d["tracks"])} for d in (dict(zip(_GROUP, g, strict=True)) for g in tables["groups"])]
+        self.types = {}
+        for g in sorted((dict(zip(_GROUP, g, strict=True)) for g in tables["groups"]), key=lambda g: g["no"]):
+            self.of(g["object_type"]).put(g | {"tracks": list(g["tracks"])})
         if tables["counter"]:
             self.next, self.start = tables["counter"][0]
 
+    def of(self, object_type: str | None) -> OpenGroups:
+        if object_type not in self.types:
+            self.types[object_type] = OpenGroups()
+        return self.types[object_type]
+
     def score(self, g: dict, row: dict, track: int) -> tuple[float, bool, float, float] | None:
         """How well the group fits: a known track beats everything, else overlap and distance; None if a gate is shut."""
         person, silent = row["object_type"] == "person", row["at"] - g["last_at"]
@@ -86,26 +109,137 @@ class ObjectGroups(Walk):
             return None
         return over * 100 + 100 - away / max(1.0, reach) * 50, g["track"] != track and g["track"] >= 0 and track >= 0, away, over
 
+    def guessed(self, t: OpenGroups, row: dict, track: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the groups that may fit and their scores, both but for the slack: if some may have the row's track near by, those only."""
+        e, person, n = self.SLACK, row["object_type"] == "person", t.n
+        reach = self.person_reach if person else self.reach
+        at = np.flatnonzero((t.frame[:n] != _number(row["frame"])) & (row["at"] - t.last_at[:n] <= self.gap))
+        if not len(at):
+            return at, at
+        x1, y1, x2, y2 = (c[at] for c in (t.x1, t.y1, t.x2, t.y2))
+        x, y = (row["x1"] + row["x2"] - x1 - x2) / 2, (row["y1"] + row["y2"] - y1 - y2) / 2
+        away = np.sqrt(x * x + y * y)
+        same = t.holds(track)[at] if track >= 0 else np.zeros(len(at), bool)
+        if track >= 0:
+            # what is surely near leaves nothing to the others
+            least = np.where(same, away, np.inf).min()
+            if least <= reach * 1.5 - e:
+                first = np.flatnonzero(same & (away <= least + 2 * e))
+                if len(first) > 1:  # of those as far off in both directions the first one
+                    first = first[np.sort(np.unique(np.abs(x[first]) + 1j * np.abs(y[first]), return_index=True)[1])]
+                return at[first], 1000.0 - away[first]
+        w, h = np.minimum(row["x2"], x2) - np.maximum(row["x1"], x1), np.minimum(row["y2"], y2) - np.maximum(row["y1"], y1)
+        near = same & ((away <= reach * 1.5 + e) | ((w > 0) & (h > 0)))
+        width, height = row["x2"] - row["x1"], row["y2"] - row["y1"]
+        both = np.where((w > 0) & (h > 0), w * h, 0.0)
+        union = width * height + (x2 - x1) * (y2 - y1) - both
+        over = np.where(both > 0, both / np.where(both > 0, union, 1.0), 0.0)
+        sizes = max(1.0, width) * max(1.0, height), np.maximum(1.0, x2 - x1) * np.maximum(1.0, y2 - y1)
+        fits = (away <= reach + e) & (np.abs(sizes[0] - sizes[1]) / np.maximum(*sizes) <= self.like + e)
+        if not person:
+            longest = np.maximum(np.maximum(x2 - x1, y2 - y1), max(width, height))
+            fits &= same | ((t.kind[at] == t.kinds.get(row["kind"], -1)) & (row["at"] - t.last_at[at] <= self.switch) & (over >= self.switch_least - e) & (away <= np.maximum(30.0, longest * 0.25) + e))
+        may = near | fits
+        return at[may], np.where(near, 1000.0 - away, over * 100 + 100 - away / max(1.0, reach) * 50)[may]
+
+    def fitting(self, t: OpenGroups, row: dict, track: int) -> tuple[tuple | None, int | None]:
+        """The best score and its group's place, the first one's of equals."""
+        places, guesses = self.guessed(t, row, track)
+        best, chosen = None, None
+        while len(places):
+            top = guesses >= guesses.max() - 2 * self.SLACK
+            for i in places[top]:
+                if best is not None and all(t.groups[i][n] == t.groups[chosen][n] for n in ("x1", "y1", "x2", "y2", "tracks")):
+                    continue  # fits no better
+                found = self.score(t.groups[i], row, track)
+                if found and (best is None or found[0] > best[0]):
+                    best, chosen = found, int(i)
+            if best is not None:
+                return best, chosen
+            places, guesses = places[~top], guesses[~top]
+        return None, None
+
     def take(self, row: dict) -> list[dict]:
         self.start = row["at"] if self.start is None else self.start
-        self.groups = [g for g in self.groups if row["at"] - g["last_at"] <= self.expiry]
+        self.latest = row["at"]
         track = -1 if row["track"] is None else row["track"]
-        best, chosen = None, None
-        for g in self.groups:
-            found = self.score(g, row, track)
-            if found and (best is None or found[0] > best[0]):
-                best, chosen = found, g
+        t = self.of(row["object_type"])
+        if t.n > t.bound:
+            t.keep(row["at"] - t.last_at[: t.n] <= self.expiry)
+        best, chosen = self.fitting(t, row, track)
         now = {k: row[k] for k in ("x1", "y1", "x2", "y2", "frame")} | {"last_at": row["at"], "track": track}
         look = row["hash"] if row["object_type"] == "person" else None
         if chosen is None:
-            chosen = {"no": self.next, "object_type": row["object_type"], "kind": row["kind"], "tracks": [], "hash": look}
+            chosen = t.put({"no": self.next, "object_type": row["object_type"], "kind": row["kind"], "tracks": [], "hash": look} | now)
             self.next += 1
-            self.groups.append(chosen)
-        chosen |= now | ({"hash": look} if look else {})
-        if track >= 0 and track not in chosen["tracks"]:
-            chosen["tracks"] = [*chosen["tracks"], track]
+        g = t.groups[chosen]
+        g |= now | ({"hash": look} if look else {})
+        if track >= 0 and track not in g["tracks"]:
+            g["tracks"] = [*g["tracks"], track]
+            t.holds(track)[chosen] = True
+        t.note(chosen)
         _, switched, away, over = best or (0.0, False, 0.0, 0.0)
-        return [{"id": row["id"], "stretch_start": self.start, "group_no": chosen["no"], "switched": switched, "distance": away, "overlap": over}]
+        return [{"id": row["id"], "stretch_start": self.start, "group_no": g["no"], "switched": switched, "distance": away, "overlap": over}]
+
+
+def _number(frame: int | None) -> float:
+    return -np.inf if frame is None else frame
+
+
+class OpenGroups:
+    """Groups of one type in the order of their numbers, with what all are scored by in arrays that grow by doubling."""
+
+    ARRAYS = ("x1", "y1", "x2", "y2", "last_at", "frame", "kind")
+
+    def __init__(self) -> None:
+        self.groups: list[dict] = []
+        self.bound = 64
+        self.tracks: dict[int, np.ndarray] = {}
+        self.kinds: dict[str | None, int] = {}
+        for name in self.ARRAYS:
+            setattr(self, name, np.zeros(16))
+
+    @property
+    def n(self) -> int:
+        return len(self.groups)
+
+    def holds(self, track: int) -> np.ndarray:
+        """Which groups had the track."""
+        if track not in self.tracks:
+            self.tracks[track] = np.zeros(len(self.x1), bool)
+        return self.tracks[track]
+
+    def put(self, g: dict) -> int:
+        if self.n == len(self.x1):
+            for name in self.ARRAYS:
+                setattr(self, name, np.concatenate([getattr(self, name), np.zeros(self.n)]))
+            self.tracks = {k: np.concatenate([v, np.zeros(self.n, bool)]) for k, v in self.tracks.items()}
+        self.groups.append(g)
+        for track in {*g["tracks"], g["track"]} - {-1}:
+            self.holds(track)[self.n - 1] = True
+        self.kind[self.n - 1] = self.kinds.setdefault(g["kind"], len(self.kinds))
+        self.note(self.n - 1)
+        return self.n - 1
+
+    def note(self, at: int) -> None:
+        """Enters the group's box, time and frame as they are now."""
+        g = self.groups[at]
+        self.x1[at], self.y1[at], self.x2[at], self.y2[at], self.last_at[at], self.frame[at] = g["x1"], g["y1"], g["x2"], g["y2"], g["last_at"], _number(g["frame"])
+
+    def keep(self, these: np.ndarray) -> None:
+        """Forgets the other groups; the next time is when as many again have come."""
+        self.bound = max(64, 2 * int(these.sum()))
+        if these.all():
+            return
+        stay = np.flatnonzero(these)
+        self.groups = [self.groups[i] for i in stay]
+        size = len(self.x1)
+        for name in self.ARRAYS:
+            column = np.zeros(size)
+            column[: len(stay)] = getattr(self, name)[stay]
+            setattr(self, name, column)
+        found = {k: v[stay] for k, v in self.tracks.items()}
+        self.tracks = {k: np.concatenate([v, np.zeros(size - len(stay), bool)]) for k, v in found.items() if v.any()}
 
 
 class VideoIdentities(Walk):

@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -52,6 +55,22 @@ def walk_batch(rows: DataFrame, keys: list[str], order: list[str], make: Callabl
     return fold_batch(rows, keys, order, step, schema, lambda state: state.expired(float("inf")))
 
 
+def in_order(rows: Iterator[Row], order: list[str], step: int = 10_000) -> Iterator[dict]:
+    """A key's rows of a micro-batch in order. They wait in columns, as a micro-batch may hold any number of them, and become dictionaries by the step."""
+    first = next(rows := iter(rows), None)
+    if first is None:
+        return
+    names, parts, rows = list(first.asDict()), [], chain((first,), rows)
+    while some := [tuple(r) for r in islice(rows, step)]:
+        parts.append(pa.table(dict(zip(names, map(pa.array, zip(*some, strict=True)), strict=True))))
+    table = pa.concat_tables(parts, promote_options="permissive")
+    del parts
+    # the last key of lexsort counts most; equal rows stay as they came
+    at = np.lexsort([table[c].to_numpy() for c in reversed(order)])
+    for i in range(0, len(at), step):
+        yield from table.take(pa.array(at[i : i + step])).to_pylist()
+
+
 class _Processor(StatefulProcessor):
     def __init__(self, order: list[str], make: Callable[[], Walk], schema: str) -> None:
         self.order, self.make, self.names, self.tables = order, make, names_of(schema), make().STATES
@@ -84,7 +103,7 @@ class _Processor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         walk = self.restored()
-        for row in sorted((r.asDict() for r in rows), key=lambda r: tuple(r[c] for c in self.order)):
+        for row in in_order(rows, self.order):
             yield from self.given(walk.take(row))
         self.keep(walk, timerValues.getCurrentWatermarkInMs())
 
