@@ -102,7 +102,7 @@ def fold_stream(rows: DataFrame, keys: list[str], order: list[str], step: Step,
                 out += more
             yield _frame(out, names)
         if state is not None:
-            group.update((json.dumps({"state": state, "latest": latest}, default=str),))
+            group.update((json.dumps({"state": state, "latest": latest}, default=lambda o: o.plain() if hasattr(o, "plain") else str(o)),))
             # by the rows' own time: the watermark is still 0 in the first micro-batch; a late row's state goes at the next one
             group.setTimeoutTimestamp(max(latest + ttl_ms, group.getCurrentWatermarkMs() + 1))
 

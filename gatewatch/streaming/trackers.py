@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from math import hypot
 
+import numpy as np
+
 from ..operators import merge
 from .folds import Step
 
@@ -104,37 +106,79 @@ def improvement() -> Step:
     return step
 
 
-def _iou(a, b):
-    w, h = max(0.0, min(a[2], b[2]) - max(a[0], b[0])), max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
-    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h
-    return w * h / union if union > 0 else 0.0
-
-
 def grouping(gap: float = 8.0, least: float = 0.30, expiry: float = 240.0) -> Step:
     """SS-1, SS-2 and SS-21: a stable object for boxes whose tracker id changes. A row joins the object that had its track lately,
     else the one that it overlaps most, at `least`, within `gap` seconds and of its class; one object takes one row a frame.
     `switched` tells that the object had another track before."""
 
     def step(state, row):
-        state = state or {"next": 1, "objects": []}
-        box, at = [row[n] for n in ("x1", "y1", "x2", "y2")], row["at"]
-        objects = [o for o in state["objects"] if at - o["at"] <= expiry]
-        free = [o for o in objects if o["frame"] != row["frame"] and at - o["at"] <= gap and o["kind"] == row["kind"]]
-        scored = [((o["track"] == row["track"]) + _iou(o["box"], box), -o["no"], o) for o in free]
-        best = max((s for s in scored if s[0] >= least), default=None, key=lambda s: s[:2])
-        if best:
-            found = best[2]
-        else:
-            found = {"no": state["next"], "track": row["track"]}
-            objects.append(found)
-            state["next"] += 1
-        switched = found["track"] != row["track"]
-        found |= {"track": row["track"], "box": box, "at": at, "frame": row["frame"], "kind": row["kind"]}
-        return {"next": state["next"], "objects": objects}, [{"id": row["id"], "object": found["no"], "switched": switched}]
+        state = state if isinstance(state, Objects) else Objects(state, gap, expiry)
+        found, switched = state.join(row, least)
+        return state, [{"id": row["id"], "object": found, "switched": switched}]
 
     return step
 
 
+class Objects:
+    """The objects of `grouping` in the order of their numbers, in arrays: a row is held against all at once, as there are the more the more a camera sees."""
+
+    ARRAYS = ("no", "x1", "y1", "x2", "y2", "at", "frame", "kind")
+
+    def __init__(self, state: dict | None, gap: float, expiry: float) -> None:
+        self.gap, self.expiry, self.next, self.kinds, self.tracks, self.latest = min(gap, expiry), expiry, 1, {}, [], None
+        self.columns, self.bound = np.zeros((len(self.ARRAYS), 64)), 64
+        if state:
+            self.next = state["next"]
+            for o in state["objects"]:
+                self.enter(len(self.tracks), o["no"], o["box"], o["at"], o["frame"], o["kind"], o["track"])
+
+    def enter(self, i: int, no: int, box: list[float], at: float, frame: int | None, kind: str | None, track: int | None) -> None:
+        if i == self.columns.shape[1]:
+            self.columns = np.concatenate([self.columns, np.zeros_like(self.columns)], axis=1)
+        if i == len(self.tracks):
+            self.tracks.append(None)
+        self.tracks[i] = track
+        self.columns[:, i] = no, *box, at, -np.inf if frame is None else frame, self.kinds.setdefault(kind, len(self.kinds))
+
+    def forget(self, now: float) -> None:
+        stay = np.flatnonzero(now - self.columns[5, : len(self.tracks)] <= self.expiry)
+        self.tracks = [self.tracks[i] for i in stay]
+        self.columns[:, : len(stay)] = self.columns[:, stay]
+        self.bound = max(64, 2 * len(stay))
+
+    def join(self, row: dict, least: float) -> tuple[int, bool]:
+        """The row's object, and whether it had another track before."""
+        box, at, track = [row[n] for n in ("x1", "y1", "x2", "y2")], row["at"], row["track"]
+        self.latest = at
+        if len(self.tracks) > self.bound:
+            self.forget(at)
+        no, x1, y1, x2, y2, last, frame, kind = self.columns[:, : len(self.tracks)]
+        free = np.flatnonzero((frame != (-np.inf if row["frame"] is None else row["frame"])) & (at - last <= self.gap) & (kind == self.kinds.get(row["kind"], -1)))
+        if len(free):
+            x1, y1, x2, y2 = x1[free], y1[free], x2[free], y2[free]
+            w, h = np.maximum(0.0, np.minimum(x2, box[2]) - np.maximum(x1, box[0])), np.maximum(0.0, np.minimum(y2, box[3]) - np.maximum(y1, box[1]))
+            union = (x2 - x1) * (y2 - y1) + (box[2] - box[0]) * (box[3] - box[1]) - w * h
+            same = np.fromiter((self.tracks[i] == track for i in free), bool, len(free))
+            score = same + np.where(union > 0, w * h / np.where(union > 0, union, 1.0), 0.0)
+            best = int(np.argmax(score))  # the first of equals
+            if score[best] >= least:
+                i = int(free[best])
+                switched, found = self.tracks[i] != track, int(no[i])
+                self.enter(i, found, box, at, row["frame"], row["kind"], track)
+                return found, switched
+        self.enter(len(self.tracks), self.next, box, at, row["frame"], row["kind"], track)
+        self.next += 1
+        return self.next - 1, False
+
+    def plain(self) -> dict:
+        """The state as JSON takes it."""
+        if self.latest is not None:
+            self.forget(self.latest)
+        names = {v: k for k, v in self.kinds.items()}
+        rows = self.columns[:, : len(self.tracks)].T.tolist()
+        return {"next": self.next, "objects": [{"no": int(r[0]), "track": t, "box": r[1:5], "at": r[5], "frame": None if r[6] == -np.inf else int(r[6]), "kind": names[int(r[7])]} for r, t in zip(rows, self.tracks)]}
+
+
 def target_hold(hold: float, margin: float) -> Step:
     """SS-18: the row in focus stays for `hold` seconds unless another one scores higher by `margin`."""
 

@@ -139,3 +139,17 @@ def test_a_late_row_still_finds_its_group():
     again = ObjectGroups(gap=43_200, switch=21_600, expiry=172_800)
     again.load(walk.dump())
     assert [g["no"] for g in again.groups] == [3] and again.due() == 200_000.0 + 46_800
+
+
+def test_grouping_state_is_plain_again():
+    """Objects lie in arrays while a micro-batch is walked, and go into the state store and back as JSON."""
+    import json
+
+    box = {"x1": 0.0, "y1": 0.0, "x2": 10.0, "y2": 10.0, "kind": "car"}
+    rows = [{"id": i, "track": None if i % 3 else i, "at": float(i), "frame": i // 2, **box} for i in range(300)]
+    step, state, out = K.grouping(gap=8, expiry=240), None, []
+    for row in rows:
+        state, more = step(state, row)
+        assert isinstance(state, K.Objects)
+        state, out = json.loads(json.dumps(state.plain())), out + more
+    assert out == _run(K.grouping(gap=8, expiry=240), rows) and [r["object"] for r in out[:4]] == [1, 2, 2, 1]
