@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..sources import tables as T
+from . import late
 
 
 def _events(spark: SparkSession, sf_dir: str, files_per_trigger: int) -> DataFrame:
@@ -74,11 +76,17 @@ def newest_of_camera(batch: DataFrame) -> DataFrame:
 def late_plates(vehicles: DataFrame, plates: DataFrame, seconds: int = 120) -> DataFrame:
     """SS-11: vehicles with the plates that were read up to `seconds` after them, and vehicles without one once that time has passed.
 
-    Both sides carry watermarks, so the state of the outer join is bounded."""
-    v = vehicles.select(F.col("detection_id").alias("vehicle"), F.col("camera_id").alias("v_camera"), F.col("track_id").alias("v_track"), F.col("created_at").alias("v_at"))
-    p = plates.select(F.col("plate_id").alias("reading"), F.col("camera_id").alias("p_camera"), F.col("track_id").alias("p_track"), F.col("created_at").alias("p_at"))
-    near = F.expr(f"v_camera = p_camera and v_track = p_track and p_at >= v_at and p_at <= v_at + interval {seconds} seconds")
-    return v.join(p, near, "left_outer").select("vehicle", "reading")
+    Both sides carry watermarks, so the state is bounded. A join of two streams would compare all rows of a key that are in its state, which a
+    micro-batch may fill with any length of time, and hold each as a row: `late` finds a vehicle's plates in sorted arrays."""
+    # pandas knows no times after 2262: the watermark's column ends there, `at` does not
+    bounded = lambda rows: rows.filter("created_at is not null").withColumn("at", F.expr("unix_micros(created_at)")).withColumn(
+        "created_at", F.expr("least(created_at, timestamp'2262-01-01')").alias("created_at", metadata=rows.schema["created_at"].metadata)
+    )
+    v = bounded(vehicles).selectExpr("camera_id", "track_id", "created_at", "at", "cast(coalesce(detection_id, 0) as bigint) as id", "detection_id is null as nameless", "false as plate")
+    # plates without a camera or a track number are no vehicle's
+    p = bounded(plates.filter("camera_id is not null and track_id is not null")).selectExpr("camera_id", "track_id", "created_at", "at", "cast(plate_id as bigint) as id", "false as nameless", "true as plate")
+    found = v.unionByName(p).groupBy("camera_id", "track_id").applyInPandasWithState(late.follow(seconds), late.FOUND, late.STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return found.mapInArrow(late.told, "vehicle long, reading long")
 
 
 def each_batch(rows: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int], None]):

@@ -153,3 +153,70 @@ def test_grouping_state_is_plain_again():
         assert isinstance(state, K.Objects)
         state, out = json.loads(json.dumps(state.plain())), out + more
     assert out == _run(K.grouping(gap=8, expiry=240), rows) and [r["object"] for r in out[:4]] == [1, 2, 2, 1]
+
+
+def _late(spark, folder, seconds, name="late", per=1):
+    from gatewatch.streaming import folds, streams
+
+    d = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", per).parquet(folder).withWatermark("created_at", "10 minutes")
+    return folds.run_available(streams.late_plates(d.filter("object_type = 'vehicle'"), d.filter("plate_id is not null"), seconds), name)
+
+
+def test_late_plates_over_several_batches(spark, tmp_path):
+    """Vehicles with every plate of their span, whichever came first, and those without one once their span has passed; without camera or track there is none."""
+    import os
+    import random
+    from datetime import datetime, timedelta, timezone
+
+    r, base, rows = random.Random(5), datetime(2024, 1, 1, tzinfo=timezone.utc), []
+    for k in range(5):  # files overlap by less than the watermark's delay, so no row is too late
+        some = [
+            (len(rows) + i if r.random() < 0.97 else None, len(rows) + i if r.random() < 0.4 else None, r.choice([1, 2, None]), r.choice([1, 2, None]), "vehicle" if r.random() < 0.7 else "person", base + timedelta(seconds=k * 1200 + r.randrange(-599, 1) + r.randrange(1, 1200)))
+            for i in range(120)
+        ]
+        rows += some
+        spark.createDataFrame(some, "detection_id long, plate_id long, camera_id long, track_id long, object_type string, created_at timestamp").coalesce(1).write.parquet(f"{tmp_path}/x{k}")
+        os.makedirs(f"{tmp_path}/in", exist_ok=True)
+        os.rename(f"{tmp_path}/x{k}/{next(f for f in os.listdir(f'{tmp_path}/x{k}') if f.endswith('.parquet'))}", f"{tmp_path}/in/{k}.parquet")
+        os.utime(f"{tmp_path}/in/{k}.parquet", (1_700_000_000 + 10 * k,) * 2)
+    span, want = timedelta(seconds=900), []
+    # filters lie below the watermarks, and the slower side's holds
+    passed = min(max(x[5] for x in rows if x[4] == "vehicle"), max(x[5] for x in rows if x[1] is not None and None not in x[2:4])) - timedelta(minutes=10)
+    for v in (x for x in rows if x[4] == "vehicle"):
+        near = [p[1] for p in rows if p[1] is not None and None not in v[2:4] and p[2:4] == v[2:4] and v[5] <= p[5] <= v[5] + span]
+        want += [(v[0], p) for p in near] or [(v[0], None)] * (v[5] + span <= passed)
+    got = [tuple(x) for x in _late(spark, f"{tmp_path}/in", 900).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and sum(p is None for _, p in got) > 50 and sum(v is None for v, _ in got) > 3
+
+
+def test_late_plates_do_not_meet_all_of_their_key(spark, tmp_path):
+    """15,000 rows of one track, an hour apart, in one micro-batch: each meets its own plate only, not 225 million others."""
+    import time
+
+    rows = spark.range(15_000).selectExpr("id as detection_id", "id as plate_id", "1L as camera_id", "1L as track_id", "'vehicle' as object_type", "timestamp_seconds(1700000000 + id * 3600) as created_at")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    began = time.time()
+    assert _late(spark, f"{tmp_path}/in", 1800).filter("vehicle = reading").count() == 15_000
+    assert time.time() - began < 40
+
+
+def test_late_pairs_come_by_the_step():
+    import numpy as np
+
+    from gatewatch.streaming import late
+
+    r = np.random.default_rng(2)
+    at, plates = np.sort(r.integers(0, 1000, 60)), np.sort(r.integers(0, 1000, 80))
+    first, count = late.reach(at, plates, 100)
+    want = [(i, j) for i, a in enumerate(at) for j, p in enumerate(plates) if a <= p <= a + 100]
+    for step in (1, 7, 10_000):
+        parts = list(late.pairs(first, count, step))
+        assert [(i, j) for v, p in parts for i, j in zip(v.tolist(), p.tolist())] == want and max(len(v) for v, _ in parts) <= step
+    assert not list(late.pairs(*late.reach(at, plates[:0], 100)))
+
+
+def test_late_plates_of_far_times(spark, tmp_path):
+    """Times that pandas doesn't know are told apart as others are."""
+    rows = "(1, 1, '2500-01-01 00:00:00'), (2, 2, '2500-01-01 00:10:00'), (3, 3, '2500-01-02 00:00:00'), (4, null, '2024-01-01 00:00:00')"
+    spark.sql(f"select int(a) as detection_id, int(b) as plate_id, 1L as camera_id, 1L as track_id, 'vehicle' as object_type, timestamp(c) as created_at from values {rows} as t(a, b, c)").coalesce(1).write.parquet(f"{tmp_path}/in")
+    assert sorted((tuple(x) for x in _late(spark, f"{tmp_path}/in", 900).collect()), key=repr) == [(1, 1), (1, 2), (2, 2), (3, 3), (4, None)]
